@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import urls
 from docquarry.functions.text import MAX_WORDS, clean_text, word_windows, words
-from docquarry.operators.numbering import BUCKET_SPAN, running_total
+from docquarry.operators.numbering import BUCKET_SPAN, running_totals
 
 
 def prepare_pages(pages: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def chunk_offsets(prepared: DataFrame, max_words: int = MAX_WORDS,
     counts = prepared.select(
         "project", "page_rank", chunk_count(F.col("n_words"), max_words).alias("_chunks")
     ).where("_chunks > 0")
-    numbered = running_total(counts, ["project"], ["page_rank"], F.col("_chunks"), "_start", span)
+    numbered = running_totals(
+        counts, ["project"], ["page_rank"], {"_start": F.col("_chunks")}, span
+    )
     return numbered.select("project", "page_rank", "_start")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import urls
-from docquarry.operators.numbering import BUCKET_SPAN, running_count, running_total
+from docquarry.operators.numbering import BUCKET_SPAN, running_totals
 from docquarry.session import stage, stage_counted
 
 MAX_PAGES = 200
@@ -83,54 +83,46 @@ def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages:
     """
     projects = stage(prepare_projects(projects), "projects")
     links = stage(prepare_links(links), "links")
-    fetched = fetched.select("url", F.lit(True).alias("fetched"))
+    fetched = stage(fetched.select("url", F.lit(True).alias("fetched")), "fetched")
 
-    frontier = projects.select(
+    start = projects.select(
         "project", "base_netloc", "allowed",
         F.col("base_url").alias("url"),
         F.lit(True).alias("wanted"),
         F.lit(0).alias("depth"),
         F.lit(0).cast("bigint").alias("queue_rank"),
-        F.lit(0).cast("bigint").alias("pages_before"),
-    )
+    ).join(fetched, "url", "left").withColumn("page_rank", F.lit(0).cast("bigint"))
+    level = _judge(start, max_pages)
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        visits = _visit(frontier, fetched, max_pages, span)
-        level, counts = stage_counted(
-            visits, f"level_{depth}", stored=F.col("status") == "stored"
+        staged, counts = stage_counted(
+            level, f"level_{depth}", stored=F.col("status") == "stored"
         )
-        levels.append(level)
+        levels.append(staged)
         if counts["stored"] == 0 or depth == max_depth:
             break
-        frontier = _next_frontier(levels, links, depth, span)
+        level = _judge(_next_level(levels, links, fetched, depth, span), max_pages)
     return Crawl(projects, reduce(DataFrame.unionByName, levels), links, max_depth)
 
 
-def _visit(frontier: DataFrame, fetched: DataFrame, max_pages: int, span: int) -> DataFrame:
-    """Which URLs of one level are fetched, given the pages stored before the level."""
-    tried = frontier.join(fetched, "url", "left").withColumn(
-        "_take", F.coalesce("fetched", F.lit(False)) & F.col("wanted")
-    )
-    ranked = running_total(
-        tried, ["project"], ["queue_rank"], F.col("_take").cast("int"), "_taken_before", span
-    ).withColumn("page_rank", F.col("pages_before") + F.col("_taken_before"))
+def _judge(level: DataFrame, max_pages: int) -> DataFrame:
+    """What happens to each URL of a level; ``page_rank`` counts the pages stored before it."""
     status = (
         F.when(F.col("page_rank") >= max_pages, "not_visited")
         .when(~F.col("wanted"), "irrelevant")
-        .when(F.col("_take"), "stored")
-        .otherwise("failed")
+        .when(F.col("fetched").isNull(), "failed")
+        .otherwise("stored")
     )
-    return ranked.select(
-        "project", "base_netloc", "allowed", "url", "wanted", "depth", "queue_rank",
-        status.alias("status"),
-        F.when(status == "stored", F.col("page_rank")).alias("page_rank"),
+    return level.withColumn("status", status).select(
+        "project", "base_netloc", "allowed", "url", "wanted", "depth", "queue_rank", "status",
+        F.when(F.col("status") == "stored", F.col("page_rank")).alias("page_rank"),
     )
 
 
 def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """Targets on the stored pages of a level, each with the place of its first discovery."""
     taken = level.where(F.col("status") == "stored").select(
-        "project", "base_netloc", "allowed", F.col("url").alias("src_url"), "queue_rank"
+        "project", "base_netloc", "allowed", "depth", F.col("url").alias("src_url"), "queue_rank"
     )
     targets = (
         taken.join(links, "src_url")
@@ -140,30 +132,37 @@ def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     if depth > 0:
         targets = targets.where("wanted")
     return targets.groupBy(
-        "project", "base_netloc", "allowed", F.col("dst_url").alias("url"), "wanted"
+        "project", "base_netloc", "allowed", "depth", F.col("dst_url").alias("url"), "wanted"
     ).agg(F.min(F.struct("queue_rank", "pos")).alias("_first"))
 
 
-def _next_frontier(levels: list[DataFrame], links: DataFrame, depth: int, span: int) -> DataFrame:
+def _next_level(levels: list[DataFrame], links: DataFrame, fetched: DataFrame, depth: int,
+                span: int) -> DataFrame:
+    """New URLs found on the stored pages of the last level, with their places in the queue."""
     queued = reduce(DataFrame.unionByName, levels)
     totals = queued.groupBy("project").agg(
         F.count(F.lit(1)).alias("_queued"),
-        F.count_if(F.col("status") == "stored").alias("pages_before"),
+        F.count_if(F.col("status") == "stored").alias("_stored"),
     )
     new = (
         _discovered(levels[-1], links, depth)
         .join(queued.select("project", "url"), ["project", "url"], "left_anti")
+        .join(fetched, "url", "left")
         .select(
-            "project", "base_netloc", "allowed", "url", "wanted",
+            "project", "base_netloc", "allowed", "url", "wanted", "fetched",
+            (F.col("depth") + 1).alias("depth"),
             F.col("_first.queue_rank").alias("_parent"), F.col("_first.pos").alias("_pos"),
         )
     )
-    numbered = running_count(new, ["project"], ["_parent", "_pos"], "_place", span)
+    storable = F.col("wanted") & F.col("fetched").isNotNull()
+    numbered = running_totals(
+        new, ["project"], ["_parent", "_pos"],
+        {"_place": F.lit(1), "_pages": storable.cast("int")}, span,
+    )
     return numbered.join(totals, "project").select(
-        "project", "base_netloc", "allowed", "url", "wanted",
-        F.lit(depth + 1).alias("depth"),
+        "project", "base_netloc", "allowed", "url", "wanted", "depth", "fetched",
         (F.col("_queued") + F.col("_place")).alias("queue_rank"),
-        "pages_before",
+        (F.col("_stored") + F.col("_pages")).alias("page_rank"),
     )
 
 

@@ -13,40 +13,33 @@ from pyspark.sql import functions as F
 BUCKET_SPAN = 4096
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: Column, out: str,
-                  span: int = BUCKET_SPAN) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the group before this one.
+def running_totals(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column],
+                   span: int = BUCKET_SPAN) -> DataFrame:
+    """Add a column per entry of ``values``: its sum over the rows of the group before this one.
 
     ``order`` sorts the group without ties; its first column is an integer, cut into
     buckets of ``span`` consecutive values.
     """
     before = (Window.unboundedPreceding, -1)
     keys = [*group, "_bucket"]
-    rows = df.withColumn("_bucket", F.floor(F.col(order[0]) / span)).withColumn("_value", value)
-    offsets = (
-        rows.groupBy(*keys)
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_total").over(
-                    Window.partitionBy(*group).orderBy("_bucket").rowsBetween(*before)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_total")
+    inputs = {out: f"_in_{out}" for out in values}
+    rows = df.withColumns({
+        "_bucket": F.floor(F.col(order[0]) / span),
+        **{inputs[out]: value.cast("bigint") for out, value in values.items()},
+    })
+    along = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(*before)
+    offsets = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in inputs.values()]).select(
+        *keys, *[F.sum(c).over(along).alias(f"_off_{out}") for out, c in inputs.items()]
     )
-    inside = F.sum("_value").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before))
-    return (
-        rows.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-        .join(offsets, keys)
-        .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_bucket", "_value", "_offset", "_inside")
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+    numbered = rows.join(offsets, keys)
+    return numbered.select(
+        *df.columns,
+        *[
+            (
+                F.coalesce(F.col(f"_off_{out}"), F.lit(0))
+                + F.coalesce(F.sum(c).over(inside), F.lit(0))
+            ).alias(out)
+            for out, c in inputs.items()
+        ],
     )
-
-
-def running_count(df: DataFrame, group: list[str], order: list[str], out: str,
-                  span: int = BUCKET_SPAN) -> DataFrame:
-    """Number the rows of each group from 0 in ``order``."""
-    return running_total(df, group, order, F.lit(1), out, span)

@@ -9,6 +9,7 @@ from docquarry.functions import urls
 from docquarry.functions.html import visible_text
 from docquarry.operators.chunks import number_chunks, prepare_pages, to_records
 from docquarry.operators.embedding import Provider, embed
+from docquarry.session import stage
 from docquarry.sources.pages import scan_pages
 
 FAN_OUT = 16
@@ -97,13 +98,14 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("project", "i", F.array_join(F.col("links.a"), "").alias("links"))
     )
     foreign = F.concat(F.lit('<a href="https://off.example.org/'), i.cast("string"), F.lit('">x</a>'))
-    return made.join(anchors, ["project", "i"]).select(
+    site = made.join(anchors, ["project", "i"]).select(
         "project", "i", "url",
         F.when(
             F.col("html").contains("</body>"),
             F.concat("html", F.lit("<nav>"), "links", foreign, F.lit("</nav>")),
         ).alias("html"),
     )
+    return stage(site, "site")
 
 
 def site_projects(site: DataFrame) -> DataFrame:
