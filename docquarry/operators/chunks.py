@@ -11,10 +11,10 @@ from docquarry.operators.numbering import BUCKET_SPAN, running_totals
 
 
 def prepare_pages(pages: DataFrame) -> DataFrame:
-    """``(project, url, page_rank, text)`` with ``text`` cleaned, plus ``n_words``."""
-    return pages.select(
-        "project", "url", "page_rank", clean_text(F.col("text")).alias("text")
-    ).withColumn("n_words", F.coalesce(F.size(words(F.col("text"))), F.lit(0)))
+    """Clean ``text`` and add ``n_words``; other columns, such as ``base_url``, stay."""
+    return pages.withColumn("text", clean_text(F.col("text"))).withColumn(
+        "n_words", F.coalesce(F.size(words(F.col("text"))), F.lit(0))
+    )
 
 
 def chunk_count(n_words: Column, max_words: int = MAX_WORDS) -> Column:
@@ -22,9 +22,10 @@ def chunk_count(n_words: Column, max_words: int = MAX_WORDS) -> Column:
 
 
 def chunk_pages(prepared: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """One row per chunk ``(project, url, page_rank, chunk_pos, document)``; blank text has none."""
+    """One row per chunk with ``chunk_pos`` and ``document``; blank text has none."""
+    kept = [c for c in prepared.columns if c not in ("text", "n_words")]
     return prepared.select(
-        "project", "url", "page_rank",
+        *kept,
         F.posexplode(word_windows(words(F.col("text")), max_words)).alias("chunk_pos", "document"),
     )
 
@@ -46,13 +47,8 @@ def number_chunks(prepared: DataFrame, max_words: int = MAX_WORDS,
     """Chunks with ``id``: a running number per project as a string, from "0", in page order."""
     starts = chunk_offsets(prepared, max_words, span)
     with_text = prepared.where("n_words > 0").join(starts, ["project", "page_rank"])
-    return with_text.select(
-        "project", "url", "page_rank", "_start",
-        F.posexplode(word_windows(words(F.col("text")), max_words)).alias("chunk_pos", "document"),
-    ).select(
-        "project", "url", "page_rank", "chunk_pos",
-        (F.col("_start") + F.col("chunk_pos")).cast("string").alias("id"), "document",
-    )
+    number = (F.col("_start") + F.col("chunk_pos")).cast("string")
+    return chunk_pages(with_text, max_words).withColumn("id", number).drop("_start")
 
 
 def source_metadata(base_url: Column) -> Column:
@@ -60,9 +56,9 @@ def source_metadata(base_url: Column) -> Column:
     return F.create_map(F.lit("source"), base_url)
 
 
-def to_records(chunks: DataFrame, projects: DataFrame) -> DataFrame:
-    """Chunks with vectors as collection records; ``projects(project, base_url)``."""
-    return chunks.join(projects.select("project", "base_url"), "project").select(
+def to_records(chunks: DataFrame) -> DataFrame:
+    """Numbered chunks with ``base_url`` and vectors as collection records."""
+    return chunks.select(
         urls.collection_name(F.col("base_url")).alias("collection_name"),
         "id", "document", "embedding",
         source_metadata(F.col("base_url")).alias("metadata"),

@@ -117,9 +117,15 @@ def _batched(provider: Provider, column: str, out: str):
 
 def embed_by_provider(df: DataFrame, providers: dict[str, Provider], choice: str,
                       column: str = "document", out: str = "embedding") -> DataFrame:
-    """Embed each row with the provider named in its ``choice`` column."""
+    """Embed each row with the provider named in its ``choice`` column.
+
+    A row whose provider is not given fails the job rather than vanish.
+    """
+    known = F.col(choice).isin(list(providers))
+    unknown = F.raise_error(F.concat(F.lit("no such provider: "), F.coalesce(choice, F.lit("NULL"))))
+    checked = df.withColumn(choice, F.when(known, F.col(choice)).otherwise(unknown.cast("string")))
     branches = [
-        embed(df.where(F.col(choice) == name), provider, column, out)
+        embed(checked.where(F.col(choice) == name), provider, column, out)
         for name, provider in providers.items()
     ]
     return reduce(DataFrame.unionByName, branches)

@@ -9,8 +9,9 @@ from docquarry.functions import urls
 from docquarry.functions.html import visible_text
 from docquarry.operators.chunks import number_chunks, prepare_pages, to_records
 from docquarry.operators.embedding import Provider, embed
-from docquarry.session import stage
+from docquarry.session import scratch_path, stage
 from docquarry.sources.pages import scan_pages
+from docquarry.sources.store import CollectionStore
 
 FAN_OUT = 16
 SITES = 4
@@ -113,34 +114,25 @@ def site_projects(site: DataFrame) -> DataFrame:
     return site.where("i = 0").select("project", F.col("url").alias("base_url"))
 
 
-def document_projects(spark: SparkSession, sf_dir: str, by_source: bool = True) -> DataFrame:
-    name = F.col("source") if by_source else F.lit("corpus")
-    return (
-        table(spark, sf_dir, "documents").select(name.alias("project")).distinct()
-        .withColumn("base_url", F.concat(F.lit("https://"), "project", F.lit(".example.com/docs")))
-    )
-
-
 def document_pages(spark: SparkSession, sf_dir: str, by_source: bool = True) -> DataFrame:
     """``documents`` as pages of one site per source, or of a single site."""
     name = F.col("source") if by_source else F.lit("corpus")
-    address = F.concat(
-        F.lit("https://"), name, F.lit(".example.com/docs/"), F.col("doc_id").cast("string")
-    )
+    base = F.concat(F.lit("https://"), name, F.lit(".example.com/docs"))
     return prepare_pages(
         table(spark, sf_dir, "documents").select(
-            name.alias("project"), address.alias("url"),
+            name.alias("project"), base.alias("base_url"),
+            F.concat(base, F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
             F.col("doc_id").alias("page_rank"), "text",
         )
     )
 
 
-def document_records(spark: SparkSession, sf_dir: str, by_source: bool = True) -> DataFrame:
-    """Chunks of ``documents`` as collection records with hashed vectors."""
-    chunks = number_chunks(document_pages(spark, sf_dir, by_source))
-    return to_records(
-        embed(chunks, Provider()), document_projects(spark, sf_dir, by_source)
-    )
+def document_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
+    """A store with the chunks of all ``documents`` in one collection."""
+    store = CollectionStore(spark, scratch_path(spark, "store"))
+    chunks = number_chunks(document_pages(spark, sf_dir, by_source=False))
+    store.write(to_records(embed(chunks, Provider())))
+    return store
 
 
 def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:

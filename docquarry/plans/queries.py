@@ -244,7 +244,7 @@ def drop_empty(spark, sf_dir):
 
 
 def flatten_chunks(spark, sf_dir):
-    return chunks.chunk_pages(inputs.document_pages(spark, sf_dir))
+    return chunks.chunk_pages(inputs.document_pages(spark, sf_dir).drop("base_url"))
 
 
 def chunk_ids(spark, sf_dir):
@@ -256,7 +256,7 @@ def chunk_ids(spark, sf_dir):
 def chunk_metadata(spark, sf_dir):
     numbered = chunks.number_chunks(inputs.document_pages(spark, sf_dir))
     placed = numbered.withColumn("embedding", F.lit(None).cast("array<float>"))
-    return chunks.to_records(placed, inputs.document_projects(spark, sf_dir)).select(
+    return chunks.to_records(placed).select(
         "collection_name", "id", F.col("metadata")["source"].alias("source"), "page_url",
         "chunk_pos",
     )
@@ -451,7 +451,7 @@ def knn_batch(spark, sf_dir):
 def _answers(spark, sf_dir, top_k=5):
     queries = inputs.text_queries(spark, sf_dir, top_k)
     ready = knn.dispatch(queries, Provider(), HASH_DIMENSION)
-    return knn.search(ready, inputs.document_records(spark, sf_dir, by_source=False))
+    return knn.search(ready, inputs.document_store(spark, sf_dir).scan())
 
 
 def _with_source(df):
@@ -536,7 +536,7 @@ def search_docs(spark, sf_dir):
         "query_id", inputs.corpus_name().alias("collection_name"),
         "query_text", "query_embedding", F.lit(5).alias("top_k"),
     )
-    found = run_search(queries, inputs.document_records(spark, sf_dir, by_source=False))
+    found = run_search(queries, inputs.document_store(spark, sf_dir).scan())
     return found.select("query_id", "rank", "id", "score", "document", "error")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -60,11 +59,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
-    """``stage`` plus counters gathered by the same job; each count is a boolean Column."""
+def stage_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stage`` plus aggregates over the same rows, gathered by the same job."""
     observation = Observation(f"{name}-{uuid.uuid4().hex}")
-    metrics = [F.count(F.lit(1)).alias("rows")]
-    metrics += [F.count_if(condition).alias(key) for key, condition in counts.items()]
+    metrics = [measure.alias(key) for key, measure in measures.items()]
     staged = stage(df.observe(observation, *metrics), name)
     return staged, observation.get
 
