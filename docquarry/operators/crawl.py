@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import urls
 from docquarry.operators.numbering import BUCKET_SPAN, running_totals
-from docquarry.session import stage, stage_measured
+from docquarry.session import stage
 
 MAX_PAGES = 200
 MAX_DEPTH = 5
@@ -95,11 +95,8 @@ def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages:
     level = _judge(start, max_pages)
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        staged, seen = stage_measured(
-            level, f"level_{depth}", stored=F.count_if(F.col("status") == "stored")
-        )
-        levels.append(staged)
-        if seen["stored"] == 0 or depth == max_depth:
+        levels.append(stage(level, f"level_{depth}"))
+        if depth == max_depth or levels[-1].where("status = 'stored'").isEmpty():
             break
         level = _judge(_next_level(levels, links, fetched, depth, span), max_pages)
     return Crawl(projects, reduce(DataFrame.unionByName, levels), links, max_depth)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.schemas import COLLECTION
@@ -49,10 +47,10 @@ class CollectionStore:
     def delete(self, name: str, ids: DataFrame) -> None:
         """Remove the records with the given ``ids(id)`` from one collection."""
         kept = without(self.scan(name), ids.select(F.lit(name).alias("collection_name"), "id"))
-        observation = Observation(f"kept-{uuid.uuid4().hex}")
-        self._save(kept.observe(observation, F.count(F.lit(1)).alias("rows")), "overwrite")
-        if observation.get["rows"] == 0:
+        if kept.isEmpty():
             self.clear(name)
+        else:
+            self._save(kept, "overwrite")
 
     def clear(self, name: str) -> None:
         """Remove all records of a collection and leave it empty."""

@@ -1,0 +1,97 @@
+import random
+from urllib.parse import urljoin, urlparse
+
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.functions import urls
+
+ODD = [
+    "https://a.com/b;x=1?q=1#f", "http://h/a;b/c;d?x", "HTTPS://A.com:80/B",
+    "http://u:p@h.com:8/p?", "mailto:x@y", "javascript:void(0)", "tel:123", "about:blank",
+    "file:///x/y", "https://d.com", "http://[::1]:80/x", "//h/p", "x/y;z", "foo:bar;b", "?q", "#f",
+    "http://a?b/c#d?e", "http://a/b\nc", "  http://a/b c|d%zz", "", "http://", "1:2", "a:b",
+]
+
+
+def evaluate(spark, values, **columns):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, u string")
+    picked = rows.select("i", *[make(F.col("u")).alias(name) for name, make in columns.items()])
+    return [row for row in sorted(picked.collect(), key=lambda row: row.i)]
+
+
+def test_parts_equal_the_standard_library(spark):
+    rng = random.Random(7)
+    pieces = ["http:", "https:", "x:", "//", "/", "a", "B.c", "?", "#", ";", "=", "%zz", "@", ":8", "é"]
+    made = ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(500)]
+    cases = ODD + made
+    for case, row in zip(cases, evaluate(spark, cases, p=urls.parts)):
+        want = urlparse(case)
+        assert tuple(row.p) == (want.scheme, want.netloc, want.path, want.query, want.fragment), case
+
+
+@pytest.mark.parametrize("url, normal", [
+    ("https://a.com/b;x=1?q=1#f", "https://a.com/b?q=1"),
+    ("http://h/a;b/c;d?x", "http://h/a;b/c?x"),
+    ("HTTPS://A.com:80/B", "https://A.com:80/B"),
+    ("http://u:p@h.com:8/p?", "http://u:p@h.com:8/p"),
+])
+def test_normal_form(spark, url, normal):
+    assert evaluate(spark, [url], n=urls.normalize)[0].n == normal
+
+
+def test_same_domain_after_a_second_parse(spark):
+    cases = ["mailto:x@y", "javascript:void(0)", "tel:123", "about:blank", "file:///x/y",
+             "https://d.com/x", "https://D.com/x", "https://www.d.com/x"]
+    rows = evaluate(
+        spark, cases, ok=lambda u: urls.same_domain(urls.normalize(u), F.lit("d.com"))
+    )
+    assert [row.ok for row in rows] == [False, False, False, False, True, True, False, False]
+
+
+@pytest.mark.parametrize("base, url, ok", [
+    ("https://d.com", "https://WWW.D.com/x", True),
+    ("https://www.d.com", "https://d.com/x", False),
+    ("d.com", "https://d.com/x", True),
+    ("https://d.com", "https://d.com", False),
+    ("https://d.com", "https://d.com/", False),
+    ("https://d.com", "https://d.com/a.PNG", False),
+    ("https://d.com", "https://d.com/a.png/x", True),
+    ("https://d.com", "https://d.com/amap", True),
+    ("https://d.com", "https://d.com/author", False),
+    ("https://d.com", "https://d.com/steam", False),
+    ("https://d.com", "https://d.com/x?href=1", False),
+    ("https://d.com", "http://[bad/x", False),
+    ("https://d.com", "file:///x/y", False),
+    ("https://d.com", "https://d.com/guide/start", True),
+])
+def test_page_filter(spark, base, url, ok):
+    made = evaluate(spark, [url], ok=lambda u: urls.relevant_docs_url(u, F.lit(base)))
+    assert made[0].ok is ok
+
+
+@pytest.mark.parametrize("url, suggestion", [
+    ("https://d.com/a/b/c", "https://d.com/docs"),
+    ("https://d.com/a/b", None),
+    ("https://d.com/a?x=1", "https://d.com/docs"),
+    ("https://d.com", None),
+])
+def test_lint(spark, url, suggestion):
+    assert evaluate(spark, [url], s=urls.lint_suggestion)[0].s == suggestion
+
+
+def test_resolve_equals_the_standard_library(spark):
+    page = "https://d.com/a/b/c?x#y"
+    hrefs = ["?q", "/r", "//h/p", "x/y", "../x", "../../../x", "x/./y/../z", "#z", "..", ".", "./",
+             "mailto:a@b", " /sp ", "a?b=/../c", "/a/../b/./", "/.", "/..", "x/..", "/a.b/.c/..d"]
+    rows = evaluate(spark, hrefs, r=lambda h: urls.resolve(h, F.lit(page)))
+    assert [row.r for row in rows] == [urljoin(page, h.strip()) for h in hrefs]
+
+
+def test_resolve_host_and_port(spark):
+    rows = evaluate(
+        spark, ["https://D.com:443", "HTTP://u@D.com:80/A", "https://d.com:8443/x", "x"],
+        r=lambda h: urls.resolve(h, F.lit("https://d.com")),
+    )
+    assert [row.r for row in rows] == [
+        "https://d.com/", "http://u@d.com/A", "https://d.com:8443/x", "https://d.com/x"]
