@@ -9,7 +9,7 @@ from docquarry.functions import urls
 from docquarry.functions.html import visible_text
 from docquarry.operators.chunks import number_chunks, prepare_pages, to_records
 from docquarry.operators.embedding import Provider, embed
-from docquarry.session import scratch_path, stage
+from docquarry.session import scratch_path, spread, stage
 from docquarry.sources.pages import scan_pages
 from docquarry.sources.store import CollectionStore
 
@@ -22,7 +22,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def host(url: str = "url") -> Column:
@@ -127,10 +127,14 @@ def document_pages(spark: SparkSession, sf_dir: str, by_source: bool = True) ->
     )
 
 
+def numbered_documents(spark: SparkSession, sf_dir: str, by_source: bool = True) -> DataFrame:
+    return number_chunks(stage(document_pages(spark, sf_dir, by_source), "prepared"))
+
+
 def document_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
     """A store with the chunks of all ``documents`` in one collection."""
     store = CollectionStore(spark, scratch_path(spark, "store"))
-    chunks = number_chunks(document_pages(spark, sf_dir, by_source=False))
+    chunks = numbered_documents(spark, sf_dir, by_source=False)
     store.write(to_records(embed(chunks, Provider())))
     return store
 

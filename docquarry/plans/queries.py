@@ -248,13 +248,13 @@ def flatten_chunks(spark, sf_dir):
 
 
 def chunk_ids(spark, sf_dir):
-    return chunks.number_chunks(inputs.document_pages(spark, sf_dir)).select(
+    return inputs.numbered_documents(spark, sf_dir).select(
         "project", "page_rank", "chunk_pos", "id"
     )
 
 
 def chunk_metadata(spark, sf_dir):
-    numbered = chunks.number_chunks(inputs.document_pages(spark, sf_dir))
+    numbered = inputs.numbered_documents(spark, sf_dir)
     placed = numbered.withColumn("embedding", F.lit(None).cast("array<float>"))
     return chunks.to_records(placed).select(
         "collection_name", "id", F.col("metadata")["source"].alias("source"), "page_url",
@@ -289,7 +289,7 @@ def embed_texts(spark, sf_dir):
 
 
 def _batches(spark, sf_dir, size):
-    numbered = chunks.number_chunks(inputs.document_pages(spark, sf_dir))
+    numbered = inputs.numbered_documents(spark, sf_dir)
     return embedding.batch_plan(numbered, ["project"], F.col("id").cast("bigint"), size)
 
 

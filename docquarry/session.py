@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "docquarry") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -59,6 +60,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores, ahead of costly work per row.
+
+    A large scan has more partitions than that and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _filesystem(spark, path)
     return fs.exists(hadoop_path)

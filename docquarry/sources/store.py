@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.schemas import COLLECTION
-from docquarry.session import delete_path, make_dir, path_exists
+from docquarry.session import delete_path, make_dir, path_exists, spread
 
 
 class CollectionStore:
@@ -25,7 +25,7 @@ class CollectionStore:
         if not path_exists(self.spark, self.root):
             return self._empty()
         records = self.spark.read.schema(COLLECTION).parquet(self.root).select(COLLECTION.names)
-        return records.where(F.col("collection_name").isin(list(names))) if names else records
+        return spread(records.where(F.col("collection_name").isin(list(names))) if names else records)
 
     def exists(self, name: str) -> bool:
         return path_exists(self.spark, self._folder(name))
