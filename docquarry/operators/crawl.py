@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import urls
@@ -21,6 +21,10 @@ MAX_PAGES = 200
 MAX_DEPTH = 5
 PREVIEW_CHARS = 300
 
+# A page string holds fewer than 2**28 links, so parent and position fit one sortable number;
+# its minimum is taken in a hash aggregate, which a minimum of structs is not.
+_POS_BITS = 28
+
 
 @dataclass
 class Crawl:
@@ -116,6 +120,19 @@ def _judge(level: DataFrame, max_pages: int) -> DataFrame:
     )
 
 
+def place(parent: str, pos: str) -> Column:
+    """Place of a discovery as one number: the parent's order first, then the position."""
+    return F.col(parent) * F.lit(1 << _POS_BITS) + F.col(pos)
+
+
+def place_parent(column: str) -> Column:
+    return F.shiftright(F.col(column), _POS_BITS)
+
+
+def place_pos(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << _POS_BITS) - 1)).cast("int")
+
+
 def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """Targets on the stored pages of a level, each with the place of its first discovery."""
     taken = level.where(F.col("status") == "stored").select(
@@ -130,7 +147,7 @@ def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
         targets = targets.where("wanted")
     return targets.groupBy(
         "project", "base_netloc", "allowed", "depth", F.col("dst_url").alias("url"), "wanted"
-    ).agg(F.min(F.struct("queue_rank", "pos")).alias("_first"))
+    ).agg(F.min(place("queue_rank", "pos")).alias("_first"))
 
 
 def _next_level(levels: list[DataFrame], links: DataFrame, fetched: DataFrame, depth: int,
@@ -148,7 +165,7 @@ def _next_level(levels: list[DataFrame], links: DataFrame, fetched: DataFrame, d
         .select(
             "project", "base_netloc", "allowed", "url", "wanted", "fetched",
             (F.col("depth") + 1).alias("depth"),
-            F.col("_first.queue_rank").alias("_parent"), F.col("_first.pos").alias("_pos"),
+            place_parent("_first").alias("_parent"), place_pos("_first").alias("_pos"),
         )
     )
     storable = F.col("wanted") & F.col("fetched").isNotNull()
@@ -230,12 +247,15 @@ def fetch_status(targets: DataFrame, fetched: DataFrame) -> DataFrame:
     )
 
 
-def first_discovery(edges: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """One row per URL of a group: the place where it was seen first."""
+def first_discovery(edges: DataFrame, group: list[str], parent: str) -> DataFrame:
+    """One row per URL of a group: the ``parent`` number and ``pos`` where it was seen first."""
     return (
         edges.groupBy(*group, "dst_url")
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .select(*group, "dst_url", "_first.*")
+        .agg(F.min(place(parent, "pos")).alias("_first"))
+        .select(
+            *group, "dst_url",
+            place_parent("_first").alias(parent), place_pos("_first").alias("pos"),
+        )
     )
 
 

@@ -183,7 +183,7 @@ def visited_dedup(spark, sf_dir):
     edges = links.page_links(site.where("html is not null")).join(
         site.select(F.col("url").alias("src_url"), "project", "i"), "src_url"
     )
-    return crawl.first_discovery(edges, ["project"], ["i", "pos"])
+    return crawl.first_discovery(edges, ["project"], "i")
 
 
 def depth_limit(spark, sf_dir):
