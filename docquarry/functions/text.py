@@ -24,6 +24,11 @@ def words(cleaned: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda word: word != "")
 
 
+def raw_words(text: Column) -> Column:
+    """Words of any text, without cleaning it first."""
+    return F.filter(F.split(text, WHITESPACE), lambda word: word != "")
+
+
 def word_windows(word_list: Column, max_words: int = MAX_WORDS) -> Column:
     """Consecutive windows of ``max_words`` words joined by a space; the last may be short."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.functions.text import clean_text, words
+from docquarry.functions.text import raw_words
 from docquarry.functions.vectors import HASH_DIMENSION, hashed_vector
 
 BATCH_SIZE = 128
@@ -71,7 +71,7 @@ def embed(df: DataFrame, provider: Provider, column: str = "document",
     require_text_column(df, column)
     given = df.where(input_error(F.col(column)).isNull())
     if provider.function is None:
-        vector = hashed_vector(words(clean_text(F.col(column))), provider.dimension)
+        vector = hashed_vector(raw_words(F.col(column)), provider.dimension)
         return given.withColumn(out, vector)
     schema = T.StructType([*given.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     return given.mapInArrow(_batched(provider, column, out), schema)
