@@ -158,19 +158,22 @@ def _next_level(levels: list[DataFrame], links: DataFrame, fetched: DataFrame, d
         F.count(F.lit(1)).alias("_queued"),
         F.count_if(F.col("status") == "stored").alias("_stored"),
     )
-    new = (
+    new = stage(
         _discovered(levels[-1], links, depth)
         .join(queued.select("project", "url"), ["project", "url"], "left_anti")
-        .join(fetched, "url", "left")
         .select(
-            "project", "base_netloc", "allowed", "url", "wanted", "fetched",
+            "project", "base_netloc", "allowed", "url", "wanted",
             (F.col("depth") + 1).alias("depth"),
             place_parent("_first").alias("_parent"), place_pos("_first").alias("_pos"),
-        )
+        ),
+        f"new_{depth + 1}",
     )
+    # The size of ``new`` is known by now: if small, it is sent to the page list, not shuffled with it.
+    hits = fetched.join(new.select("url"), "url", "left_semi")
+    checked = new.join(hits, "url", "left")
     storable = F.col("wanted") & F.col("fetched").isNotNull()
     numbered = running_totals(
-        new, ["project"], ["_parent", "_pos"],
+        checked, ["project"], ["_parent", "_pos"],
         {"_place": F.lit(1), "_pages": storable.cast("int")}, span,
     )
     return numbered.join(totals, "project").select(

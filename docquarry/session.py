@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "docquarry") -> SparkSession:
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
