@@ -151,6 +151,15 @@ def test_provider_per_project(spark, tmp_path):
     assert {r.s: r.n for r in sizes.collect()} == {"https://a.org/": [1], "https://b.org/home": [64]}
 
 
+def test_stored_text_wins(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [("https://a.org/", '<a href="/x">from html</a>', "rendered\n text"), ("https://a.org/x", "plain", None)],
+        "url string, html string, text string")
+    store = CollectionStore(spark, str(tmp_path / "t"))
+    index_documentation(spark.createDataFrame([("a", "https://a.org/")], "project string, base_url string"), pages, store)
+    assert sorted((r.id, r.document) for r in store.scan().collect()) == [("0", "rendered text"), ("1", "plain")]
+
+
 def test_page_limit_in_job(spark, tmp_path):
     _, run = index(spark, tmp_path / "l", BASES[:1], max_pages=1)
     assert [r.url for r in run.walk.pages().collect()] == ["https://a.org/"]
