@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, urlrep
+from docquarry.llm import chat, jaccard, tokencount, urlrep
 from docquarry.llm.common import read
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of all documents."""
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat examples of all conversations and of a planted one, as digests read back from them."""
     control = "</s>[INST] ok [/INST]"
@@ -25,9 +30,16 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrep.filter_urls(pages, outcomes)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are similar."""
+    return jaccard.similar_groups(read(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
+    "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
     "op9_url_reputation": op9_url_reputation,
+    "op10_jaccard": op10_jaccard,
 }
 
 LLM_ORACLE: dict[str, str] = {}
