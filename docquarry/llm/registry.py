@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, jaccard, tokencount, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, tokencount, urlrep
 from docquarry.llm.common import read
 
 
@@ -23,6 +23,16 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.prefix_examples(turns.unionByName(planted)))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the documents that are not held out."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, substitutions allowed."""
+    return decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict; labels of documents judge the pages that show them."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -38,6 +48,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
+    "op7_language": op7_language,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
     "op10_jaccard": op10_jaccard,
 }
