@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, tokencount, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, repeats, tokencount, urlrep
 from docquarry.llm.common import read
 
 
@@ -23,6 +24,15 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.prefix_examples(turns.unionByName(planted)))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 400-byte strings that occur more than once."""
+    kept = repeats.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from the documents that are not held out."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -48,6 +58,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
+    "op3_repeats": op3_repeats,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
