@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, repeats, tokencount, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, pieces, repeats, tokencount, urlrep
 from docquarry.llm.common import read
 
 
@@ -33,6 +33,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and whether they decode to the text again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs)).select(
+        "doc_id", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from the documents that are not held out."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -59,6 +66,7 @@ LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
     "op3_repeats": op3_repeats,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
