@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, pieces, repeats, tokencount, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, pieces, quality, repeats, tokencount, topk, urlrep
 from docquarry.llm.common import read
 
 
@@ -40,6 +40,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all documents."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every vector whose id is divisible by 20."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from the documents that are not held out."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -67,6 +78,8 @@ LLM_QUERIES = {
     "op2_chat": op2_chat,
     "op3_repeats": op3_repeats,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
+    "op6_topk": op6_topk,
     "op7_language": op7_language,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
