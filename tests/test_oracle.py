@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
+from docquarry.plans.oracle import ORACLE
+from docquarry.plans.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,13 +25,13 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, tables, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    relation = tables.sql(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    relation = tables.sql(ORACLE[name])
     columns = sorted(df.columns)
     assert sorted(relation.columns) == columns
     wanted_types = dict(zip(relation.columns, map(str, relation.types)))
