@@ -1,4 +1,4 @@
-"""The registered query of every operator, and its SQL where SQL can express it."""
+"""The registered query of every operator; ``LLM_ORACLE`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import chat, decontam, jaccard, langid, pieces, quality, repeats, tokencount, topk, urlrep
 from docquarry.llm.common import read
+from docquarry.llm.oracle import LLM_ORACLE
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ LLM_QUERIES = {
     "op10_jaccard": op10_jaccard,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+__all__ = ["LLM_ORACLE", "LLM_QUERIES"]

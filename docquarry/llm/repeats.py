@@ -137,7 +137,7 @@ def _rows_held(shared, held: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                mask = shared.value.holds(part.column("_key").to_numpy()) == held
+                mask = shared.value.holds(part.column("__text_key").to_numpy()) == held
                 if mask.any():
                     yield part.filter(pa.array(mask))
     return run
@@ -166,8 +166,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     chosen = stage(fulls.join(mixed, "core").groupBy("at.text_key").agg(
         F.collect_list(F.struct("at.low", "at.high", "full")).alias("runs")), "chosen")
     of_runs = context.broadcast(Bitmap(chosen.select("text_key")))
-    bearing = source.withColumn("_key", F.col("text_key")).mapInArrow(
-        _rows_held(of_runs, True), "text_key bigint, text string, _key bigint").dropDuplicates(["text_key"])
+    bearing = source.withColumn("__text_key", F.col("text_key")).mapInArrow(
+        _rows_held(of_runs, True), "text_key bigint, text string, __text_key bigint").dropDuplicates(["text_key"])
     windows = stage(bearing.join(chosen, "text_key").select("text_key", "text", "runs").mapInArrow(
         _windows(length), "name bigint, full bigint, text_key bigint, start int"), "windows")
     again = windows.groupBy("name").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a <> b").select("name")
@@ -204,13 +204,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(docs, length)
     shared = docs.sparkSession.sparkContext.broadcast(Bitmap(spans.select("text_key")))
     own = docs.drop("kept", "n_removed", "n_spans")
-    keyed = own.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = own.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     untouched = keyed.mapInArrow(_rows_held(shared, False), keyed.schema).withColumns({
         "kept": raw, "n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint")})
     touched = keyed.mapInArrow(_rows_held(shared, True), keyed.schema).join(
-        spans.withColumnRenamed("text_key", "_key").withColumnRenamed("spans", "_spans"), "_key", "left")
-    span = F.coalesce("_spans", F.expr("cast(array() as array<struct<low:int,high:int>>)"))
+        spans.withColumnRenamed("text_key", "__text_key").withColumnRenamed("spans", "__spans"), "__text_key", "left")
+    span = F.coalesce("__spans", F.expr("cast(array() as array<struct<low:int,high:int>>)"))
     gaps = F.zip_with(
         F.concat(F.array(F.lit(0)), span["high"]), F.concat(span["low"], F.array(F.octet_length(raw))),
         lambda low, high: F.substring(raw, low + 1, high - low))

@@ -45,10 +45,10 @@ def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``doc_id`` count as one, and which of them stays is not defined.
     """
     fate = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
-        F.count("*").alias("rows"), F.max((F.col("component_id") != F.col("doc_id")).cast("int")).alias("drop"))
-    fate = fate.where("drop = 1 or rows > 1").select("doc_id", "drop")
+        F.count("*").alias("rows"), F.max((F.col("component_id") != F.col("doc_id")).cast("int")).alias("__drop"))
+    fate = fate.where("__drop = 1 or rows > 1").select("doc_id", "__drop")
     maybe, others = split_by_id(docs, fate)
     known = maybe.join(fate, "doc_id", "left")
-    kept = known.where("drop is null").select(docs.columns).union(
-        known.where("drop = 0").select(docs.columns).dropDuplicates(["doc_id"]))
+    kept = known.where("__drop is null").select(docs.columns).union(
+        known.where("__drop = 0").select(docs.columns).dropDuplicates(["doc_id"]))
     return others.union(kept)
