@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm.bitmap import Bitmap
 from docquarry.llm.common import WordHashes, batch_of, mix, rows_in, texts, weights
 from docquarry.llm.components import components
 from docquarry.session import stage
@@ -33,7 +34,6 @@ LEVELS = (1, 2, 3, 4, 6, 8)
 VERIFY_COST = 20.0
 FREQUENT = 1 << 18
 FLUSH = 2_000_000
-BLOOM_BITS = 1 << 26
 BUCKETS = 32
 PIVOT_ROUNDS = 2
 SEEN_SETS = 500_000
@@ -67,21 +67,21 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def _summary(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()),
-                        ("token", pa.int64()), ("df", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()),
+                        ("sid", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch | None:
         token, df = np.unique(np.concatenate(sets), return_counts=True)
         token, df = token[df >= 4], df[df >= 4]
         none = pa.nulls(len(token), pa.int64())
-        return batch_of(schema, none, none, none, token.view(np.int64), df.astype(np.int64))
+        return batch_of(schema, none, none, none, none, token.view(np.int64), df.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, out, seen, sets, held = Shingler(words), [], set(), [], 0
-        for doc_id, text in rows_in(batches, "doc_id", "text"):
+        for doc_id, key, text in rows_in(batches, "doc_id", "text_key", "text"):
             s = shingler.set_of(text)
             sid = set_id(s) if len(s) else None
-            out.append((doc_id, len(s), sid, None, None))
+            out.append((doc_id, key, len(s), sid, None, None))
             if len(out) >= 8_192:
                 yield batch_of(schema, *zip(*out))
                 out = []
@@ -156,38 +156,27 @@ def _prefixes(words: int, percent: int, frequent):
     return run
 
 
-def _bitmap(sids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that every given id is in; aggregated in tasks."""
-    bit = f"pmod(sid, {BLOOM_BITS})"
-    words = sids.selectExpr(f"shiftright({bit}, 5) as w", f"shiftleft(1L, int({bit} % 32)) as m")
-    held = np.zeros(BLOOM_BITS // 32, dtype=np.uint32)
-    table = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    held[table["w"].to_numpy()] = table["m"].to_numpy()
-    return held
-
-
-def _sets(words: int, bitmap):
+def _sets(words: int, wanted):
     schema = pa.schema([("sid", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         shingler, seen, out, held = Shingler(words), set(), [], 0
-        for (text,) in rows_in(batches, "text"):
-            s = shingler.set_of(text)
-            if len(s) == 0:
-                continue
-            sid = set_id(s)
-            bit = sid % BLOOM_BITS
-            if not bits[bit >> 5] >> (bit & 31) & 1 or sid in seen:
-                continue
-            if len(seen) >= SEEN_SETS:
-                seen.clear()
-            seen.add(sid)
-            out.append((sid, s.tobytes()))
-            held += len(s)
-            if held >= 200_000:
-                yield batch_of(schema, *zip(*out))
-                out, held = [], 0
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.holds(batch.column("text_key").to_numpy())))
+            for key, text in rows_in([batch], "text_key", "text"):
+                if key in seen:
+                    continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(key)
+                s = shingler.set_of(text)
+                if not len(s):
+                    continue
+                out.append((set_id(s), s.tobytes()))
+                held += len(s)
+                if held >= 200_000:
+                    yield batch_of(schema, *zip(*out))
+                    out, held = [], 0
         if out:
             yield batch_of(schema, *zip(*out))
 
@@ -223,15 +212,15 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     a row for each; a null doc_id takes part and is never the least. An empty table gives no
     rows; other columns are ignored.
 
-    The text is scanned three times and never shuffled; shuffled are prefix elements, and the
-    sets of documents that share a prefix element with another set.
+    The text is scanned in full twice, and once per round of verification for the texts of that round.
+    It is never shuffled; shuffled are prefix elements, and the sets of pairs to be verified.
     """
     spark = docs.sparkSession
-    narrow = texts(docs)
+    narrow = texts(docs).withColumn("text_key", F.xxhash64("text"))
     summary = stage(narrow.mapInArrow(
-        _summary(words), "doc_id bigint, n bigint, sid bigint, token bigint, df bigint"), "summary")
+        _summary(words), "doc_id bigint, text_key bigint, n bigint, sid bigint, token bigint, df bigint"), "summary")
     members = summary.where("n is not null").select("doc_id", "n", "sid")
-    links = _links(spark, narrow.select("text"), summary, words, percent)
+    links = _links(spark, narrow.select("text_key", "text"), summary, words, percent)
     label = components(links)
     nodes = members.where("sid is not null").join(
         label.withColumnRenamed("node", "sid"), "sid", "left").select(
@@ -249,46 +238,63 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
     known, counts = counted["token"].to_numpy().view(np.uint64), counted["df"].to_numpy()
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], counts[order]))
-    rows = narrow.mapInArrow(_prefixes(words, percent, frequent), "token bigint, sid bigint, n int, level smallint")
+    rows = narrow.select("text").mapInArrow(
+        _prefixes(words, percent, frequent), "token bigint, sid bigint, n int, level smallint")
     by_token = Window.partitionBy("token")
     shared = stage(rows.withColumns({
         "low": F.min("sid").over(by_token), "high": F.max("sid").over(by_token),
     }).where("low <> high").select("token", "sid", "n", "level").distinct(), "shared")
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared.select("sid").distinct()))
-    name = f"docquarry_sets_{uuid.uuid4().hex}"
-    found = narrow.mapInArrow(_sets(words, bitmap), "sid bigint, shingles binary")
-    found.dropDuplicates(["sid"]).write.bucketBy(BUCKETS, "sid").sortBy("sid").format("parquet").saveAsTable(name)
-    sets = spark.table(name)
+    bearer = summary.where("sid is not null").groupBy("sid").agg(F.min("text_key").alias("text_key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "pairs")
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        wanted = spark.sparkContext.broadcast(Bitmap(bearer.join(sids, "sid").select("text_key")))
+        name = f"docquarry_sets_{uuid.uuid4().hex}"
+        narrow.mapInArrow(_sets(words, wanted), "sid bigint, shingles binary").dropDuplicates(["sid"]).write.bucketBy(
+            BUCKETS, "sid").sortBy("sid").format("parquet").saveAsTable(name)
+        sets = spark.table(name)
         one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xs")), "a")
         two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("ys")), "b")
-        return stage(two.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+        found = stage(two.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+        spark.sql(f"drop table {name}")
+        return found
 
-    near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     links = spark.createDataFrame([], "a bigint, b bigint")
     open_rows = shared.withColumn("component", F.col("sid"))
     for turn in range(PIVOT_ROUNDS):
         rank = F.xxhash64("sid", F.lit(turn))
         pivots = open_rows.groupBy("token").agg(
-            F.min_by(F.struct("sid", "n", "component"), rank).alias("p"))
+            F.min_by(F.struct("sid", "n", "level", "component"), rank).alias("p"))
         met = open_rows.join(pivots, "token").where("component <> p.component").select(
-            F.col("sid").alias("a"), "n", "component", F.col("p.sid").alias("b"), F.col("p.n").alias("n2"))
-        best = met.where(near).groupBy("a", "b", "component").count().groupBy("a").agg(
-            F.max_by("b", F.struct("count", "b")).alias("b"))
-        links = stage(links.union(verified(stage(best, "pivots"))), "links")
+            F.col("sid").alias("a"), "n", "level", F.col("p.sid").alias("b"), F.col("p.n").alias("n2"),
+            F.col("p.level").alias("level2"))
+        best = _admitted(met, percent).groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+        links = stage(links.union(verified(best)), "links")
         open_rows = _still_open(shared, components(links))
     left = open_rows.alias("x").join(open_rows.alias("y"), [
         F.col("x.token") == F.col("y.token"), F.col("x.sid") < F.col("y.sid"),
         F.col("x.component") != F.col("y.component"),
         100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"),
-    ])
-    rest = left.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(
-        F.count("*").alias("common"), F.first(F.least("x.level", "y.level")).alias("level"),
-    ).where("common >= level").select("a", "b")
-    links = stage(links.union(verified(stage(rest, "pairs"))), "links")
-    spark.sql(f"drop table {name}")
-    return links
+    ]).select(F.col("x.sid").alias("a"), F.col("x.n").alias("n"), F.col("x.level").alias("level"),
+              F.col("y.sid").alias("b"), F.col("y.n").alias("n2"), F.col("y.level").alias("level2"))
+    return stage(links.union(verified(_admitted(left, percent).select("a", "b"))), "links")
+
+
+def _admitted(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b, common`` of the pairs that share enough prefix elements; a row of ``met`` is one of them.
+
+    A similar pair has at least ``o`` elements in common, so ``a`` has at most ``n - o`` that ``b`` lacks. Of
+    the prefix that ends first, all elements in common lie in the other prefix too.
+    """
+    o = F.ceil(percent * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
+
+    def side(level, n):
+        return F.col(level) + o - F.ceil(percent * F.col(n) / F.lit(100))
+
+    return met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).groupBy(
+        "a", "b").agg(F.count("*").alias("common"), F.first(F.least(side("level", "n"), side("level2", "n2"))).alias("least"),
+    ).where("common >= least").select("a", "b", "common")
 
 
 def _still_open(shared: DataFrame, label: DataFrame) -> DataFrame:
