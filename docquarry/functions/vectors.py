@@ -10,6 +10,11 @@ from docquarry.functions import let
 HASH_DIMENSION = 64
 
 
+def finite(vector: Column) -> Column:
+    """Whether every number of a vector is one: not NULL, not NaN, not infinite."""
+    return F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
 

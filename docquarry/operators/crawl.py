@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import urls
 from docquarry.operators.numbering import BUCKET_SPAN, running_totals
-from docquarry.session import stage
+from docquarry.session import all_salts, salt_of, stage
 
-MAX_PAGES = 200
-MAX_DEPTH = 5
 PREVIEW_CHARS = 300
 
 # A page string holds fewer than 2**28 links, so parent and position fit one sortable number;
@@ -37,7 +36,7 @@ class Crawl:
     projects: DataFrame
     queue: DataFrame
     links: DataFrame
-    max_depth: int
+    max_depth: int | None
 
     def pages(self) -> DataFrame:
         """Stored pages in crawl order."""
@@ -78,9 +77,9 @@ def _same_domain():
     return (F.col("dst_netloc") == "") | (F.col("dst_netloc") == F.col("base_netloc"))
 
 
-def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages: int = MAX_PAGES,
-          max_depth: int = MAX_DEPTH, span: int = BUCKET_SPAN) -> Crawl:
-    """Walk the links of every project at once.
+def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages: int | None = None,
+          max_depth: int | None = None, span: int = BUCKET_SPAN) -> Crawl:
+    """Walk the links of every project at once, to the end unless a limit is given.
 
     ``projects(project, base_url)``; ``links(src_url, pos, dst_url)`` with normalised
     targets; ``fetched(url)``: distinct URLs that could be fetched.
@@ -98,7 +97,7 @@ def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages:
     ).join(fetched, "url", "left").withColumn("page_rank", F.lit(0).cast("bigint"))
     level = _judge(start, max_pages)
     levels: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    for depth in count():
         levels.append(stage(level, f"level_{depth}"))
         if depth == max_depth or levels[-1].where("status = 'stored'").isEmpty():
             break
@@ -106,10 +105,11 @@ def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages:
     return Crawl(projects, reduce(DataFrame.unionByName, levels), links, max_depth)
 
 
-def _judge(level: DataFrame, max_pages: int) -> DataFrame:
+def _judge(level: DataFrame, max_pages: int | None) -> DataFrame:
     """What happens to each URL of a level; ``page_rank`` counts the pages stored before it."""
+    beyond = F.lit(False) if max_pages is None else F.col("page_rank") >= max_pages
     status = (
-        F.when(F.col("page_rank") >= max_pages, "not_visited")
+        F.when(beyond, "not_visited")
         .when(~F.col("wanted"), "irrelevant")
         .when(F.col("fetched").isNull(), "failed")
         .otherwise("stored")
@@ -192,10 +192,11 @@ def _summary(walk: Crawl) -> DataFrame:
         (F.count(F.lit(1)) - 1).alias("_queued"),
     )
 
-    # Links of the deepest pages are queued and never taken from the queue.
-    last = queue.where(F.col("depth") == walk.max_depth)
+    # With a depth limit, links of the deepest pages are queued and never taken from the queue.
+    deepest = -1 if walk.max_depth is None else walk.max_depth
+    last = queue.where(F.col("depth") == deepest)
     beyond = (
-        _discovered(last, links, walk.max_depth)
+        _discovered(last, links, deepest)
         .join(queue.select("project", "url"), ["project", "url"], "left_anti")
         .groupBy("project")
         .agg(F.count(F.lit(1)).alias("_beyond"))
@@ -208,13 +209,14 @@ def _summary(walk: Crawl) -> DataFrame:
     seen_links = stored.join(links, "src_url").withColumn(
         "_refused", _same_domain() & ~_relevant() & (F.col("depth") > 0)
     )
-    # Only base pages queue unwanted URLs, so this side holds one page of links per project.
+    # Only base pages queue unwanted URLs, so this side holds one page of links per project. A link that
+    # stands on every page of a site is one key; salting spreads it, the small side is repeated.
     unwanted = queue.where(
         visited & (~F.col("wanted") | (F.col("depth") == 0))
-    ).select("project", F.col("url").alias("dst_url"), F.col("queue_rank").alias("dst_rank"))
+    ).select("project", F.col("url").alias("dst_url"), F.col("queue_rank").alias("dst_rank"), all_salts())
     already = (
-        seen_links.where("_refused")
-        .join(unwanted, ["project", "dst_url"])
+        seen_links.where("_refused").withColumn("_salt", salt_of("src_url"))
+        .join(unwanted, ["project", "dst_url", "_salt"])
         .where(F.col("dst_rank") <= F.col("src_rank"))
         .groupBy("project")
         .agg(F.count(F.lit(1)).alias("_already"))

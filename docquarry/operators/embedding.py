@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions.text import raw_words
-from docquarry.functions.vectors import HASH_DIMENSION, hashed_vector
+from docquarry.functions.vectors import HASH_DIMENSION, finite, hashed_vector
 
 BATCH_SIZE = 128
 MAX_RETRIES = 3
@@ -91,9 +91,11 @@ def _batched(provider: Provider, column: str, out: str):
                 if attempt == retries:
                     raise
                 sleep(backoff * 2**attempt)
-        if not isinstance(vectors, list) or len(vectors) != len(texts):
-            raise RuntimeError(f"asked for {len(texts)} vectors, got another shape")
-        return vectors
+        if len(vectors) != len(texts):
+            raise RuntimeError(f"asked for {len(texts)} vectors, got {len(vectors)}")
+        if len({len(v) for v in vectors}) > 1:
+            raise RuntimeError("vectors of different lengths")
+        return [list(v) for v in vectors]
 
     def run(batches):
         import pyarrow as pa
@@ -148,25 +150,32 @@ def batch_plan(numbered: DataFrame, group: list[str], number: Column,
 
 
 def validate_embeddings(records: DataFrame, group: str, dimension: int) -> DataFrame:
-    """Per group: records, missing vectors and vectors of another length."""
+    """Per group: records, missing vectors, vectors of another length or with a number that is none."""
     size = F.size("embedding")
+    whole = finite(F.col("embedding"))
     return records.groupBy(group).agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("embedding").isNull()).alias("missing"),
         F.count_if(F.col("embedding").isNotNull() & (size != dimension)).alias("wrong_size"),
-        F.count_if(F.col("embedding").isNotNull() & (size == dimension)).alias("valid"),
+        F.count_if(F.col("embedding").isNotNull() & (size == dimension) & ~whole).alias("not_finite"),
+        F.count_if(F.col("embedding").isNotNull() & (size == dimension) & whole).alias("valid"),
     )
 
 
-def require_valid(records: DataFrame, dimension: int) -> DataFrame:
-    """Pass records through and fail the job at the first bad vector."""
-    good = F.col("embedding").isNotNull() & (F.size("embedding") == dimension)
-    checked = F.when(good, F.col("embedding")).otherwise(
-        F.raise_error(F.lit(f"expected a vector of {dimension} numbers"))
+def require_valid(records: DataFrame, dimension: int | Column | None) -> DataFrame:
+    """Pass records through and fail the job at the first bad vector; NULL ``dimension`` allows any length."""
+    wanted = F.lit(dimension).cast("int") if not isinstance(dimension, Column) else dimension
+    good = (
+        F.col("embedding").isNotNull() & finite(F.col("embedding"))
+        & (F.size("embedding") == F.coalesce(wanted, F.size("embedding")))
     )
+    checked = F.when(good, F.col("embedding")).otherwise(F.raise_error(F.concat(
+        F.lit("expected a vector of "), F.coalesce(wanted.cast("string"), F.lit("any number of")),
+        F.lit(" numbers"))))
     return records.withColumn("embedding", checked)
 
 
 def attach_embeddings(records: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair records with precomputed vectors by key."""
-    return records.join(vectors.select(*keys, "embedding"), keys)
+    """Pair records with precomputed vectors by key; one without a vector stays, with ``error`` set."""
+    missing = F.when(F.col("embedding").isNull(), "missing_vector")
+    return records.join(vectors.select(*keys, "embedding"), keys, "left").withColumn("error", missing)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import let, urls
 from docquarry.functions.html import hrefs
+from docquarry.session import all_salts, salt_of
 
 AUDIT_LINKS = 50
 AUDIT_EXAMPLES = 10
@@ -31,12 +32,17 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def link_graph(projects: DataFrame, links: DataFrame) -> DataFrame:
-    """Same-domain edges of every project: ``projects(project, base_url)`` and page links."""
-    bases = projects.select("project", urls.netloc(F.col("base_url")).alias("base_netloc"))
-    edges = links.withColumn("base_netloc", urls.netloc(F.col("src_url")))
+    """Same-domain edges of every project: ``projects(project, base_url)`` and page links.
+
+    The edges of a large host are spread over salts.
+    """
+    bases = projects.select("project", urls.netloc(F.col("base_url")).alias("base_netloc"), all_salts())
+    edges = links.withColumn("base_netloc", urls.netloc(F.col("src_url"))).withColumn(
+        "_salt", salt_of("src_url")
+    )
     return (
         edges.where(urls.same_domain(F.col("dst_url"), F.col("base_netloc")))
-        .join(bases, "base_netloc")
+        .join(bases, ["base_netloc", "_salt"])
         .select("project", "src_url", "pos", "dst_url")
     )
 

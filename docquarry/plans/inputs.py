@@ -66,7 +66,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Page ``i`` of a site keeps its own links and gains links to ``16i+1 .. 16i+16``,
     ``3i+1``, ``i-1``, the start page and one foreign host. A page whose HTML breaks off
-    before the end of the body counts as not fetched: its ``html`` is NULL.
+    before the end of the body counts as not fetched: its ``html`` is NULL. Start pages are always fetched.
     """
     own_path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     own_query = F.regexp_extract("url", r"\?([^#]*)", 1)
@@ -102,7 +102,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = made.join(anchors, ["project", "i"]).select(
         "project", "i", "url",
         F.when(
-            F.col("html").contains("</body>"),
+            F.col("html").contains("</body>") | (i == 0),
             F.concat("html", F.lit("<nav>"), "links", foreign, F.lit("</nav>")),
         ).alias("html"),
     )
@@ -194,12 +194,11 @@ def mixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of the article element per page; blank where the page breaks off inside it."""
-    article = F.regexp_extract("html", r"(?is)<article>(.*?)</article>", 1)
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible text of every page."""
     return prepare_pages(
         pages(spark, sf_dir).select(
             host().alias("project"), "url", F.col("page_id").alias("page_rank"),
-            visible_text(article).alias("text"),
+            visible_text(F.col("html")).alias("text"),
         )
     )

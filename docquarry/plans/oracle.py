@@ -12,6 +12,8 @@ from docquarry.functions.urls import ASSET_EXTENSIONS, BLOCKED_KEYWORDS
 DIMENSION = 64
 CHUNK = 500
 NO_LIMIT = 1 << 40
+# Deeper than any walk over the given tables; a level without pages adds nothing.
+TO_THE_END = 12
 
 
 def _quote(text: str) -> str:
@@ -219,7 +221,7 @@ SITE = rf"""made AS (
          unnest(list_concat(range(16 * i + 1, 16 * i + 17), [3 * i + 1, greatest(i - 1, 0), 0])) AS j
   FROM made)""", """site AS (
   SELECT m.project, m.i, m.url,
-         CASE WHEN contains(m.html, '</body>') THEN m.html || '<nav>' || l.anchors
+         CASE WHEN contains(m.html, '</body>') OR m.i = 0 THEN m.html || '<nav>' || l.anchors
               || '<a href="https://off.example.org/' || m.i || '">x</a></nav>' END AS html
   FROM made m JOIN (
     SELECT e.project, e.i, string_agg(
@@ -275,11 +277,11 @@ def crawl_ctes(max_pages: int, max_depth: int) -> list[str]:
     return ctes
 
 
-SUMMARY = """SELECT b.project,
+SUMMARY = f"""SELECT b.project,
   (SELECT count(*) FROM queue q WHERE q.project = b.project AND status = 'stored') AS pages_scraped,
   (SELECT count(*) FROM seen s WHERE s.project = b.project) AS links_found,
   (SELECT count(*) FROM queue q WHERE q.project = b.project) - 1
-    + (SELECT count(*) FROM level_6 l WHERE l.project = b.project) AS links_added,
+    + (SELECT count(*) FROM level_{TO_THE_END + 1} l WHERE l.project = b.project) AS links_added,
   (SELECT count(*) FROM seen s WHERE s.project = b.project AND (
      s.dst_netloc NOT IN ('', s.base_netloc)
      OR (s.depth > 0 AND NOT s.relevant AND NOT EXISTS (
@@ -294,7 +296,7 @@ SEEN = """seen AS (
 
 ARTICLES = f"""articles AS (
   SELECT page_id, {netloc('url')} AS host,
-         {visible("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS text
+         {visible('html')} AS text
   FROM pages)"""
 
 DOCUMENTS = """source_pages AS (
@@ -314,14 +316,15 @@ CORPUS = ["corpus_pages AS (SELECT doc_id, text FROM documents)",
     *vector_ctes("corpus", "id", "document", "corpus_vectors")]
 
 
-def answer_ctes(queries: str, top_k: int) -> list[str]:
-    """``answers`` of ``queries(query_id, text)`` from the collection of all documents."""
+def answer_ctes(queries: str, top_k: int, vectors: str = "") -> list[str]:
+    """``answers`` of ``queries(query_id, text)``, and of ``vectors``, from the collection of all documents."""
+    more = f" UNION ALL {vectors}" if vectors else ""
     return [*CORPUS, *vector_ctes(queries, "query_id", "text", "query_vectors"), f"""answers AS (
       SELECT query_id, rank, id, distance, document, source FROM (
         SELECT query_id, id, distance,
                row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank
         FROM (SELECT query_id, id, {distance('c.embedding', 'q.embedding')} AS distance
-              FROM query_vectors q CROSS JOIN corpus_vectors c)) JOIN corpus USING (id)
+              FROM (SELECT query_id, embedding FROM query_vectors{more}) q CROSS JOIN corpus_vectors c)) JOIN corpus USING (id)
       WHERE rank <= {top_k})"""]
 
 
@@ -339,7 +342,7 @@ MIXED = """mixed AS (
 MIXED_ERROR = """CASE WHEN dimension IS NULL THEN 'invalid_query'
   WHEN dimension <> 64 THEN 'dimension_mismatch' END"""
 
-SITE_CHUNKS = [*crawl_ctes(200, 5), f"""stored_pages AS (
+SITE_CHUNKS = [*crawl_ctes(NO_LIMIT, TO_THE_END), f"""stored_pages AS (
   SELECT q.project, q.page_rank, q.url, {visible('html')} AS text
   FROM queue q JOIN site USING (url) WHERE status = 'stored')""",
     *chunk_ctes("stored_pages", "project, page_rank, url"), """site_chunks AS (
@@ -419,7 +422,7 @@ ORACLE = {
       SELECT url AS src_url, pos, {normal(f"({resolve('href', 'url')})")} AS dst_url FROM links)""",
       select=f"""SELECT name AS project, src_url, pos, dst_url FROM edges JOIN projects
         ON name = {netloc('src_url')} WHERE {netloc('dst_url')} IN ('', name)"""),
-    "crawl_bfs": _with(*crawl_ctes(NO_LIMIT, 5), select="""
+    "crawl_bfs": _with(*crawl_ctes(NO_LIMIT, TO_THE_END), select="""
       SELECT project, url, depth, page_rank FROM queue WHERE status = 'stored'"""),
     "visited_dedup": _with(*SITE, select="""
       SELECT project, dst_url, (min([i, pos]))[1] AS i, (min([i, pos]))[2]::INTEGER AS pos
@@ -432,8 +435,8 @@ ORACLE = {
       SELECT dst_url AS url, CASE WHEN EXISTS (SELECT 1 FROM site s WHERE s.url = d.dst_url
         AND html IS NOT NULL) THEN 'fetched' ELSE 'failed' END AS status
       FROM (SELECT DISTINCT dst_url FROM site_links) d"""),
-    "crawl_summary": _with(*crawl_ctes(200, 5), SEEN, select=SUMMARY),
-    "scrape_report": _with(*crawl_ctes(200, 5), f"""texts AS (
+    "crawl_summary": _with(*crawl_ctes(NO_LIMIT, TO_THE_END), SEEN, select=SUMMARY),
+    "scrape_report": _with(*crawl_ctes(NO_LIMIT, TO_THE_END), f"""texts AS (
       SELECT q.project, page_rank, url, {visible('html')} AS text
       FROM queue q JOIN site USING (url) WHERE status = 'stored')""", select=r"""
       SELECT project, page_rank + 1 AS page_number, url, length(text)::INTEGER AS text_chars,
@@ -470,7 +473,10 @@ ORACLE = {
     "embed_validate": """
       SELECT source, count(*) AS records, count(*) FILTER (embedding IS NULL) AS missing,
              count(*) FILTER (embedding IS NOT NULL AND lang = 'fr') AS wrong_size,
-             count(*) FILTER (embedding IS NOT NULL AND lang <> 'fr') AS valid
+             count(*) FILTER (embedding IS NOT NULL AND lang <> 'fr'
+               AND len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
+             count(*) FILTER (embedding IS NOT NULL AND lang <> 'fr'
+               AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0) AS valid
       FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source""",
     "provider_info": _with(RECORDS, select="""
       SELECT collection_name, count(*) AS record_count, 'hashed' AS provider_name,
@@ -480,9 +486,10 @@ ORACLE = {
       select=numbers("vectors", "query_id")),
     "embed_input_check": """SELECT doc_id,
       CASE WHEN lang <> 'en' THEN 'text_is_null' END AS error FROM documents""",
-    "attach_embeddings": numbers(
-      "(SELECT doc_id, source, embedding FROM documents JOIN embeddings ON vec_id = doc_id)",
-      "doc_id, source"),
+    "attach_embeddings": """
+      SELECT doc_id, source, CASE WHEN embedding IS NULL THEN 'missing_vector' END AS error,
+             embedding[1] AS first_number, embedding[-1] AS last_number
+      FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "collection_add": _with(PLAIN, select="""
       SELECT collection_name, id, CASE WHEN doc_id IN (SELECT doc_id FROM labels)
              THEN 'labelled' ELSE text END AS document FROM plain"""),
@@ -541,10 +548,10 @@ ORACLE = {
     "index_documentation": _with(*SITE_CHUNKS, select="""
       SELECT collection_name, id, document, page_url, chunk_pos, source FROM site_chunks"""),
     "search_docs": _with(MIXED, "texts AS (SELECT query_id, text FROM mixed WHERE text IS NOT NULL)",
-      *answer_ctes("texts", 5), select=f"""
+      *answer_ctes("texts", 5, "SELECT vec_id * 4 + 1, embedding FROM embeddings"), select=f"""
       SELECT query_id, rank, id, distance AS score, document, NULL::VARCHAR AS error FROM answers
       UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, {MIXED_ERROR} FROM mixed
-      WHERE kind <> 'vector' AND text IS NULL"""),
+      WHERE ({MIXED_ERROR}) IS NOT NULL"""),
     "index_and_search": _with(*SITE_CHUNKS,
       "keyed AS (SELECT project || '/' || id AS k, document FROM site_chunks)",
       *vector_ctes("keyed", "k", "document", "chunk_vectors"), TEXTS,

@@ -21,8 +21,6 @@ from docquarry.sources.projects import find_projects, read_projects
 from docquarry.sources.projects import write_projects as save_projects
 from docquarry.sources.store import CollectionStore
 
-NO_PAGE_LIMIT = 1 << 40
-
 
 def _numbers(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("pos", "value"))
@@ -78,7 +76,7 @@ def open_collection(spark, sf_dir):
 
 
 def pick_collection(spark, sf_dir):
-    return stores.first_collection(inputs.vector_records(spark, sf_dir))
+    return _vector_store(spark, sf_dir).first()
 
 
 # URL predicates and projections
@@ -175,7 +173,7 @@ def _walk(spark, sf_dir, **limits):
 
 
 def crawl_bfs(spark, sf_dir):
-    return _walk(spark, sf_dir, max_pages=NO_PAGE_LIMIT).pages()
+    return _walk(spark, sf_dir).pages()
 
 
 def visited_dedup(spark, sf_dir):
@@ -187,13 +185,13 @@ def visited_dedup(spark, sf_dir):
 
 
 def depth_limit(spark, sf_dir):
-    return _walk(spark, sf_dir, max_pages=NO_PAGE_LIMIT, max_depth=1).queue.select(
+    return _walk(spark, sf_dir, max_depth=1).queue.select(
         "project", "url", "depth", "queue_rank", "status"
     )
 
 
 def page_limit(spark, sf_dir):
-    return _walk(spark, sf_dir, max_pages=12).queue.select(
+    return _walk(spark, sf_dir, max_pages=12, max_depth=5).queue.select(
         "project", "url", "depth", "queue_rank", "page_rank", "status"
     )
 
@@ -238,7 +236,7 @@ def chunk_words(spark, sf_dir):
 
 
 def drop_empty(spark, sf_dir):
-    return chunks.chunk_pages(inputs.article_pages(spark, sf_dir)).select(
+    return chunks.chunk_pages(inputs.text_pages(spark, sf_dir)).select(
         F.col("page_rank").alias("page_id"), "chunk_pos", "document"
     )
 
@@ -264,7 +262,7 @@ def chunk_metadata(spark, sf_dir):
 
 def empty_corpus(spark, sf_dir):
     hosts = inputs.projects(spark, sf_dir).select(F.col("name").alias("project"))
-    return chunks.corpus_status(hosts, inputs.article_pages(spark, sf_dir))
+    return chunks.corpus_status(hosts, inputs.text_pages(spark, sf_dir))
 
 
 def corpus_stats(spark, sf_dir):
@@ -346,8 +344,7 @@ def embed_validate(spark, sf_dir):
 
 
 def provider_info(spark, sf_dir):
-    counted = stores.counts(inputs.vector_records(spark, sf_dir))
-    return embedding.provider_info(counted, Provider())
+    return embedding.provider_info(_vector_store(spark, sf_dir).counts(), Provider())
 
 
 def embed_queries(spark, sf_dir):
@@ -369,8 +366,10 @@ def attach_embeddings(spark, sf_dir):
     vectors = inputs.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "embedding"
     )
-    return _numbers(
-        embedding.attach_embeddings(documents, vectors, ["doc_id"]), "doc_id", "source"
+    attached = embedding.attach_embeddings(documents, vectors, ["doc_id"])
+    return attached.select(
+        "doc_id", "source", "error", F.col("embedding")[0].alias("first_number"),
+        F.element_at("embedding", -1).alias("last_number"),
     )
 
 
@@ -403,13 +402,16 @@ def collection_add(spark, sf_dir):
 
 
 def collection_delete(spark, sf_dir):
-    """All documents but those labelled toxic."""
+    """All documents but those labelled toxic, which are deleted from the stored collections."""
     records = _plain_documents(spark, sf_dir)
+    store = _new_store(spark)
+    store.write(records)
     toxic = inputs.table(spark, sf_dir, "labels").where("toxic = 1").select(
         F.col("doc_id").cast("string").alias("id")
     )
     ids = records.select("collection_name", "id").join(toxic, "id")
-    return stores.without(records, ids).select("collection_name", "id", "document")
+    store.delete(ids)
+    return store.scan().select("collection_name", "id", "document")
 
 
 def collection_clear(spark, sf_dir):
@@ -419,7 +421,7 @@ def collection_clear(spark, sf_dir):
 
 
 def collection_count(spark, sf_dir):
-    return stores.counts(inputs.vector_records(spark, sf_dir))
+    return _vector_store(spark, sf_dir).counts()
 
 
 def collection_info(spark, sf_dir):
@@ -431,7 +433,7 @@ def collection_info(spark, sf_dir):
     projects = labels.unionByName(sources).distinct().select(
         "name", url.alias("url"), urls.collection_name(url).alias("collection_name")
     )
-    return stores.info(projects, inputs.vector_records(spark, sf_dir))
+    return stores.info(projects, _vector_store(spark, sf_dir).scan())
 
 
 def knn_one(spark, sf_dir):
@@ -532,7 +534,7 @@ def index_documentation(spark, sf_dir):
 
 
 def search_docs(spark, sf_dir):
-    queries = inputs.mixed_queries(spark, sf_dir).where("kind <> 'vector'").select(
+    queries = inputs.mixed_queries(spark, sf_dir).select(
         "query_id", inputs.corpus_name().alias("collection_name"),
         "query_text", "query_embedding", F.lit(5).alias("top_k"),
     )

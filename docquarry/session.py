@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -70,6 +71,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+SALTS = 16
+
+
+def salt_of(column: str) -> Column:
+    """One of ``SALTS`` parts of a key, chosen by ``column``; joins with ``all_salts``."""
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def all_salts() -> Column:
+    """``_salt``: a row per part, for the small side of a join whose other side has hot keys."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _filesystem(spark, path)
     return fs.exists(hadoop_path)

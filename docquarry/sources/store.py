@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.schemas import COLLECTION
-from docquarry.session import delete_path, make_dir, path_exists, spread
+from docquarry.session import delete_path, make_dir, path_exists, spread, stage
 
 
 class CollectionStore:
@@ -41,16 +41,23 @@ class CollectionStore:
         self._save(records, "overwrite")
 
     def add(self, records: DataFrame) -> None:
-        """Insert records whose id the collection does not hold yet."""
-        self._save(absent(records, self.scan()), "append")
-
-    def delete(self, name: str, ids: DataFrame) -> None:
-        """Remove the records with the given ``ids(id)`` from one collection."""
-        kept = without(self.scan(name), ids.select(F.lit(name).alias("collection_name"), "id"))
-        if kept.isEmpty():
-            self.clear(name)
-        else:
-            self._save(kept, "overwrite")
+        """Insert records whose id the collection does not hold yet; of repeats one is inserted."""
+        once = records.dropDuplicates(["collection_name", "id"])
+        self._save(absent(once, self.scan()), "append")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Remove the records ``ids(collection_name, id)``; only collections that lose some are rewritten."""
+        named = stage(ids.select("collection_name", "id").distinct(), "deleted")
+        stored = self.scan()
+        hit = stage(
+            stored.select("collection_name", "id").join(named, ["collection_name", "id"], "left_semi")
+            .groupBy("collection_name").agg(F.count(F.lit(1)).alias("_gone")), "hit",
+        )
+        kept = stage(without(stored.join(hit.select("collection_name"), "collection_name", "left_semi"), named), "kept")
+        self._save(kept, "overwrite")
+        emptied = hit.join(kept.select("collection_name").distinct(), "collection_name", "left_anti")
+        for row in emptied.toLocalIterator():
+            self.clear(row["collection_name"])
 
     def clear(self, name: str) -> None:
         """Remove all records of a collection and leave it empty."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import urls
 from docquarry.operators import registry
 from docquarry.operators.embedding import Provider
-from docquarry.plans.jobs import index_documentation, search_docs
+from docquarry.plans.jobs import index_and_search, index_documentation, search_docs
 from docquarry.schemas import COLLECTION, PROJECTS
 from docquarry.session import scratch_root
 from docquarry.sources.projects import find_projects, read_projects, write_projects
@@ -34,9 +34,11 @@ def test_store(spark, tmp_path):
     # only new ids are inserted
     store.add(rows(spark, ("b", "5", "other"), ("b", "6", "m"), ("c", "0", "k")))
     assert content(store.scan("b", "c")) == [("b", "5", "n"), ("b", "6", "m"), ("c", "0", "k")]
-    store.delete("b", spark.createDataFrame([("5",), ("77",)], "id string"))
+    store.delete(spark.createDataFrame([("b", "5"), ("b", "77"), ("gone", "1")], "collection_name string, id string"))
     assert content(store.scan("b")) == [("b", "6", "m")]
-    store.delete("b", spark.createDataFrame([("6",)], "id string"))
+    store.add(rows(spark, ("d", "1", "x"), ("d", "1", "x"), ("d", "1", "y")))
+    assert store.scan("d").count() == 1
+    store.delete(spark.createDataFrame([("b", "6"), ("d", "1")], "collection_name string, id string"))
     assert store.open("b").count() == 0 and store.exists("b")
     store.clear("c")
     store.clear("c")
@@ -151,6 +153,38 @@ def test_provider_per_project(spark, tmp_path):
     assert {r.s: r.n for r in sizes.collect()} == {"https://a.org/": [1], "https://b.org/home": [64]}
 
 
+def test_search_with_the_provider_of_the_index(spark, tmp_path):
+    bases = spark.createDataFrame([("a", "https://a.org/", "own"), ("b", "https://b.org/home", "hashed")],
+                                  "project string, base_url string, embedding_provider string")
+    own = Provider("own", "m", 1, function=lambda ts: [[float(len(t))] for t in ts])
+    names = {p: spark.range(1).select(urls.collection_name(F.lit(u))).first()[0]
+             for p, u in (("a", "https://a.org/"), ("b", "https://b.org/home"))}
+    queries = spark.createDataFrame(
+        [(1, names["a"], "guide text n", None, 1), (2, names["b"], "second page", None, 1), (3, "none", "x", None, 1),
+         (4, names["a"], "x", None, 0), (5, names["a"], None, [1.0, 2.0], 1), (6, names["b"], None, [float("nan")] * 64, 1)],
+        "query_id long, collection_name string, query_text string, query_embedding array<float>, top_k int")
+    found = index_and_search(bases, spark.createDataFrame(PAGES, "url string, html string"),
+                             CollectionStore(spark, str(tmp_path / "w")), queries, {"own": own, "hashed": Provider()})
+    got = {r.query_id: (r.document, r.error) for r in found.collect()}
+    assert got == {1: ("guide text n", None), 2: ("second page", None), 3: (None, "unknown_collection"),
+                   4: (None, "invalid_top_k"), 5: (None, "dimension_mismatch"), 6: (None, "invalid_query")}
+
+
+def test_repeated_pages_change_nothing(spark, tmp_path):
+    stores = []
+    for name, pages in (("one", PAGES), ("two", PAGES + PAGES)):
+        store = CollectionStore(spark, str(tmp_path / name))
+        run = index_documentation(spark.createDataFrame(BASES, "project string, base_url string"),
+                                  spark.createDataFrame(pages, "url string, html string"), store)
+        stores.append((content(store.scan()), sorted(map(tuple, run.walk.summary().collect()))))
+    assert stores[0] == stores[1]
+
+
+def test_shared_base_url_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="https://a.org/"):
+        index(spark, tmp_path / "r", BASES + [("again", "https://a.org/")])
+
+
 def test_stored_text_wins(spark, tmp_path):
     pages = spark.createDataFrame(
         [("https://a.org/", '<a href="/x">from html</a>', "rendered\n text"), ("https://a.org/x", "plain", None)],
@@ -163,6 +197,9 @@ def test_stored_text_wins(spark, tmp_path):
 def test_page_limit_in_job(spark, tmp_path):
     _, run = index(spark, tmp_path / "l", BASES[:1], max_pages=1)
     assert [r.url for r in run.walk.pages().collect()] == ["https://a.org/"]
+    assert [r.truncated for r in run.status.collect()] == [True]
+    _, run = index(spark, tmp_path / "m", BASES[:1])
+    assert [r.truncated for r in run.status.collect()] == [False]
 
 
 def test_scratch_folder_is_the_configured_one(spark):
