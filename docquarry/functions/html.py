@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.functions import let
 from docquarry.functions.text import clean_text
 
 # Elements that start a new line when a page is displayed.
@@ -39,10 +42,38 @@ _HREF = (
 )
 
 
+# All named characters of HTML 4, with those above as they are.
+_NAMED = {
+    **{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'",
+    **{name[1:-1]: character for name, character in ENTITIES},
+}
+_ENTITY = r"^&(#[xX]?[0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,30});"
+
+
+def _entity(body: Column) -> Column:
+    """The character of ``#39``, ``#x27`` or ``quot``; NULL if there is none."""
+    hexadecimal = F.lower(F.substring(body, 1, 2)) == "#x"
+    digits = F.when(hexadecimal, F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 8))
+    code = digits.try_cast("int")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    table = F.create_map(*[F.lit(part) for pair in _NAMED.items() for part in pair])
+    return F.when(
+        body.startswith("#"), F.when(real, F.format_string("%c", code))
+    ).otherwise(F.try_element_at(table, body))
+
+
 def decode_entities(text: Column) -> Column:
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """Numeric and named character references, each decoded once; unknown ones stay."""
+    def part(piece):
+        return let(
+            F.regexp_extract(piece, _ENTITY, 1),
+            lambda body: F.coalesce(
+                F.concat(_entity(body), F.substring(piece, F.length(body) + 3, F.length(piece))), piece
+            ),
+        )
+
+    decoded = F.array_join(F.transform(F.split(text, "(?=&)"), part), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def hrefs(html: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/docquarry/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end, but for those staged with ``keep``.
+
+    What leaves a scope must not read any other: stage it with ``keep``, which leaves it to
+    the scope around, if there is one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
     Unlike a checkpointed RDD the result keeps column pruning, filter pushdown and a
@@ -59,6 +79,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    owner = len(_scopes) - (2 if keep else 1)
+    if owner >= 0:
+        _scopes[owner].append(path.rsplit("/", 1)[0])
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

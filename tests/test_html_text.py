@@ -97,3 +97,17 @@ def test_report_and_audit(spark):
     assert (row.links_total, row.same_domain, row.different_domain) == (63, 62, 1)
     assert (row.passed, row.filtered_out) == (50, 0)
     assert row.passed_examples == [f"https://d.com/n{i}" for i in range(10)]
+
+
+def test_character_references(spark):
+    """Numeric and named references are decoded once, as the standard library does it."""
+    import html
+
+    from docquarry.functions.html import decode_entities
+
+    texts = ["it&#39;s &mdash; &#x41;", "&amp;#39; &amp;amp; x", "&unknown; &;", "a & b &lt;p&gt;", "",
+             "&#X1F600;&eacute;&Eacute;", None, "&hellip;&hellip;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(decode_entities(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == [t and html.unescape(t) for t in texts]
+    link = spark.createDataFrame([('<a href="/x&#38;y">z</a>',)], "h string").select(hrefs(F.col("h")).alias("l"))
+    assert link.first().l == ["/x&y"]
