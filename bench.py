@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docquarry.plans.queries import QUERIES  # noqa: E402
-from docquarry.session import local_session  # noqa: E402
+from docquarry.session import local_session, scope  # noqa: E402
 
 HEADLINE = [
     "relevant_docs_url", "link_graph", "link_audit", "visible_text", "clean_text",
@@ -28,8 +28,9 @@ HEADLINE = [
 
 def run(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with scope(spark):
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:
