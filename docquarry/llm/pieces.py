@@ -3,12 +3,13 @@
 Texts are cut into units that no piece of the model crosses. The distinct units of the corpus
 become a lattice: their substrings of bounded length are exploded and joined to the piece table,
 edges are grouped by unit, and a fold over the edges picks the path. A unigram model takes the
-Viterbi fold, the path of the highest total score. A merge (BPE) model defines its result by the
-order of its merges, not by a total, so its fold merges the best edge of the same lattice until
-none is left; a Viterbi fold would give other pieces than the model's own.
+Viterbi fold, the path of the highest total score, as a higher-order aggregate. A merge (BPE) model
+defines its result by the order of its merges, not by a total, so its fold merges the best edge of
+the same lattice until none is left; a Viterbi fold would give other pieces than the model's own.
 
-Encoded units go back to blocks of texts: each block gets the units it holds. A block travels
-compressed, and every distinct unit is encoded once, however often it occurs.
+Every distinct unit is encoded once, however often it occurs, and goes back to the blocks of texts that
+hold it. One shuffle brings the occurrences of a unit together, a second one the texts of a block and
+its units; both travel compressed.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import batch_of
-from docquarry.session import stage
+from docquarry.llm.common import batch_of, rows_in
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_UNIT = 48
 BLOCK_CHARS = 24_000_000
-_LETTER = r"A-Za-zÀ-▀▂-\U0010ffff"
+MOST_BLOCKS = 4_096
+_LETTER = r"A-Za-z\u00c0-\u1fff\u2070-\u2580\u2582-\U0010ffff"
 #: From fine to coarse; the first that no piece crosses is used.
 CUTS = (rf"{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}]+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"(?s).+")
 NORMAL, UNKNOWN, BYTE, UNIGRAM = 1, 2, 6, 1
@@ -72,14 +73,6 @@ def read_model(path: str = MODEL) -> Model:
                  m.trainer_spec.model_type == UNIGRAM, m.normalizer_spec.add_dummy_prefix)
 
 
-_MERGE = """
-aggregate(sequence(1, n - 1), sequence(0, n), (cuts, k) ->
-  element_at(transform(array(array_max(transform(
-    filter(edges, e -> e.b - e.a > 1 and array_contains(cuts, e.a) and array_contains(cuts, e.b)
-                       and size(filter(cuts, c -> c > e.a and c < e.b)) = 1),
-    e -> struct(e.score as score, -e.a as first, e.a as a, e.b as b)))),
-    best -> if(best is null, cuts, filter(cuts, c -> c <= best.a or c >= best.b))), 1))
-"""
 _VITERBI = """
 aggregate(sequence(1, n), array(struct(0.0D as score, array(0) as cuts)), (done, j) ->
   concat(done, array(element_at(transform(array(array_max(transform(
@@ -96,24 +89,72 @@ transform(sequence(1, size(cuts) - 1), k -> coalesce(
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """``unit, ids`` for distinct ``units(unit)``; a negative id ``-c - 1`` is a character without a piece.
+    """``unit, blocks, ids`` for ``units(unit, blocks)``; a negative id ``-c - 1`` is a character without a piece.
 
-    Everything after the distinct units stays where they are: exploding keeps their partitioning,
-    so grouping edges by unit shuffles nothing. The piece table is as large as the model.
+    Exploding keeps a unit's rows together and in order, and the join sends the piece table, which is as
+    large as the model, so nothing is shuffled. ``blocks`` rides on a unit's first row.
     """
     spark = units.sparkSession
     table = spark.createDataFrame(
         [(p, i, float(model.scores[i])) for p, i in model.ids.items()], "piece string, id int, score double")
-    spans = units.select("unit", F.explode(F.expr("sequence(1, char_length(unit))")).alias("i")).select(
-        "unit", "i", F.explode(F.expr(f"sequence(i, least(char_length(unit), i + {model.longest - 1}))")).alias("j"))
-    edges = spans.select("unit", "i", "j", F.expr("substring(unit, i, j - i + 1)").alias("piece")).join(
-        F.broadcast(table), "piece", "left").where("id is not null or (i = 1 and j = 1)").groupBy("unit").agg(
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct(
-            (F.col("i") - 1).alias("a"), F.col("j").alias("b"), "score", "id"))).alias("edges"))
+    spans = units.select("unit", "blocks", F.explode(F.expr("sequence(1, char_length(unit))")).alias("i")).select(
+        "unit", "blocks", "i",
+        F.explode(F.expr(f"sequence(i, least(char_length(unit), i + {model.longest - 1}))")).alias("j"))
+    edges = spans.select(
+        "unit", F.expr("if(i = 1 and j = 1, blocks, null)").alias("blocks"), "i", "j",
+        F.expr("substring(unit, i, j - i + 1)").alias("piece"),
+    ).join(F.broadcast(table), "piece", "left").where("id is not null or (i = 1 and j = 1)").select(
+        "unit", "blocks", "i", "j", F.coalesce("id", F.lit(-1)).alias("id"), "score")
+    if not model.unigram:
+        return edges.mapInArrow(_merge_fold, "unit string, blocks array<bigint>, ids array<int>")
+    grouped = edges.groupBy("unit").agg(F.flatten(F.collect_list("blocks")).alias("blocks"), F.collect_set(
+        F.when(F.col("id") >= 0, F.struct((F.col("i") - 1).alias("a"), F.col("j").alias("b"), "score", "id"))).alias("edges"))
     unknown = min(model.scores, default=0.0) - 10.0
-    fold = _VITERBI.replace("unknown", f"cast({unknown!r} as double)") if model.unigram else _MERGE
-    return edges.withColumn("n", F.char_length("unit")).withColumn("cuts", F.expr(fold)).select(
-        "unit", F.expr(_IDS).alias("ids"))
+    fold = _VITERBI.replace("unknown", f"cast({unknown!r} as double)")
+    return grouped.withColumn("n", F.char_length("unit")).withColumn("cuts", F.expr(fold)).select(
+        "unit", "blocks", F.expr(_IDS).alias("ids"))
+
+
+def merged(unit: str, edges: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
+    """Path of a unit through its edges ``(start, end) -> (-score, id)``: the best edge over two neighbours, again and again."""
+    cuts = list(range(len(unit) + 1))
+    while len(cuts) > 2:
+        best, at = None, 0
+        for k in range(len(cuts) - 2):
+            edge = edges.get((cuts[k], cuts[k + 2]))
+            if edge is not None and (best is None or edge[0] < best):
+                best, at = edge[0], k + 1
+        if best is None:
+            break
+        del cuts[at]
+    return [edges[c][1] if c in edges else -ord(unit[c[0]]) - 1 for c in zip(cuts, cuts[1:])]
+
+
+def _merge_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("unit", pa.string()), ("blocks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
+    waiting: pa.Table | None = None
+
+    def folded(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        first = table.select(["unit", "blocks"]).take(pa.array(starts)).combine_chunks()
+        units = first.column("unit").to_pylist()
+        rows = list(zip(zip((table.column("i").to_numpy() - 1).tolist(), table.column("j").to_pylist()),
+                        zip((-table.column("score").to_numpy()).tolist(), table.column("id").to_pylist())))
+        ids = []
+        for unit, start, end in zip(units, starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+            own = rows[start:end]
+            ids.append(merged(unit, dict(own if own[0][1][1] >= 0 else own[1:])))
+        return batch_of(schema, first.column("unit").chunk(0), first.column("blocks").chunk(0), ids)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if waiting is not None:
+            table = pa.concat_tables([waiting, table]).combine_chunks()
+        starts = np.flatnonzero((table.column("i").to_numpy() == 1) & (table.column("j").to_numpy() == 1))
+        if len(starts) > 1:
+            yield folded(table.slice(0, starts[-1]), starts[:-1])
+        waiting = table.slice(starts[-1])
+    if waiting is not None and waiting.num_rows:
+        yield folded(waiting, np.zeros(1, dtype=np.int64))
 
 
 def merge_long(unit: str, model: Model) -> list[int]:
@@ -227,15 +268,60 @@ def _block_units(shared):
     return run
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``unit, blocks`` from sorted ``unit, block`` rows; a unit of very many blocks comes in several rows."""
+    schema = pa.schema([("unit", pa.string()), ("blocks", pa.list_(pa.int64()))])
+    units, blocks, held = [], [], 0
+    for unit, block in rows_in(batches, "unit", "block"):
+        if units and units[-1] == unit and len(blocks[-1]) < MOST_BLOCKS:
+            blocks[-1].append(block)
+        else:
+            if held >= 50_000:
+                yield batch_of(schema, units, blocks)
+                units, blocks, held = [], [], 0
+            units.append(unit)
+            blocks.append([block])
+        held += 1
+    if units:
+        yield batch_of(schema, units, blocks)
+
+
+def _compressed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded units as compressed tables, one for each block and some hundred thousand occurrences."""
+    schema = pa.schema([("block", pa.int64()), ("units", pa.binary())])
+    by_block: dict[int, tuple[list, list]] = {}
+    held = 0
+
+    def packed() -> pa.RecordBatch:
+        blobs = [_compressed(pa.table({"unit": pa.array(u, pa.string()), "ids": pa.array(i, pa.list_(pa.int32()))}))
+                 for u, i in by_block.values()]
+        return batch_of(schema, list(by_block), blobs)
+
+    for unit, blocks, ids in rows_in(batches, "unit", "blocks", "ids"):
+        for block in blocks:
+            units, all_ids = by_block.setdefault(block, ([], []))
+            units.append(unit)
+            all_ids.append(ids)
+        held += len(blocks)
+        if held >= 400_000:
+            yield packed()
+            by_block, held = {}, 0
+    if by_block:
+        yield packed()
+
+
 def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
     for block, table in _blocks(batches):
-        sink = pa.BufferOutputStream()
-        table = table.combine_chunks()
-        with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
-            writer.write_table(table)
-        yield batch_of(schema, [block], [sink.getvalue().to_pybytes()])
+        yield batch_of(schema, [block], [_compressed(table)])
 
 
 class _Encoder(dict):
@@ -243,7 +329,7 @@ class _Encoder(dict):
 
     def __init__(self, model: Model, cutter: Cutter, units: pa.Table):
         super().__init__()
-        ids = units.column("ids").combine_chunks()
+        ids = units.combine_chunks().column("ids").chunk(0)
         self.model, self.cutter = model, cutter
         self.values = ids.values.to_numpy()
         self.offsets = ids.offsets.to_numpy()
@@ -285,16 +371,18 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     own = docs.drop("n_tokens", "token_ids")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = own.select("text").mapInArrow(_block_units(shared), "block bigint, unit string")
-    pairs = stage(held, "units")
-    encoded = stage(encode_units(pairs.select("unit").distinct(), model), "encoded")
-    units = pairs.join(encoded, "unit")
+    sorted_units = held.repartition("unit").sortWithinPartitions("unit")
+    holders = sorted_units.mapInArrow(_holders, "unit string, blocks array<bigint>")
+    units = encode_units(holders, model).mapInArrow(_packed, "block bigint, units binary")
     texts = own.mapInArrow(_block_texts, "block bigint, rows binary")
     schema = own.withColumns({"n_tokens": F.lit(0).cast("bigint"),
                               "token_ids": F.expr("cast(array() as array<int>)")}).schema
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         cutter = Cutter(shared.value)
-        encoder = _Encoder(shared.value, cutter, right)
+        known = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in right.column("units")]
+        empty = pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        encoder = _Encoder(shared.value, cutter, pa.concat_tables([empty, *known]))
         tables = []
         for blob in left.column("rows"):
             table = pa.ipc.open_stream(blob.as_buffer()).read_all()
