@@ -1,12 +1,12 @@
 """Exact top-k search by an impact-ordered index, one score at a time.
 
 Vectors are cut into shards of bounded size. A shard's index has posting segments: for every
-dimension the vectors in order of their component, cut where a quantised level changes. For a query
-a segment's impact is its level times the query's component, counted from the least impact of the
-dimension, so that no impact is negative. Segments are processed by descending impact into
-accumulators. What a vector may still gain is bounded by the next impact times the dimensions it
-has not met. Processing stops once that proves that all possible members are few, or none, and
-those are scored exactly.
+dimension, the vectors whose component has one quantised level. For a query a segment's impact is
+its level times the query's component, counted from the least impact of the dimension, so that no
+impact is negative. Segments are processed by descending impact into accumulators, those of a round
+at once. What a vector may still gain is bounded by the next impact times the dimensions it has not
+met. Processing stops once that proves that all possible members are few, or none, and those are
+scored exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ SHARD = 4096
 QUERY_BLOCK = 512
 SALTS = 4
 LEVELS = 24
-ROUNDS = (0.5, 0.7, 0.85, 0.95, 1.0)
+ROUNDS = (0.85, 1.0)
+_MET = 1 << 48
 FEW = 96
 
 
@@ -43,21 +44,16 @@ class Shard:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         n, dims = values.shape
-        self.order = np.argsort(values, axis=0, kind="stable").T
-        starts, lows, highs, owner = [], [], [], []
-        for d in range(dims):
-            column = values[self.order[d], d]
-            step = max(1, -(-int(column[-1] - column[0] + 1) // LEVELS))
-            level = (column - column[0]) // step
-            cut = np.flatnonzero(np.diff(level, prepend=-1))
-            starts.append(cut + d * n)
-            lows.append(column[cut])
-            highs.append(column[np.append(cut[1:], n) - 1])
-            owner.append(np.full(len(cut), d))
-        self.starts = np.concatenate(starts)
-        self.ends = np.append(self.starts[1:], dims * n)
-        self.lows, self.highs, self.owner = map(np.concatenate, (lows, highs, owner))
-        self.flat = self.order.reshape(-1)
+        least, most = values.min(axis=0), values.max(axis=0)
+        step = np.maximum(1, -(-(most - least + 1) // LEVELS))
+        level = (values - least) // step + np.arange(dims) * (LEVELS + 1)
+        used, segment = np.unique(level, return_inverse=True)
+        #: Segment of every vector in every dimension, a row per dimension.
+        self.segment = np.ascontiguousarray(segment.reshape(n, dims).T)
+        self.owner = used // (LEVELS + 1)
+        self.lows = least[self.owner] + used % (LEVELS + 1) * step[self.owner]
+        self.highs = np.minimum(self.lows + step[self.owner] - 1, most[self.owner])
+        self.sizes = np.bincount(segment.reshape(-1), minlength=len(used))
 
     @staticmethod
     def load(data: bytes) -> "Shard":
@@ -66,29 +62,26 @@ class Shard:
 
     def search(self, own: int, query: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
         """``best`` as (-score, id), sorted, with what this shard adds to it."""
-        n, dims = self.values.shape
+        dims = self.values.shape[1]
         weight = query[self.owner]
         most = np.maximum(weight * self.lows, weight * self.highs)
         base = np.full(dims, np.iinfo(np.int64).max)
         np.minimum.at(base, self.owner, np.minimum(weight * self.lows, weight * self.highs))
         impact = most - base[self.owner]
         ranked = np.argsort(-impact, kind="stable")
-        sizes = (self.ends - self.starts)[ranked]
-        places = np.cumsum(sizes)
-        gained, met = np.zeros(n), np.zeros(n)
-        offset, done = int(base.sum()), 0
+        places = np.cumsum(self.sizes[ranked])
+        offset = int(base.sum())
+        together = dims < 1 << 14 and int(impact.max()) * dims < _MET
         for share in ROUNDS:
-            upto = int(np.searchsorted(places, share * places[-1])) + 1
-            if upto <= done:
-                continue
-            some = ranked[done:upto]
-            count = sizes[done:upto]
-            first = self.starts[some]
-            at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
-            who = self.flat[at]
-            gained += np.bincount(who, weights=np.repeat(impact[some], count), minlength=n)
-            met += np.bincount(who, minlength=n)
-            done = upto
+            done = int(np.searchsorted(places, share * places[-1])) + 1
+            taken = np.zeros(len(impact), dtype=np.int64)
+            taken[ranked[:done]] = 1
+            if together:
+                total = np.take(taken * (impact + _MET), self.segment).sum(axis=0)
+                met, gained = total >> 48, total & (_MET - 1)
+            else:
+                met = np.take(taken, self.segment).sum(axis=0)
+                gained = np.take(taken * impact, self.segment).sum(axis=0)
             following = impact[ranked[done]] if done < len(ranked) else 0
             ceiling = gained + (dims - met) * following + offset
             possible = self._possible(ceiling, best, k)
