@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import batch_of, by_size, mix, rows_in
-from docquarry.session import stage
+from docquarry.session import scope, stage
 
 ORDER = 4
 CHAR_BITS = 15
@@ -213,7 +213,9 @@ def cross_entropies(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     if nothing is labelled, is ``und`` with score 0. Words score the same wherever they stand, so a
     text of any length is one sum over its words. Repeated rows are all kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Models(train(labelled).toArrow()))
+    with scope(docs.sparkSession):
+        models = Models(train(labelled).toArrow())
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("entropy", pa.float64()), ("n_predicted", pa.int64())])
 

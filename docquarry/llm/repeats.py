@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.anchors import WINDOW, anchors
 from docquarry.llm.bitmap import Bitmap
 from docquarry.llm.common import batch_of, rows_in
-from docquarry.session import stage
+from docquarry.session import scope, stage
 
 LENGTH = 400
 FLUSH = 500_000
@@ -149,6 +149,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``text_key`` is ``xxhash64`` of the text. Texts are scanned three times and never shuffled, but for
     those that hold a string to be compared one by one.
     """
+    with scope(docs.sparkSession):
+        return stage(_spans(docs, length), "spans", keep=True)
+
+
+def _spans(docs: DataFrame, length: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     source = _keyed(docs)
     repeated = source.select("text").mapInArrow(_cores(length), "core bigint, n bigint").groupBy("core").agg(
@@ -184,7 +189,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 F.greatest(F.element_at(done, -1)["high"], s["high"]).alias("high")))),
         ).otherwise(F.concat(done, F.array(F.struct(s["low"].alias("low"), s["high"].alias("high"))))),
     )
-    return stage(spans.groupBy("text_key").agg(merged.alias("spans")), "spans")
+    return spans.groupBy("text_key").agg(merged.alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
