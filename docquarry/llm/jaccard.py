@@ -1,10 +1,11 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is its set of word shingles, as 64-bit hashes. All sets are sorted by one order,
-rarest first. Two sets of similarity ``t`` share at least ``l`` of their first
-``n - ceil(t*n) + l`` elements, for any ``l``. Each document chooses its own ``l`` by the
-estimated cost of its candidates: a longer prefix asks more of a partner. A pair is
-verified if it shares the smaller of both documents' ``l`` within their prefixes.
+rarest first. Two similar sets have at least ``o`` elements in common, and of these at least ``l``
+lie among the first ``n - o + l`` of either, for any ``l``. Each document chooses its own ``l`` by the
+estimated cost of its candidates: a longer prefix asks more of a partner. A pair is a candidate
+if it shares the smaller of both documents' ``l`` (more for large sets) within the prefixes of that length, and is
+verified if it then shares as much as the whole prefixes of both must.
 
 Equal sets are one set. Groups of similar sets are first linked to a few pivots, so that
 a group of any size costs rows in proportion to its size; then every pair of sets that are
@@ -20,13 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.bitmap import Bitmap
 from docquarry.llm.common import WordHashes, batch_of, mix, rows_in, texts, weights
 from docquarry.llm.components import components
-from docquarry.session import stage
+from docquarry.session import scope, stage
 
 WORDS = 5
 PERCENT = 80
@@ -35,7 +36,8 @@ VERIFY_COST = 20.0
 FREQUENT = 1 << 18
 FLUSH = 2_000_000
 BUCKETS = 32
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+PROBE = 100
 SEEN_SETS = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -119,7 +121,8 @@ def choose_level(df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, i
 
 
 def _prefixes(words: int, percent: int, frequent):
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("level", pa.int16())])
+    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("level", pa.int16()),
+                        ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
@@ -151,7 +154,8 @@ def _prefixes(words: int, percent: int, frequent):
         sizes = [len(r[0]) for r in rows]
         return batch_of(schema, np.concatenate([r[0] for r in rows]), np.repeat([r[1] for r in rows], sizes),
                         np.repeat(np.array([r[2] for r in rows], dtype=np.int32), sizes),
-                        np.repeat(np.array([r[3] for r in rows], dtype=np.int16), sizes))
+                        np.repeat(np.array([r[3] for r in rows], dtype=np.int16), sizes),
+                        np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
 
     return run
 
@@ -184,15 +188,16 @@ def _sets(words: int, wanted):
 
 
 def _verify(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("a", "b", "component", "component2")
+    schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for a, b, x, y in rows_in(batches, "a", "b", "xs", "ys"):
+        for *pair, x, y in rows_in(batches, *names, "xs", "ys"):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((a, b))
+                out.append(pair)
             if len(out) >= 8_192:
                 yield batch_of(schema, *zip(*out))
                 out = []
@@ -215,6 +220,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     The text is scanned in full twice, and once per round of verification for the texts of that round.
     It is never shuffled; shuffled are prefix elements, and the sets of pairs to be verified.
     """
+    with scope(docs.sparkSession):
+        return stage(_groups(docs, words, percent), "groups", keep=True)
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     narrow = texts(docs).withColumn("text_key", F.xxhash64("text"))
     summary = stage(narrow.mapInArrow(
@@ -239,11 +249,11 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], counts[order]))
     rows = narrow.select("text").mapInArrow(
-        _prefixes(words, percent, frequent), "token bigint, sid bigint, n int, level smallint")
+        _prefixes(words, percent, frequent), "token bigint, sid bigint, n int, level smallint, place int")
     by_token = Window.partitionBy("token")
     shared = stage(rows.withColumns({
         "low": F.min("sid").over(by_token), "high": F.max("sid").over(by_token),
-    }).where("low <> high").select("token", "sid", "n", "level").distinct(), "shared")
+    }).where("low <> high").select("token", "sid", "n", "level", "place").distinct(), "shared")
     bearer = summary.where("sid is not null").groupBy("sid").agg(F.min("text_key").alias("text_key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -256,52 +266,89 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
         sets = spark.table(name)
         one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xs")), "a")
         two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("ys")), "b")
-        found = stage(two.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+        found = stage(two.mapInArrow(_verify(percent), "a bigint, b bigint, component bigint, component2 bigint"), "links")
         spark.sql(f"drop table {name}")
         return found
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    open_rows = shared.withColumn("component", F.col("sid"))
+    # A set most of whose prefix is shared is near many others: it makes the best pivot.
+    size = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + F.col("level")
+    hubs = shared.groupBy("sid").agg((F.count("*") / F.first(size)).alias("hub"))
+    open_rows = stage(shared.join(hubs, "sid").withColumn("component", F.col("sid")), "open")
+    links = None
     for turn in range(PIVOT_ROUNDS):
-        rank = F.xxhash64("sid", F.lit(turn))
+        rank = F.struct(F.lit(0.0) if turn else -F.col("hub"), F.xxhash64("sid", F.lit(turn)))
         pivots = open_rows.groupBy("token").agg(
             F.min_by(F.struct("sid", "n", "level", "component"), rank).alias("p"))
         met = open_rows.join(pivots, "token").where("component <> p.component").select(
-            F.col("sid").alias("a"), "n", "level", F.col("p.sid").alias("b"), F.col("p.n").alias("n2"),
-            F.col("p.level").alias("level2"))
-        best = _admitted(met, percent).groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-        links = stage(links.union(verified(best)), "links")
-        open_rows = _still_open(shared, components(links))
-    left = open_rows.alias("x").join(open_rows.alias("y"), [
-        F.col("x.token") == F.col("y.token"), F.col("x.sid") < F.col("y.sid"),
-        F.col("x.component") != F.col("y.component"),
-        100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"),
-    ]).select(F.col("x.sid").alias("a"), F.col("x.n").alias("n"), F.col("x.level").alias("level"),
-              F.col("y.sid").alias("b"), F.col("y.n").alias("n2"), F.col("y.level").alias("level2"))
-    return stage(links.union(verified(_admitted(left, percent).select("a", "b"))), "links")
+            F.col("sid").alias("a"), "n", "level", "component", F.col("p.sid").alias("b"), F.col("p.n").alias("n2"),
+            F.col("p.level").alias("level2"), F.col("p.component").alias("component2"))
+        best = _admitted(met, percent).groupBy("a").agg(
+            F.max_by(F.struct("b", "component", "component2"), F.struct("common", "b")).alias("m")).select("a", "m.*")
+        found = verified(best)
+        links = found if links is None else links.union(found)
+        open_rows = _still_open(open_rows, found)
+    # Of two similar sets, ``level`` elements in common lie among the first ``n - o + level`` of either,
+    # for every level up to the one that the whole prefixes allow.
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    least = _least_shared(x("n"), x("level"), y("n"), y("level"), percent)
+    level = F.least(least, F.greatest(
+        F.least(x("level"), y("level")), F.ceil(F.least(x("n"), y("n")) / F.lit(PROBE))))
+    o = _least_common(x("n"), y("n"), percent)
+    met = open_rows.alias("x").join(open_rows.alias("y"), [
+        x("token") == y("token"), x("sid") < y("sid"), x("component") != y("component"),
+        x("place") < x("n") - o + level, y("place") < y("n") - o + level,
+        100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")),
+    ]).select(x("sid").alias("a"), x("component").alias("component"), y("sid").alias("b"),
+              y("component").alias("component2"), level.alias("level"), least.alias("least"))
+    likely = met.groupBy("a", "b", "component", "component2").agg(
+        F.count("*").alias("common"), F.first("level").alias("level"), F.first("least").alias("least"),
+    ).where("common >= level").drop("common", "level")
+    whole = stage(shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "prefixes")
+    rest = likely.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("xs")), "a").join(
+        whole.select(F.col("sid").alias("b"), F.col("tokens").alias("ys")), "b").where(
+        F.size(F.array_intersect("xs", "ys")) >= F.col("least")).select("a", "b", "component", "component2")
+    return stage(links.union(verified(rest)).select("a", "b"), "links")
+
+
+def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the components that ``links`` join, of elements that still stand in more than one.
+
+    Each component follows one link, and the link of where that leads. That may leave components apart that
+    belong together, which costs later rounds some pairs and never a link.
+    """
+    step = stage(links.groupBy("component").agg(F.max("component2").alias("next")), "steps")
+    after = step.select(F.col("component").alias("next"), F.col("next").alias("then"))
+    lead = step.join(after, "next", "left").select("component", F.when(
+        F.col("then") == F.col("component"), F.least("next", "component")
+    ).otherwise(F.coalesce("then", "next")).alias("lead"))
+    by_token = Window.partitionBy("token")
+    named = rows.join(lead, "component", "left").withColumn("component", F.coalesce("lead", "component")).drop("lead")
+    return stage(named.withColumns({
+        "low": F.min("component").over(by_token), "high": F.max("component").over(by_token),
+    }).where("low <> high").drop("low", "high"), "open")
 
 
-def _admitted(met: DataFrame, percent: int) -> DataFrame:
-    """``a, b, common`` of the pairs that share enough prefix elements; a row of ``met`` is one of them.
+def _least_common(n: Column, n2: Column, percent: int) -> Column:
+    """Elements that similar sets of these sizes have in common at least."""
+    return F.ceil(percent * (n + n2) / F.lit(100 + percent))
 
-    A similar pair has at least ``o`` elements in common, so ``a`` has at most ``n - o`` that ``b`` lacks. Of
-    the prefix that ends first, all elements in common lie in the other prefix too.
-    """
-    o = F.ceil(percent * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
 
-    def side(level, n):
-        return F.col(level) + o - F.ceil(percent * F.col(n) / F.lit(100))
+def _least_shared(n: Column, level: Column, n2: Column, level2: Column, percent: int) -> Column:
+    """Elements that similar sets share within their prefixes at least.
 
-    return met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).groupBy(
-        "a", "b").agg(F.count("*").alias("common"), F.first(F.least(side("level", "n"), side("level2", "n2"))).alias("least"),
-    ).where("common >= least").select("a", "b", "common")
+    With ``o`` elements in common a set has at most ``n - o`` that the other lacks, and of the prefix that
+    ends first, all elements in common lie in the other prefix too.
+    """
+    def side(size, own):
+        return own + _least_common(n, n2, percent) - F.ceil(percent * size / F.lit(100))
 
+    return F.least(side(n, level), side(n2, level2))
 
-def _still_open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Prefix rows of elements that still stand in more than one component."""
-    by_token = Window.partitionBy("token")
-    named = shared.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
-        "component", F.coalesce("component", "sid"))
-    return stage(named.withColumns({
-        "low": F.min("component").over(by_token), "high": F.max("component").over(by_token),
-    }).where("low <> high").drop("low", "high"), "open")
+
+def _admitted(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b, component, component2, common`` of the pairs that share enough prefix elements; a row of ``met`` is one of them."""
+    least = _least_shared(F.col("n"), F.col("level"), F.col("n2"), F.col("level2"), percent)
+    return met.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).groupBy(
+        "a", "b", "component", "component2").agg(
+        F.count("*").alias("common"), F.first(least).alias("least"),
+    ).where("common >= least").drop("least")
