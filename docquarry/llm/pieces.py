@@ -325,33 +325,35 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Encoder(dict):
-    """Ids of words, put together from the encoded units of a block."""
+    """Ids of words as bytes of 32-bit numbers, put together from the encoded units of a block."""
 
     def __init__(self, model: Model, cutter: Cutter, units: pa.Table):
         super().__init__()
         ids = units.combine_chunks().column("ids").chunk(0)
         self.model, self.cutter = model, cutter
-        self.values = ids.values.to_numpy()
-        self.offsets = ids.offsets.to_numpy()
+        values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
+        self.data, self.offsets = values.tobytes(), (4 * offsets.astype(np.int64)).tolist()
+        self.odd = set((np.searchsorted(offsets, np.flatnonzero(values < 0), "right") - 1).tolist())
         self.place = dict(zip(units.column("unit").to_pylist(), range(units.num_rows)))
 
-    def __missing__(self, word: str) -> np.ndarray:
-        value = np.concatenate([self.unit(u) for u in self.cutter.find(word)])
+    def __missing__(self, word: str) -> bytes:
+        value = b"".join(map(self.unit, self.cutter.find(word)))
         if len(word) <= LONGEST_UNIT:
             self[word] = value
         return value
 
-    def unit(self, unit: str) -> np.ndarray:
-        if len(unit) > LONGEST_UNIT:
-            long = viterbi_long if self.model.unigram else merge_long
-            return np.array(long(unit, self.model), dtype=np.int32)
+    def unit(self, unit: str) -> bytes:
         at = self.place.get(unit)
         if at is None:
-            raise ValueError("a block changed between two scans of the documents")
-        own = self.values[self.offsets[at]:self.offsets[at + 1]]
-        if len(own) and own.min() < 0:
-            own = np.array([x for i in own.tolist() for x in (self.model.fallback(chr(-i - 1)) if i < 0 else [i])],
-                           dtype=np.int32)
+            if len(unit) <= LONGEST_UNIT:
+                raise ValueError("a block changed between two scans of the documents")
+            long = viterbi_long if self.model.unigram else merge_long
+            return np.array(long(unit, self.model), dtype=np.int32).tobytes()
+        own = self.data[self.offsets[at]:self.offsets[at + 1]]
+        if at in self.odd:
+            ids = np.frombuffer(own, dtype=np.int32).tolist()
+            own = np.array([x for i in ids for x in (self.model.fallback(chr(-i - 1)) if i < 0 else [i])],
+                           dtype=np.int32).tobytes()
         return own
 
 
@@ -388,10 +390,9 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
             table = pa.ipc.open_stream(blob.as_buffer()).read_all()
             ids, ends = [], [0]
             for text in table.column("text").to_pylist():
-                own_ids = [encoder[w] for w in cutter.words(text or "")]
-                ids.append(np.concatenate(own_ids) if own_ids else np.zeros(0, dtype=np.int32))
-                ends.append(ends[-1] + len(ids[-1]))
-            flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
+                ids.append(b"".join(map(encoder.__getitem__, cutter.words(text or ""))))
+                ends.append(ends[-1] + len(ids[-1]) // 4)
+            flat = np.frombuffer(b"".join(ids), dtype=np.int32)
             table = table.append_column("n_tokens", pa.array(np.diff(ends).astype(np.int64)))
             tables.append(table.append_column("token_ids", pa.ListArray.from_arrays(
                 pa.array(np.array(ends, dtype=np.int32)), pa.array(flat, pa.int32()))))
@@ -414,8 +415,9 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        back = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.encode("utf-8", "surrogatepass") if k == NORMAL else b""
-                for p, k in zip(m.pieces, m.kinds)]
+        back = np.array([
+            bytes([int(p[1:-1], 16)]) if k == BYTE else p.encode("utf-8", "surrogatepass") if k == NORMAL else b""
+            for p, k in zip(m.pieces, m.kinds)], dtype=object)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -424,7 +426,8 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
                     if not ids.is_valid:
                         texts.append(None)
                         continue
-                    text = b"".join(map(back.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace").replace(SPACE, " ")
+                    data = b"".join(back[ids.values.to_numpy()].tolist())
+                    text = data.decode("utf-8", "replace").replace(SPACE, " ")
                     texts.append(text[1:] if m.prefix and text[:1] == " " else text)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*part.schema.names, "decoded"])
