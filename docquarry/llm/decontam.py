@@ -1,10 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
-Fixed masks say which words of a window count; the others may be substituted. Seeds of the
+Fixed masks say which words of a window count; the others may be substituted. Every overlap that
+counts is met by a mask: one of 26 words or more can be halved, one half being alike enough, and one
+of fewer holds 13 words with 2 substitutions at most, 15 with 3, 20 with 4 or 25 with 5; of these no
+choice of places avoids all masks. Seeds of the
 benchmark meet seeds of the documents by an equi-join on their hash: the benchmark side is
 bounded by ``BLOCK_WORDS`` and goes to every task, a larger benchmark takes several passes
-over the documents. Around every hit the two texts are laid over each other and the overlap
-is extended word by word, substitutions allowed; it counts if it is long and alike enough.
+over the documents. At every hit the two texts are laid over each other, and the longest window
+that is alike enough is taken.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import CACHED_WORDS, batch_of, by_size, mix, rows_in, texts, weights
 
-MASKS = ("11101011", "1101100111", "110010110011", "1011010011011")
+MASKS = ("11101011", "1101100111", "110010110011", "1011010011011", "1101000010111", "1111000100011")
 LEAST_WORDS = 13
-LEAST_ALIKE = 0.8
-MISMATCH = 2
-DROP = 6
+LEAST_ALIKE = (4, 5)
 BLOCK_WORDS = 2_000_000
 CHUNK_CHARS = 400_000
 TABLE_BITS = 22
+HITS = 1_000_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -59,22 +61,25 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(total)
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Length and matches of the best common start of two word runs; mismatches cost."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    score = best = length = matched = count = 0
-    for i in range(n):
-        if same[i]:
-            score += 1
-            count += 1
-            if score > best:
-                best, length, matched = score, i + 1, count
-        else:
-            score -= MISMATCH
-            if score < best - DROP:
-                break
-    return length, matched
+def longest_window(same: np.ndarray) -> tuple[int, int, int] | None:
+    """Length, matches and start of the longest window that is long and alike enough.
+
+    ``same`` says for every place of a diagonal whether the two words are equal. Of windows of one
+    length that with most matches counts, then the last.
+    """
+    if len(same) < LEAST_WORDS:
+        return None
+    matches = np.concatenate([[0], np.cumsum(same)])
+    level = LEAST_ALIKE[1] * matches - LEAST_ALIKE[0] * np.arange(len(matches))
+    starts = np.searchsorted(-np.minimum.accumulate(level), -level, "left")
+    lengths = np.arange(len(level)) - starts
+    length = int(lengths.max())
+    if length < LEAST_WORDS:
+        return None
+    start = starts[lengths == length]
+    same_words = matches[start + length] - matches[start]
+    best = np.flatnonzero(same_words == same_words.max())[-1]
+    return length, int(same_words[best]), int(start[best])
 
 
 class Matcher:
@@ -98,46 +103,51 @@ class Matcher:
             self.tables.append((mask, present, keys[order], np.concatenate([[0], *owners])[1:][order],
                                 np.concatenate([[0], *places])[1:][order]))
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Position in ``words``, item number, position in the item."""
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions in ``words``, item numbers and positions in the items, up to about ``HITS`` at a time."""
         for mask, present, keys, owners, places in self.tables:
             own = seeds(words, mask)
             at = np.flatnonzero(present[own >> np.uint64(64 - TABLE_BITS)])
             own = own[at]
             low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            for i in np.flatnonzero(high > low):
-                for j in range(low[i], high[i]):
-                    yield int(at[i]), int(owners[j]), int(places[j])
-
-    def overlaps(self, words: np.ndarray, hits: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
-        """Best overlap per item number: length, matching words, start in the document."""
-        best: dict[int, tuple[int, int, int]] = {}
-        covered: dict[tuple[int, int], int] = {}
-        for at, number, place in sorted(hits):
-            if at < covered.get((number, at - place), -1):
-                continue
-            item = self.items[number][1]
-            right, right_same = extend(words[at:], item[place:])
-            left, left_same = extend(words[max(0, at - place):at][::-1], item[:place][::-1])
-            length, same = left + right, left_same + right_same
-            covered[number, at - place] = at + right
-            if length >= LEAST_WORDS and same >= LEAST_ALIKE * length:
-                best[number] = max(best.get(number, (0, 0, 0)), (length, same, at - left))
-        return best
+            met = np.flatnonzero(high > low)
+            at, low, count = at[met], low[met], (high - low)[met]
+            part = np.cumsum(count) // HITS
+            for p in np.unique(part):
+                first, last = np.searchsorted(part, p, "left"), np.searchsorted(part, p, "right")
+                n = count[first:last]
+                entry = np.arange(n.sum()) + np.repeat(low[first:last] - np.cumsum(n) + n, n)
+                yield np.repeat(at[first:last], n), owners[entry], places[entry]
 
     def of_texts(self, texts_: list[str], words: Words) -> Iterator[tuple[int, dict[int, tuple[int, int, int]]]]:
-        """Overlaps of every text that has one, with the text's number."""
+        """Texts that have an overlap: their number, and per item number length, matching words and start of the best.
+
+        A hit names a diagonal, a way to lay text and item over each other; every such diagonal is judged whole.
+        """
         runs = [words.of(t or "") for t in texts_]
         ends = np.cumsum([len(r) for r in runs])
+        starts = ends - [len(r) for r in runs]
         everything = np.concatenate([np.zeros(0, dtype=np.uint64), *runs])
-        by_text: dict[int, list[tuple[int, int, int]]] = {}
-        for at, number, place in self.hits(everything):
-            text = int(np.searchsorted(ends, at, "right"))
-            by_text.setdefault(text, []).append((at - (int(ends[text - 1]) if text else 0), number, place))
-        for text, hits in by_text.items():
-            found = self.overlaps(runs[text], hits)
+        diagonals: np.ndarray | None = None
+        for at, owner, place in self.hits(everything):
+            text = np.searchsorted(ends, at, "right")
+            found = np.stack([text, owner, at - starts[text] - place], axis=1)
+            diagonals = _distinct(found if diagonals is None else np.concatenate([diagonals, found]))
+        best: dict[int, dict[int, tuple[int, int, int]]] = {}
+        for text, owner, shift in ([] if diagonals is None else diagonals.tolist()):
+            run, item = runs[text][max(0, shift):], self.items[owner][1][max(0, -shift):]
+            n = min(len(run), len(item))
+            found = longest_window(run[:n] == item[:n])
             if found:
-                yield text, found
+                length, same, start = found
+                of_text = best.setdefault(text, {})
+                of_text[owner] = max(of_text.get(owner, (0, 0, 0)), (length, same, start + max(0, shift)))
+        yield from best.items()
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T)]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
 
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -157,8 +167,8 @@ def _shared(block: DataFrame):
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, overlap_words, same_words, start_word`` per contaminated document and item.
 
-    The longest overlap of the two texts of at least ``LEAST_WORDS`` words of which at least
-    ``LEAST_ALIKE`` are the same. Words are lower-cased and lose punctuation at their ends; words of
+    The longest window of at least ``LEAST_WORDS`` words of the two texts, laid over each other in any
+    way, of which at least ``LEAST_ALIKE`` are the same; its ends may be substituted too. Words are lower-cased and lose punctuation at their ends; words of
     punctuation only do not count. Null and empty texts overlap with nothing, nor do items of
     fewer than ``LEAST_WORDS`` words. A repeated document has rows for each repeat, a repeated item likewise;
     other columns are ignored; an empty table on either side gives no rows.

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -167,6 +168,55 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     assert decontam.without_contaminated(table, benchmark).count() == 0
 
 
+def brute_overlap(a, b):
+    """Longest window of any diagonal, as length, matches and start in ``a``; the best of the longest."""
+    best = (0, 0, 0)
+    for shift in range(-len(b) + 1, len(a)):
+        i, j = max(0, shift), max(0, -shift)
+        same = [x == y for x, y in zip(a[i:], b[j:])]
+        for s in range(len(same)):
+            for e in range(s + 13, len(same) + 1):
+                if 5 * sum(same[s:e]) >= 4 * (e - s):
+                    best = max(best, (e - s, sum(same[s:e]), i + s))
+    return best
+
+
+def test_decontamination_equals_all_diagonals(docs, spark):
+    """Substitutions near the ends, exact passages amid other words, several passages on one diagonal, few distinct words."""
+    rng = np.random.default_rng(17)
+    items = [words(int(n), rng) for n in (13, 13, 15, 16, 20, 40, 40)] + [["x", "y"] * 9, ["z"] * 14]
+    table = [changed(items[0], 11), changed(items[1], 1, 11), changed(items[2], 2, 6, 10)]
+    for item in items:
+        for k in (0, 1, 2, 3, 4, 6):
+            copy = changed(item, *(int(x) for x in rng.integers(0, len(item), k)))
+            table.append(words(int(rng.integers(0, 9)), rng) + copy + words(int(rng.integers(0, 9)), rng))
+    long = items[5]
+    table += [words(6, rng) + long[8:28] + words(12, rng), words(4, rng) + long[:14] + words(9, rng) + long[23:] + words(3, rng),
+              ["x", "y", "z"] * 8, ["z"] * 30, long[:11] + words(20, rng), words(3, rng) + long[4:14] + words(9, rng)]
+    expected = {(i, j): found for i, t in enumerate(table) for j, item in enumerate(items)
+                if (found := brute_overlap(t, item))[0]}
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    table_ = docs([(i, " ".join(t)) for i, t in enumerate(table)])
+    got = {(r.doc_id, r.item_id): (r.overlap_words, r.same_words, r.start_word)
+           for r in decontam.overlaps(table_, benchmark).collect()}
+    assert got == expected and {(0, 0), (1, 1), (2, 2)} <= set(got)
+    kept = {r.doc_id for r in decontam.without_contaminated(table_, benchmark).collect()}
+    assert kept == set(range(len(table))) - {i for i, _ in expected}
+
+
+def test_masks_meet_every_overlap():
+    """No choice of substituted places in a shortest overlap avoids all masks."""
+    for n, substituted in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        places = np.array(list(itertools.combinations(range(n), substituted)))
+        met = np.zeros(len(places), dtype=bool)
+        for mask in decontam.MASKS:
+            needed = np.array([c == "1" for c in mask])
+            for at in range(n - len(mask) + 1):
+                inside = (places >= at) & (places < at + len(mask))
+                met |= ~(inside & needed[np.clip(places - at, 0, len(mask) - 1)]).any(axis=1)
+        assert met.all()
+
+
 def test_language(docs):
     kinds = {"aa": list("abcde"), "bb": list("vwxyz"), "cc": list("amnov")}
     rng = np.random.default_rng(2)
