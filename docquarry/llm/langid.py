@@ -6,7 +6,7 @@ summed by Spark; the discounts, continuation counts and interpolated probabiliti
 aggregations over them. A finished model is a pair of sorted hash arrays per order, of at most
 ``2**HASH_BITS`` entries each, which is what bounds the broadcast. A text takes the
 language of the lowest cross-entropy per character; texts far above the cross-entropy that
-texts of that language and length show are rejected.
+labelled texts of that language and length show to models that did not learn them are rejected.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ MOST_LANGUAGES = 64
 FLUSH_WORDS = 300_000
 SURE_CHARS = 200
 REJECT_SPREADS = 8.0
-LEAST_SPREAD = 0.15
+LEAST_SPREAD = 0.1
+SURE_ROWS = 20
 UNDETERMINED = "und"
 LONGEST_WORD = 200
 
@@ -204,38 +205,40 @@ class _Scorer:
             yield self.table[at].sum(axis=0, dtype=np.float64), sum(map(len, words)) + len(words)
 
 
-def cross_entropies(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def cross_entropies(docs: DataFrame, labelled: DataFrame, *also: str) -> DataFrame:
     """``doc_id, lang_pred, score, entropy, n_predicted`` for every row of ``docs(doc_id, text)``.
 
     ``lang_pred`` is the language of ``labelled(lang, text)`` whose model gives the text the lowest
     cross-entropy per character (``entropy``, in nats); ties go to the smaller name. ``score`` is its share against the other
     languages over at most ``SURE_CHARS`` characters. A text that is null or has no letter, and any text
     if nothing is labelled, is ``und`` with score 0. Words score the same wherever they stand, so a
-    text of any length is one sum over its words. Repeated rows are all kept.
+    text of any length is one sum over its words. Repeated rows are all kept, and columns ``also`` as strings.
     """
     with scope(docs.sparkSession):
         models = Models(train(labelled).toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
-                        ("entropy", pa.float64()), ("n_predicted", pa.int64())])
+                        ("entropy", pa.float64()), ("n_predicted", pa.int64()), *((c, pa.string()) for c in also)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         scorer = _Scorer(models)
-        for rows in by_size(rows_in(batches, "doc_id", "text"), lambda r: len(r[1] or "") + 100, 1_000_000):
+        for rows in by_size(rows_in(batches, "doc_id", "text", *also), lambda r: len(r[1] or "") + 100, 1_000_000):
             out = []
-            for (doc_id, text), (sums, n) in zip(rows, scorer.of([pieces_of(t or "") for _, t in rows])):
+            for (doc_id, text, *more), (sums, n) in zip(rows, scorer.of([pieces_of(r[1] or "") for r in rows])):
                 if n == 0 or not models.languages or not any(map(str.isalpha, text)):
-                    out.append((doc_id, UNDETERMINED, 0.0, None, n))
+                    out.append((doc_id, UNDETERMINED, 0.0, None, n, *more))
                     continue
                 entropy = -sums / n
                 best = int(entropy.argmin())
                 share = 1.0 / np.exp((entropy[best] - entropy) * min(n, SURE_CHARS)).sum()
-                out.append((doc_id, models.languages[best], float(share), float(entropy[best]), n))
+                out.append((doc_id, models.languages[best], float(share), float(entropy[best]), n, *more))
             yield batch_of(schema, *zip(*out))
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double, entropy double, n_predicted bigint")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         *(F.col(c).cast("string").alias(c) for c in also))
+    return narrow.mapInArrow(run, ", ".join([
+        "doc_id bigint, lang_pred string, score double, entropy double, n_predicted bigint", *(f"{c} string" for c in also)]))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -243,22 +246,51 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 != 0
 
 
+def in_calibration(doc_id: Column) -> Column:
+    """Whether a document belongs to the quarter of the training part that the rejection is calibrated on."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
+
+
+def _usual(known: DataFrame, value: Column, *keys: str) -> DataFrame:
+    """Rows, median entropy and median absolute deviation per key; ``value`` scales a deviation. Medians are approximate."""
+    middle = known.groupBy(*keys).agg(F.percentile_approx("entropy", 0.5).alias("middle"))
+    return known.join(F.broadcast(middle), list(keys)).groupBy(*keys, "middle").agg(
+        F.count("*").alias("n"),
+        (1.4826 * F.percentile_approx(F.abs(F.col("entropy") - F.col("middle")) * value, 0.5)).alias("spread"))
+
+
+def _limit(spread: Column, middle: Column) -> Column:
+    return middle + REJECT_SPREADS * F.greatest(spread, F.lit(LEAST_SPREAD))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, entropy, accepted`` for every row of ``docs(doc_id, text, lang)``.
 
-    Models learn from the training part; so does the rejection: per language and length (in powers of
-    two), a text is accepted if its cross-entropy is at most ``REJECT_SPREADS`` standard deviations
-    above the mean of training texts. ``und`` is never accepted. Null ``lang`` is not learned from,
+    Models learn from the training part. The rejection is calibrated on a quarter of it, scored by models that
+    learned from the other three only, and there on texts whose ``lang`` is the language found, so that
+    texts of no language cannot widen it. Per language and length (in powers of two) a text is accepted if its
+    cross-entropy is at most ``REJECT_SPREADS`` deviations above the median; the deviation is the median absolute one, at
+    least ``LEAST_SPREAD``. Where fewer than ``SURE_ROWS`` texts show what is usual, the limit is not below that of the language,
+    or else of all languages, whose deviation shrinks with the root of the length. Only if no text at all can be calibrated on is
+    every language accepted. ``und`` is never accepted. Null ``lang`` is not learned from,
     null ``doc_id`` counts as held out; an empty table gives no rows; other columns are ignored.
     """
+    size = F.floor(F.log2(F.greatest("n_predicted", F.lit(1))))
     labelled = docs.where(in_training(F.col("doc_id")))
     found = stage(cross_entropies(docs, labelled), "entropies").withColumns({
-        "held_out": ~in_training(F.col("doc_id")),
-        "size": F.floor(F.log2(F.greatest("n_predicted", F.lit(1)))),
-    })
-    usual = found.where("not held_out and entropy is not null").groupBy("lang_pred", "size").agg(
-        (F.avg("entropy") + REJECT_SPREADS * F.greatest(F.coalesce(F.stddev_samp("entropy"), F.lit(0.0)),
-                                                         F.lit(LEAST_SPREAD))).alias("limit"))
-    return found.join(F.broadcast(usual), ["lang_pred", "size"], "left").select(
+        "held_out": ~in_training(F.col("doc_id")), "size": size})
+    spare = in_calibration(F.col("doc_id"))
+    known = stage(cross_entropies(labelled.where(spare).where("lang is not null"), labelled.where(~spare), "lang").where(
+        "lang = lang_pred and entropy is not null"), "calibration").withColumns({"size": size, "one": F.lit(0)})
+    root = F.sqrt("n_predicted")
+    bins = _usual(known, F.lit(1.0), "lang_pred", "size").select(
+        "lang_pred", "size", _limit(F.col("spread"), F.col("middle")).alias("own"), (F.col("n") >= SURE_ROWS).alias("sure"))
+    languages = _usual(known, root, "lang_pred").select("lang_pred", F.struct("middle", "spread").alias("of_language"))
+    overall = _usual(known, root, "one").select("one", F.struct("middle", "spread").alias("of_all"))
+    broad = F.coalesce("of_language", "of_all")
+    limit = F.when(F.col("sure"), F.col("own")).otherwise(
+        F.greatest("own", _limit(broad["spread"] / root, broad["middle"])))
+    return found.withColumn("one", F.lit(0)).join(F.broadcast(bins), ["lang_pred", "size"], "left").join(
+        F.broadcast(languages), "lang_pred", "left").join(F.broadcast(overall), "one", "left").select(
         "doc_id", "held_out", "lang_pred", "score", "entropy",
-        (F.col("entropy").isNotNull() & (F.col("entropy") <= F.coalesce("limit", "entropy"))).alias("accepted"))
+        (F.col("entropy").isNotNull() & (F.col("entropy") <= F.coalesce(limit, "entropy"))).alias("accepted"))

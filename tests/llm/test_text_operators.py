@@ -240,6 +240,21 @@ def test_language(docs):
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
 
 
+def test_unlearned_language_is_rejected(docs):
+    """A third of all rows in a language without labels, of all lengths; clean texts stay, short and rare lengths too."""
+    kinds = {"aa": list("abcde"), "bb": list("vwxyz"), None: list("aeghi")}
+    rng = np.random.default_rng(8)
+
+    def say(lang, n):
+        return " ".join("".join(rng.choice(kinds[lang], rng.integers(3, 7))) for _ in range(n))
+
+    table = [(i, say(lang, int(rng.integers(6, 90))), lang) for i, lang in enumerate(["aa", "bb", None] * 120)]
+    table += [(1000, say("aa", 3000), "aa"), (1001, say("bb", 2), "bb"), (1002, say(None, 3000), None)]
+    fate = {r.doc_id: r.accepted for r in langid.identify(docs(table, ", lang string")).collect()}
+    assert not [i for i, _, lang in table if lang is None and fate[i]]
+    assert not [i for i, _, lang in table if lang and not fate[i]]
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over every character that can follow, probabilities of a context add up to one."""
     table = spark.createDataFrame([("aa", "abba abab baab cab"), ("aa", "abc cab bac")], "lang string, text string")
