@@ -3,8 +3,10 @@
 A model predicts every character of a word, and the word's end, from the three characters
 ahead of it. Counts of character runs come from all training texts, gathered in tasks and
 summed by Spark; the discounts, continuation counts and interpolated probabilities are
-aggregations over them. A finished model is a pair of sorted hash arrays per order, of at most
-``2**HASH_BITS`` entries each, which is what bounds the broadcast. A text takes the
+aggregations over them. A finished model is a pair of arrays per order, sorted by the whole packed
+run, so that a run that was not seen is not found. Models of more than ``MODEL_ENTRIES`` entries or
+``MOST_LANGUAGES`` languages take several passes over the texts, each with a part of them, which is what bounds
+the broadcast; a language too large for a pass is cut by the character ahead of the predicted one. A text takes the
 language of the lowest cross-entropy per character; texts far above the cross-entropy that
 labelled texts of that language and length show to models that did not learn them are rejected.
 """
@@ -24,7 +26,8 @@ from docquarry.session import scope, stage
 
 ORDER = 4
 CHAR_BITS = 15
-HASH_BITS = 22
+PART_BITS = 8
+MODEL_ENTRIES = 6_000_000
 MOST_LANGUAGES = 64
 FLUSH_WORDS = 300_000
 SURE_CHARS = 200
@@ -81,25 +84,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(lang, words)
 
 
-def _slot(run: np.ndarray, order: int) -> np.ndarray:
-    """Place of a run or, for a negative ``order``, of a context among ``2**HASH_BITS``."""
-    salted = run + np.uint64(order % 16 * 0x9E3779B97F4A7C15 % (1 << 64))
-    return (mix(salted) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-
-
-def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("slot", pa.int32()), ("value", pa.float64())])
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        run = batch.column("run").to_numpy().view(np.uint64)
-        slot = np.zeros(len(kind), dtype=np.int32)
-        for k in np.unique(kind):
-            slot[kind == k] = _slot(run[kind == k], int(k))
-        yield batch_of(schema, batch.column("lang"), kind, slot, batch.column("value"))
-
-
 def train(labelled: DataFrame) -> DataFrame:
-    """Model rows ``lang, kind, slot, value`` from ``labelled(lang, text)``.
+    """Model rows ``lang, kind, run, value`` from ``labelled(lang, text)``.
 
     Kind ``k`` holds the log-probability of runs of ``k`` characters, kind ``-k`` the log-weight
     that a context of ``k - 1`` characters gives to the next lower order. Rows with a null are left out.
@@ -136,31 +122,75 @@ def train(labelled: DataFrame) -> DataFrame:
     out = rows[0]
     for more in rows[1:]:
         out = out.union(more)
-    return out.mapInArrow(_to_slots, "lang string, kind int, slot int, value double").groupBy(
-        "lang", "kind", "slot").agg(F.max("value").alias("value"))
+    return out
+
+
+def _part(run: np.ndarray) -> np.ndarray:
+    """Part of a model that scores a run: all that it may look up but single characters lies there."""
+    return (mix(run >> np.uint64(CHAR_BITS) & np.uint64((1 << CHAR_BITS) - 1)) >> np.uint64(64 - PART_BITS)).astype(np.int32)
+
+
+def _with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("run", pa.int64()), ("value", pa.float64()),
+                        ("part", pa.int32())])
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        run = batch.column("run").to_numpy().view(np.uint64)
+        part = _part(np.where(kind < 0, run << np.uint64(CHAR_BITS), run))
+        yield batch_of(schema, batch.column("lang"), batch.column("kind"), batch.column("run"), batch.column("value"),
+                       np.where(np.abs(kind) == 1, -1, part))
+
+
+def passes(rows: DataFrame) -> list[dict[str, list[int]]]:
+    """Parts of languages that each pass takes, about ``MODEL_ENTRIES`` entries of ``rows(lang, part)`` together.
+
+    Part -1, single characters, goes along with every part of its language.
+    """
+    sizes: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", "part").count().collect():
+        sizes.setdefault(r["lang"], {})[r["part"]] = r["count"]
+    out: list[dict[str, list[int]]] = []
+    filled = 0
+    for lang, parts in sorted(sizes.items()):
+        single = parts.pop(-1, 0)
+        for part in range(1 << PART_BITS):
+            n = parts.get(part, 0)
+            fresh = not out or lang not in out[-1]
+            if not out or filled + n + fresh * single > MODEL_ENTRIES or fresh and len(out[-1]) == MOST_LANGUAGES:
+                out.append({})
+                filled, fresh = 0, True
+            out[-1].setdefault(lang, []).append(part)
+            filled += n + fresh * single
+    return out
 
 
 class Models:
-    """The sorted arrays of every language."""
-
-    def __init__(self, rows: pa.Table):
-        self.languages = sorted(set(rows["lang"].to_pylist()))
-        if len(self.languages) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        lang = rows["lang"].to_numpy()
-        kind, slot = rows["kind"].to_numpy(), rows["slot"].to_numpy()
+    """The sorted arrays of every language, or of those parts of languages that ``parts`` names."""
+
+    def __init__(self, rows: pa.Table, parts: dict[str, list[int]] | None = None):
+        self.languages = sorted(set(rows["lang"].to_pylist()) if parts is None else parts)
+        self.covered = np.ones((len(self.languages), 1 << PART_BITS), dtype=bool)
+        for n, name in enumerate(self.languages if parts is not None else []):
+            self.covered[n] = np.isin(np.arange(1 << PART_BITS), parts[name])
+        lang = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+        if isinstance(lang, pa.ChunkedArray):
+            lang = lang.combine_chunks()
+        names, lang = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+        kind, run = rows["kind"].to_numpy(), rows["run"].to_numpy().view(np.uint64)
         value = rows["value"].to_numpy().astype(np.float32)
         self.arrays = {}
         for n, name in enumerate(self.languages):
+            own = np.flatnonzero(lang == names.index(name)) if name in names else np.zeros(0, dtype=np.int64)
             for k in (*range(-ORDER, 0), *range(1, ORDER + 1)):
-                mine = np.flatnonzero((lang == name) & (kind == k))
-                mine = mine[np.argsort(slot[mine])]
-                self.arrays[n, k] = slot[mine], value[mine]
+                mine = own[kind[own] == k]
+                mine = mine[np.argsort(run[mine])]
+                self.arrays[n, k] = run[mine], value[mine]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word, end included, a column per language."""
         runs, owner = _runs(words)
         distinct, at = np.unique(runs, return_inverse=True)
+        part = _part(distinct)
         out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
         for n in range(len(self.languages)):
             total = np.zeros(len(distinct), dtype=np.float64)
@@ -173,16 +203,16 @@ class Models:
                 value, found = self._look(n, -o, own >> np.uint64(CHAR_BITS))
                 total += np.where(~done & found, value, 0.0)
             total += np.where(done, 0.0, -np.log(float(1 << CHAR_BITS)))
+            total[~self.covered[n][part]] = 0.0
             out[:, n] = np.bincount(owner, weights=total[at], minlength=len(words))
         return out
 
     def _look(self, n: int, kind: int, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slots, values = self.arrays[n, kind]
-        if not len(slots):
+        runs, values = self.arrays[n, kind]
+        if not len(runs):
             return np.zeros(len(run)), np.zeros(len(run), dtype=bool)
-        slot = _slot(run, kind)
-        at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-        return values[at], slots[at] == slot
+        at = np.minimum(np.searchsorted(runs, run), len(runs) - 1)
+        return values[at], runs[at] == run
 
 
 class _Scorer:
@@ -214,31 +244,63 @@ def cross_entropies(docs: DataFrame, labelled: DataFrame, *also: str) -> DataFra
     if nothing is labelled, is ``und`` with score 0. Words score the same wherever they stand, so a
     text of any length is one sum over its words. Repeated rows are all kept, and columns ``also`` as strings.
     """
-    with scope(docs.sparkSession):
-        models = Models(train(labelled).toArrow())
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    spark = docs.sparkSession
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         *(F.col(c).cast("string").alias(c) for c in also))
+    result = "doc_id bigint, lang_pred string, score double, entropy double, n_predicted bigint"
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("entropy", pa.float64()), ("n_predicted", pa.int64()), *((c, pa.string()) for c in also)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        scorer = _Scorer(models)
-        for rows in by_size(rows_in(batches, "doc_id", "text", *also), lambda r: len(r[1] or "") + 100, 1_000_000):
-            out = []
-            for (doc_id, text, *more), (sums, n) in zip(rows, scorer.of([pieces_of(r[1] or "") for r in rows])):
-                if n == 0 or not models.languages or not any(map(str.isalpha, text)):
-                    out.append((doc_id, UNDETERMINED, 0.0, None, n, *more))
-                    continue
-                entropy = -sums / n
-                best = int(entropy.argmin())
-                share = 1.0 / np.exp((entropy[best] - entropy) * min(n, SURE_CHARS)).sum()
-                out.append((doc_id, models.languages[best], float(share), float(entropy[best]), n, *more))
-            yield batch_of(schema, *zip(*out))
-
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                         *(F.col(c).cast("string").alias(c) for c in also))
-    return narrow.mapInArrow(run, ", ".join([
-        "doc_id bigint, lang_pred string, score double, entropy double, n_predicted bigint", *(f"{c} string" for c in also)]))
+    def scored(shared, languages: list[str], last: bool, earlier: bool):
+        """One pass: adds to the sums per language, and judges by them in the last."""
+        names = ["doc_id", "text", *also, *(["sums"] if earlier else [])]
+        passed = pa.schema([*narrow_schema, ("sums", pa.list_(pa.float64()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = shared.value
+            place = [languages.index(name) for name in models.languages]
+            scorer = _Scorer(models)
+            for rows in by_size(rows_in(batches, *names), lambda r: len(r[1] or "") + 100, 1_000_000):
+                out = []
+                for row, (own, n) in zip(rows, scorer.of([pieces_of(r[1] or "") for r in rows])):
+                    doc_id, text, *more = row[:2 + len(also)]
+                    sums = np.array(row[-1] if earlier else [0.0] * len(languages))
+                    sums[place] += own
+                    if not last:
+                        out.append((doc_id, text, *more, sums))
+                        continue
+                    if n == 0 or not languages or not any(map(str.isalpha, text)):
+                        out.append((doc_id, UNDETERMINED, 0.0, None, n, *more))
+                        continue
+                    entropy = -sums / n
+                    best = int(entropy.argmin())
+                    share = 1.0 / np.exp((entropy[best] - entropy) * min(n, SURE_CHARS)).sum()
+                    out.append((doc_id, languages[best], float(share), float(entropy[best]), n, *more))
+                yield batch_of(schema if last else passed, *zip(*out))
+        return run
+
+    narrow_schema = [("doc_id", pa.int64()), ("text", pa.string()), *((c, pa.string()) for c in also)]
+    strings = "".join(f", {c} string" for c in also)
+    with scope(spark):
+        model = stage(train(labelled).mapInArrow(
+            _with_part, "lang string, kind int, run bigint, value double, part int"), "model")
+        todo = passes(model) or [{}]
+        languages = sorted(set().union(*todo))
+        held = narrow
+        for number, parts in enumerate(todo):
+            rows = model
+            if len(todo) > 1:
+                rows = model.where(F.lit(False))
+                for lang, own in parts.items():
+                    rows = rows.union(model.where((F.col("lang") == lang) & ((F.col("part") == -1) | F.col("part").isin(own))))
+            shared = spark.sparkContext.broadcast(Models(rows.select("lang", "kind", "run", "value").toArrow(), parts))
+            last = number == len(todo) - 1
+            run = scored(shared, languages, last, number > 0)
+            if last:
+                out = held.mapInArrow(run, result + strings)
+                return out if number == 0 else stage(out, "scored", keep=True)
+            held = stage(held.mapInArrow(run, f"doc_id bigint, text string{strings}, sums array<double>"), "sums")
+            shared.destroy()
 
 
 def in_training(doc_id: Column) -> Column:

@@ -278,6 +278,36 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp(logs[:-1]).sum() + missing * np.exp(logs[-1]) == pytest.approx(1.0, abs=0.01)
 
 
+def test_unseen_runs_are_not_found(spark):
+    """However full a model is, it knows only the runs it has seen."""
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(map(chr, rng.integers(0x430, 0x460, 6))) for _ in range(3000))
+    models = langid.Models(langid.train(spark.createDataFrame([("aa", text)], "lang string, text string")).toArrow())
+    runs, _ = langid._runs(langid.pieces_of(text))
+    others = np.setdiff1d(rng.integers(0, 1 << 60, 300_000).astype(np.uint64), runs)
+    assert models._look(0, 4, runs)[1].all() and not models._look(0, 4, others)[1].any()
+
+
+def test_language_in_passes(docs, monkeypatch):
+    """Models too large for one pass, by entries or languages, give what one pass gives."""
+    rng = np.random.default_rng(6)
+    names = ["aa", "bb", "cc", None]
+    table = [(i, " ".join("".join(rng.choice(list("abcdefg"[n:n + 4] + "漢😀"), 4)) for _ in range(12)), names[n])
+             for i, n in enumerate(rng.integers(0, 4, 60).tolist())] + [(60, None, "aa"), (60, "", None), (None, "abc", "bb")]
+    table_ = docs(table, ", lang string")
+
+    def found():
+        got = langid.cross_entropies(table_, table_).select("doc_id", "lang_pred", "n_predicted", "entropy").collect()
+        return sorted(((str(r.doc_id), r.lang_pred, r.n_predicted, round(r.entropy or 0.0, 4)) for r in got))
+
+    whole = found()
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 400)
+    assert found() == whole
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 10_000_000)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    assert found() == whole
+
+
 TEXTS = [(1, "The cat sat on the mat."), (2, None), (3, ""), (4, "  two  spaces  "), (5, "naïve Ünïcode ☃ 漢字\n\ttabs 123.45²."),
          (6, "a" * 300 + " " + "xyz" * 90), (7, "▁ ▁▁x"), (8, " "), (9, "word"), (9, "word"), (None, "\x00 odd \U0001f600"),
          (10, "#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ a.b.c don't"), (11, "        deep"), (12, "Straße\r\nÉTÉ ñandú")]
