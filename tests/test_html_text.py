@@ -103,7 +103,7 @@ def test_character_references(spark):
     """Numeric and named references are decoded once, as the standard library does it."""
     import html
 
-    from docquarry.functions.html import decode_entities
+    from docquarry.functions.html import decode_entities, hrefs
 
     texts = ["it&#39;s &mdash; &#x41;", "&amp;#39; &amp;amp; x", "&unknown; &;", "a & b &lt;p&gt;", "",
              "&#X1F600;&eacute;&Eacute;", None, "&hellip;&hellip;"]
