@@ -118,9 +118,44 @@ select page_id, host, path, rule,
 from bounded
 """
 
+RULES = r"""
+with split as (
+  select doc_id, coalesce(text, '') as text, row_number() over () as r,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select r, i, array_to_string(w[i:i + 4], ' ') as five from (select r, w, unnest(range(1, len(w) - 3)) as i from split)
+), covered as (
+  select distinct r, i + k as place from (select r, i from windows qualify count(*) over (partition by r, five) > 1), range(5) as t(k)
+), repeated as (select r, count(*) as n from covered group by r),
+counted as (
+  select doc_id, w, lines, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+         coalesce(n, 0) as n_repeat_words
+  from split left join repeated using (r)
+), judged as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         word_chars < 2 * n_words or word_chars > 12 * n_words
+         or 10 * n_symbols > n_words
+         or 10 * n_dup_lines > 3 * len(lines)
+         or 5 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 4 * n_words
+         or 10 * len(list_filter(w, lambda x: regexp_matches(x, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))) > 3 * n_words
+         or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 3 * len(lines)
+         or list_has_any(list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{L}]', '', 'g'))),
+                         ['idiot', 'imbecile', 'moron', 'scumbag', 'worthless', 'clown', 'loser', 'dumbass']) as rejected
+  from counted
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+       not base_failed and not rejected as kept
+from judged
+"""
+
 LLM_ORACLE = {
     "op2_chat": CHAT,
     "op6_topk": TOP_K,
     "op9_url_reputation": URL_REPUTATION,
     "op10_jaccard": JACCARD,
+    "op11_rules": RULES,
 }

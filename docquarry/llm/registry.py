@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, pieces, quality, repeats, tokencount, topk, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, pieces, quality, repeats, rules, tokencount, topk, urlrep
 from docquarry.llm.common import read
 from docquarry.llm.oracle import LLM_ORACLE
 
@@ -74,6 +74,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of all documents by the rule cascade."""
+    return rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
@@ -85,6 +91,7 @@ LLM_QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
     "op10_jaccard": op10_jaccard,
+    "op11_rules": op11_rules,
 }
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
