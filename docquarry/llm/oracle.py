@@ -152,10 +152,66 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from judged
 """
 
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+             for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+# The checksum's polynomial, bit by bit; ids hold ASCII characters only.
+_CRC = """xor(4294967295::bigint, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda a, b: list_reduce(range(8), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end,
+                           xor(a, b)), 4294967295::bigint))"""
+
+MERKLE = f"""
+with recursive leaves as (
+  select r, doc_id, lang, leaf, tampered,
+         row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as pos, count(*) over (partition by lang) as n
+  from (select row_number() over () as r, doc_id, lang, {_leaf("n_chars")} as leaf,
+               case when {_CRC} % 7 = 0 then {_leaf("(n_chars + 1)")} else {_leaf("n_chars")} end as tampered from documents)
+), langs as (
+  select lang, row_number() over (order by lang nulls first) - 1 as tree, count(*) over () as n_trees
+  from (select distinct lang from leaves)
+), placed as (
+  select leaves.*, tree from leaves join langs on leaves.lang is not distinct from langs.lang
+), nodes(tree, level, idx, n, h) as (
+  select tree, 0, pos, n, leaf from placed
+  union all
+  select tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' order by idx)) from nodes where n > 1
+  group by tree, level, idx // 2, n
+), subroots as (select tree, level as height, h as subroot from nodes where n = 1),
+over_langs(level, idx, n, h) as (
+  select 0, tree, n_trees, subroot from subroots join langs using (tree)
+  union all
+  select level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' order by idx)) from over_langs where n > 1
+  group by level, idx // 2, n
+), steps as (
+  select r, lv.level as k, (pos >> lv.level) % 2 as odd, s.h as sibling
+  from placed p join (select distinct tree, level from nodes where n > 1) lv using (tree)
+  left join nodes s on s.tree = p.tree and s.level = lv.level and s.idx = xor(pos >> lv.level, 1)
+  union all
+  select r, height + lv.level, (p.tree >> lv.level) % 2, s.h
+  from placed p join subroots using (tree) join (select distinct level from over_langs where n > 1) lv on true
+  left join over_langs s on s.level = lv.level and s.idx = xor(p.tree >> lv.level, 1)
+), proofs as (
+  select r, sha256(coalesce(string_agg(sibling, '' order by k), '')) as proof_sha256, count(k) as height
+  from placed left join steps using (r) group by r
+), folds(r, k, h) as (
+  select r, 0, tampered from placed
+  union all
+  select r, k + 1, sha256(case odd when 1 then sibling else '' end || h || case odd when 0 then coalesce(sibling, '') else '' end)
+  from folds join steps using (r, k)
+)
+select doc_id, leaf, subroot, t.h as root, proof_sha256, f.h as folded_root, f.h = t.h as verified
+from placed join subroots using (tree) join (select h from over_langs where n = 1) t on true
+join proofs using (r) join folds f on f.r = placed.r and f.k = proofs.height
+"""
+
 LLM_ORACLE = {
     "op2_chat": CHAT,
     "op6_topk": TOP_K,
     "op9_url_reputation": URL_REPUTATION,
     "op10_jaccard": JACCARD,
     "op11_rules": RULES,
+    "op12_merkle": MERKLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, pieces, quality, repeats, rules, tokencount, topk, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, merkle, pieces, quality, repeats, rules, tokencount, topk, urlrep
 from docquarry.llm.common import read
 from docquarry.llm.oracle import LLM_ORACLE
 
@@ -80,6 +80,17 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and their proofs tried on rows of which some are tampered with."""
+    docs = read(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    more = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.manifest(docs, carry={"tampered": F.when(hit, merkle.leaf_digest(*more))})
+    tried = merkle.verified(rows.withColumn("tampered", F.coalesce("tampered", "leaf")), "tampered")
+    return tried.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
 LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
@@ -92,6 +103,7 @@ LLM_QUERIES = {
     "op9_url_reputation": op9_url_reputation,
     "op10_jaccard": op10_jaccard,
     "op11_rules": op11_rules,
+    "op12_merkle": op12_merkle,
 }
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
