@@ -95,9 +95,12 @@ def _build(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``leaves(tree, height, idx, digest)``; every tree has consecutive numbers from 0.
     """
     def above(nodes):
-        pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: F.unhex(F.sha2(F.concat(
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: F.unhex(F.sha2(F.concat(
             F.lower(F.hex(F.get(nodes, 2 * i))), F.coalesce(F.lower(F.hex(F.get(nodes, 2 * i + 1))), F.lit(""))), 256)))
-        return pairs
+
+    def sibling(nodes, i):
+        return let(F.get(nodes, i.bitwiseXOR(F.lit(1))), lambda other: F.when(other.isNull(), F.lit(bytes(STEP))).otherwise(
+            F.concat(F.when(i % 2 == 0, F.lit(b"\2")).otherwise(F.lit(b"\1")), other)))
 
     def steps_of(level):
         return F.least(F.lit(LEVELS), F.col("height") - level)
@@ -114,27 +117,23 @@ def _build(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels = F.aggregate(
             F.sequence(F.lit(1), steps_of(base)), F.array(F.col("own.digest")),
             lambda done, _: F.concat(done, F.array(above(F.element_at(done, -1)))))
-        blocks = stage(blocks.select("tree", "height", "block", levels.alias("levels")), f"levels_{base}")
-        for step in range(LEVELS):
-            # The digests of one level of a block, each with its sibling.
-            level = blocks.where(steps_of(base) > step).select(
-                "tree", "height", "block", F.col("levels")[step].alias("own"))
-            nodes.append(level.select(
-                "tree", "height", "block", F.posexplode(F.transform("own", lambda _, i: let(
-                    F.get("own", i.bitwiseXOR(F.lit(1))), lambda other: F.when(
-                        other.isNull(), F.lit(bytes(STEP))).otherwise(F.concat(
-                            F.when(i % 2 == 0, F.lit(b"\2")).otherwise(F.lit(b"\1")), other))))).alias("i", "seg"),
-            ).select("tree", F.lit(base + step).alias("level"),
-                     (F.shiftleft("block", LEVELS - step) + F.col("i")).alias("idx"), "height", "seg"))
-        now = blocks.select(
-            "tree", "height", F.col("block").alias("idx"), F.element_at(F.element_at("levels", -1), 1).alias("digest"))
+        # A row per node: its sibling, or its own digest at the top of the block.
+        flat = stage(blocks.select("tree", "height", "block", levels.alias("levels")).select(
+            "tree", "height", "block", F.explode(F.flatten(F.transform("levels", lambda own, step: F.transform(
+                own, lambda node, i: F.struct(step.alias("step"), i.alias("i"), F.when(
+                    step == F.size("levels") - 1, node).otherwise(sibling(own, i)).alias("data")))))).alias("node"),
+        ).select("tree", "height", "block", "node.*"), f"levels_{base}")
+        nodes.append(flat.where(F.col("step") < steps_of(base)).select(
+            "tree", (F.col("step") + base).alias("level"),
+            (F.col("block") * F.expr(f"shiftleft(1L, {LEVELS} - step)") + F.col("i")).alias("idx"), "height",
+            F.col("data").alias("seg")))
+        tops = flat.where(F.col("step") == steps_of(base)).select(
+            "tree", "height", F.col("block").alias("idx"), F.col("data").alias("digest"))
         base += LEVELS
-        now = now.where(F.col("height") >= base).unionByName(
-            now.where(F.col("height") < base).withColumn("idx", F.lit(None).cast("bigint")))
-        roots.append(now.where("idx is null").select("tree", "height", "digest"))
-        now = now.where("idx is not null")
+        roots.append(tops.where(F.col("height") < base).select("tree", "height", "digest"))
+        now = tops.where(F.col("height") >= base)
     empty = leaves.limit(0).select("tree", F.lit(0).alias("level"), "idx", "height", F.col("digest").alias("seg"))
-    return stage(reduce(DataFrame.unionByName, nodes, empty), "nodes"), stage(reduce(DataFrame.unionByName, roots), "roots")
+    return reduce(DataFrame.unionByName, nodes, empty), stage(reduce(DataFrame.unionByName, roots), "roots")
 
 
 def _jump(nodes: DataFrame, top_height: int) -> DataFrame:
