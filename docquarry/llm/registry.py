@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontam, jaccard, langid, merkle, pieces, quality, repeats, rules, tokencount, topk, urlrep
+from docquarry.llm import chat, decontam, jaccard, langid, merkle, pieces, quality, repeats, rules, tokencount, topk, urlrep, whiten
 from docquarry.llm.common import read
 from docquarry.llm.oracle import LLM_ORACLE
 
@@ -91,6 +91,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "folded_root", "verified")
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened principal components of all vectors."""
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
@@ -104,6 +109,7 @@ LLM_QUERIES = {
     "op10_jaccard": op10_jaccard,
     "op11_rules": op11_rules,
     "op12_merkle": op12_merkle,
+    "op13_whiten": op13_whiten,
 }
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]

@@ -1,0 +1,87 @@
+"""Whitening against a plain eigendecomposition."""
+
+import math
+
+import numpy as np
+import pytest
+
+from docquarry.llm import whiten
+
+
+def plain(vectors):
+    x = np.floor(1024.0 * np.array(vectors, dtype=np.float64)) + 100000
+    n, mean = len(x), x.mean(axis=0)
+    values, axes = np.linalg.eigh((x - mean).T @ (x - mean) / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    whole = [[int(c) for c in row] for row in x]
+    total = [sum(c) for c in zip(*whole)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(row, total)) for row in whole]
+    return n, deviation, values, (x - mean) @ axes / np.sqrt(np.maximum(values, 1e-300))
+
+
+def check(spark, rows, size=None):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id bigint, embedding array<float>, w int, n string")
+    found = whiten.whiten(df).collect()
+    ok = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    ok = [(i, np.float32(v)) for i, v in ok if size is None or len(v) == size]
+    n, deviation, values, white = plain([v for _, v in ok])
+    count = min(8, len(values))
+    assert len(found) == n * count and all(r.n == n for r in found)
+    by = {(r.vec_id, r.component): r for r in found}
+    for at, (i, _) in enumerate(ok):
+        assert by[i, 1].deviation == deviation[at]
+    for k in range(count):
+        column = np.array([by[i, k + 1].whitened for i, _ in ok])
+        want = white[:, k]
+        sign = np.sign(column @ want)
+        assert np.abs(sign * column - want).max() < 1e-7
+        assert by[ok[0][0], k + 1].explained == pytest.approx(values[k] / values.sum(), rel=1e-8)
+    assert found[0].identity_error < 1e-8
+
+
+def test_random_and_spiked(spark):
+    rng = np.random.default_rng(3)
+    check(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 24)) * np.linspace(3, 0.1, 24))])
+    check(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((90, 5)) + [0, 50, -7, 0, 0])])
+
+
+def test_bad_vectors_take_no_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 3)))]
+    nan, inf = float("nan"), float("inf")
+    rows += [(100, None), (101, [1.0, None, 2.0]), (102, [nan, 0.0, 0.0]), (103, [inf, 0.0, 0.0]), (104, []), (105, [1.0])]
+    check(spark, rows, size=3)
+
+
+def test_odd_tables(spark):
+    make = lambda rows: whiten.whiten(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert make([]) == [] and make([(1, None)]) == []
+    (one, two) = make([(None, [1.0, 2.0])])
+    assert (one.n, one.deviation, one.whitened, one.explained, one.identity_error) == (1, 0, None, None, None)
+    assert len(make([(1, [0.5, 0.25])] * 4)) == 8
+    flat = make([(i, [float(i), float(i), 3.0]) for i in range(9)])
+    assert {r.component for r in flat if r.whitened is not None} == {1}
+    assert {round(r.explained, 9) for r in flat if r.component == 1} == {1.0}
+    far = make([(i, [1e11 * (-1) ** i, 1.0 * i]) for i in range(200)])
+    assert all(r.deviation is None for r in far) and len(far) == 400
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64])
+def test_eigen_equals_a_library(size):
+    rng = np.random.default_rng(size)
+    for values in (rng.uniform(0, 5, size), 10.0 ** -np.arange(size), np.repeat([3.0, 1.0], size)[:size] * 1.0, np.zeros(size)):
+        q, _ = np.linalg.qr(rng.standard_normal((size, size)))
+        a = (q * values) @ q.T
+        a = (a + a.T) / 2
+        found, axes = whiten.eigen(a)
+        assert np.abs(np.sort(found) - np.sort(values)).max() <= 1e-13 * max(1, values.max())
+        assert np.abs(axes.T @ axes - np.eye(size)).max() < 1e-13
+        assert np.abs(a @ axes - axes * found).max() < 1e-13 * max(1, values.max())
+
+
+def test_polar_factor():
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((30, 30))
+    a = a + a.T
+    values, axes = np.linalg.eigh(a)
+    assert np.abs(whiten.polar_factor(a) - (axes * np.sign(values)) @ axes.T).max() < 1e-12
