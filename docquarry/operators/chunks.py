@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import urls
 from docquarry.functions.text import MAX_WORDS, clean_text, word_windows, words
-from docquarry.operators.numbering import BUCKET_SPAN, running_totals
+from docquarry.operators.numbering import ordered_totals, running_totals
 
 
 def prepare_pages(pages: DataFrame) -> DataFrame:
@@ -30,24 +30,40 @@ def chunk_pages(prepared: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     )
 
 
-def chunk_offsets(prepared: DataFrame, max_words: int = MAX_WORDS,
-                  span: int = BUCKET_SPAN) -> DataFrame:
-    """First chunk number of each page, from word counts alone: no text is read or moved."""
+def chunk_offsets(prepared: DataFrame, max_words: int = MAX_WORDS, span: int | None = None,
+                  keys: tuple[str, ...] = ()) -> DataFrame:
+    """``_start``, the first chunk number of each page, from word counts alone: no text is read or moved.
+
+    ``page_rank`` may be of any density, since pages are dealt by ranges of it; with ``span`` they are dealt by
+    that many consecutive ranks, which suits dense ranks.
+    """
     counts = prepared.select(
-        "project", "page_rank", chunk_count(F.col("n_words"), max_words).alias("_chunks")
+        "project", "page_rank", *keys, chunk_count(F.col("n_words"), max_words).alias("_chunks")
     ).where("_chunks > 0")
-    numbered = running_totals(
-        counts, ["project"], ["page_rank"], {"_start": F.col("_chunks")}, span
-    )
-    return numbered.select("project", "page_rank", "_start")
+    values = {"_start": F.col("_chunks")}
+    if span is None:
+        return ordered_totals(counts, ["project"], ["page_rank"], values).drop("_chunks")
+    return running_totals(counts, ["project"], ["page_rank"], values, span).drop("_chunks")
+
 
+def number_chunks(prepared: DataFrame, max_words: int = MAX_WORDS, span: int | None = None,
+                  keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Chunks with ``id``: a running number per project as a string, from "0", in page order.
 
-def number_chunks(prepared: DataFrame, max_words: int = MAX_WORDS,
-                  span: int = BUCKET_SPAN) -> DataFrame:
-    """Chunks with ``id``: a running number per project as a string, from "0", in page order."""
-    starts = chunk_offsets(prepared, max_words, span)
-    with_text = prepared.where("n_words > 0").join(starts, ["project", "page_rank"])
+    ``keys`` are the columns by which ``prepared`` lies hashed, if it is a ``KeyedTable``; its text then meets
+    the numbers where it lies. Otherwise Spark chooses how project and rank meet them.
+    """
     number = (F.col("_start") + F.col("chunk_pos")).cast("string")
+    if keys is None:
+        with_text = prepared.where("n_words > 0").join(
+            chunk_offsets(prepared, max_words, span), ["project", "page_rank"])
+        return chunk_pages(with_text, max_words).withColumn("id", number).drop("_start")
+    # One row of numbers per key, so that the key alone is joined; projects that share a page find their own in it.
+    starts = chunk_offsets(prepared, max_words, span, tuple(c for c in keys if c not in ("project", "page_rank"))).groupBy(*keys).agg(
+        F.collect_list(F.struct("project", "page_rank", "_start")).alias("_starts"))
+    own = F.filter("_starts", lambda s: (s["project"] == F.col("project")) & (s["page_rank"] == F.col("page_rank")))
+    with_text = prepared.where("n_words > 0").join(starts.hint("shuffle_hash"), list(keys)).withColumn(
+        "_start", F.get(own, F.lit(0))["_start"]).drop("_starts")
     return chunk_pages(with_text, max_words).withColumn("id", number).drop("_start")
 
 

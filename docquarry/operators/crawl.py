@@ -2,21 +2,21 @@
 
 The queue of a one-page-at-a-time crawler is rebuilt with set operations: a URL enters
 the queue at the place of its first discovery, ``(rank of the parent, position on the
-parent)``, so one level of the walk is one join, one aggregation and one numbering.
+parent)``, so one level of the walk is one join, one aggregation and one numbering. Pages
+with their links, and the queue, lie hashed in tables, so that a level shuffles only what it finds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import urls
 from docquarry.operators.numbering import BUCKET_SPAN, running_totals
-from docquarry.session import all_salts, salt_of, stage
+from docquarry.session import KeyedTable, all_salts, salt_of, stage
 
 PREVIEW_CHARS = 300
 
@@ -27,7 +27,7 @@ _POS_BITS = 28
 
 @dataclass
 class Crawl:
-    """``queue``: one row per queued URL ``(project, url, depth, queue_rank, page_rank, status)``.
+    """``queue``: one row per queued URL ``(project, url, depth, queue_rank, page_rank, page_key, status)``.
 
     ``status`` is ``stored``, ``failed`` (fetched in vain), ``irrelevant`` (visited, not
     fetched) or ``not_visited`` (past the page limit).
@@ -40,8 +40,12 @@ class Crawl:
 
     def pages(self) -> DataFrame:
         """Stored pages in crawl order."""
+        return self.chosen().drop("page_key")
+
+    def chosen(self) -> DataFrame:
+        """Stored pages with the ``page_key`` that their links had."""
         return self.queue.where(F.col("status") == "stored").select(
-            "project", "url", "depth", "page_rank"
+            "project", "url", "depth", "page_rank", "page_key"
         )
 
     def summary(self) -> DataFrame:
@@ -52,12 +56,28 @@ class Crawl:
 def prepare_links(links: DataFrame) -> DataFrame:
     """Put everything about a target that does not depend on the project next to the link."""
     return links.select(
-        "src_url", "pos", "dst_url",
+        *[c for c in links.columns if c != "dst_url"], "dst_url",
         urls.netloc(F.col("dst_url")).alias("dst_netloc"),
         urls.page_like(F.col("dst_url")).alias("page_like"),
     )
 
 
+def page_table(links: DataFrame) -> DataFrame:
+    """``(url, page_key, links)``: one row per page, in a table hashed by ``url``.
+
+    ``links(src_url, page_key, pos, dst_url)`` has a row with NULL ``pos`` for a page without links. Of several
+    versions of a URL, told apart by ``page_key``, the one with the least key is taken, links and all.
+    """
+    spark = links.sparkSession
+    table = KeyedTable(spark, "pages", "url")
+    dealt = table.place(prepare_links(links).withColumnRenamed("src_url", "url"))
+    versions = dealt.groupBy("url", "page_key").agg(
+        F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "dst_url", "dst_netloc", "page_like")))).alias("links"))
+    first = Window.partitionBy("url").orderBy("page_key")
+    chosen = versions.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return table.append(chosen, placed=True)
+
+
 def prepare_projects(projects: DataFrame) -> DataFrame:
     base = F.col("base_url")
     return projects.select(
@@ -82,27 +102,37 @@ def crawl(projects: DataFrame, links: DataFrame, fetched: DataFrame, max_pages:
     """Walk the links of every project at once, to the end unless a limit is given.
 
     ``projects(project, base_url)``; ``links(src_url, pos, dst_url)`` with normalised
-    targets; ``fetched(url)``: distinct URLs that could be fetched.
+    targets; ``fetched(url)``: URLs that could be fetched.
     """
+    bare = fetched.select(
+        F.col("url").alias("src_url"), F.lit(None).cast(links.schema["pos"].dataType).alias("pos"),
+        F.lit(None).cast("string").alias("dst_url"))
+    known = links.select("src_url", "pos", "dst_url").join(
+        fetched.select(F.col("url").alias("src_url")), "src_url", "left_semi").unionByName(bare)
+    return walk(projects, page_table(known.withColumn("page_key", F.lit(0).cast("bigint"))), max_pages, max_depth, span)
+
+
+def walk(projects: DataFrame, pages: DataFrame, max_pages: int | None = None, max_depth: int | None = None,
+         span: int = BUCKET_SPAN) -> Crawl:
+    """``crawl`` over a ``page_table``: a level shuffles what it finds, never the pages or what was queued before."""
+    spark = projects.sparkSession
     projects = stage(prepare_projects(projects), "projects")
-    links = stage(prepare_links(links), "links")
-    fetched = stage(fetched.select("url", F.lit(True).alias("fetched")), "fetched")
-
     start = projects.select(
         "project", "base_netloc", "allowed",
         F.col("base_url").alias("url"),
         F.lit(True).alias("wanted"),
         F.lit(0).alias("depth"),
         F.lit(0).cast("bigint").alias("queue_rank"),
-    ).join(fetched, "url", "left").withColumn("page_rank", F.lit(0).cast("bigint"))
+    ).join(pages.select("url", "page_key"), "url", "left").withColumn("page_rank", F.lit(0).cast("bigint"))
+    queue = KeyedTable(spark, "queue", "project", "url")
     level = _judge(start, max_pages)
-    levels: list[DataFrame] = []
     for depth in count():
-        levels.append(stage(level, f"level_{depth}"))
-        if depth == max_depth or levels[-1].where("status = 'stored'").isEmpty():
+        seen = Observation()
+        found = queue.append(level.observe(seen, F.count_if(F.col("status") == "stored").alias("stored")))
+        if depth == max_depth or not seen.get["stored"]:
             break
-        level = _judge(_next_level(levels, links, fetched, depth, span), max_pages)
-    return Crawl(projects, reduce(DataFrame.unionByName, levels), links, max_depth)
+        level = _judge(_next_level(found.where(F.col("depth") == depth), found, pages, depth, span), max_pages)
+    return Crawl(projects, found, pages, max_depth)
 
 
 def _judge(level: DataFrame, max_pages: int | None) -> DataFrame:
@@ -111,12 +141,13 @@ def _judge(level: DataFrame, max_pages: int | None) -> DataFrame:
     status = (
         F.when(beyond, "not_visited")
         .when(~F.col("wanted"), "irrelevant")
-        .when(F.col("fetched").isNull(), "failed")
+        .when(F.col("page_key").isNull(), "failed")
         .otherwise("stored")
     )
     return level.withColumn("status", status).select(
         "project", "base_netloc", "allowed", "url", "wanted", "depth", "queue_rank", "status",
         F.when(F.col("status") == "stored", F.col("page_rank")).alias("page_rank"),
+        F.when(F.col("status") == "stored", F.col("page_key")).alias("page_key"),
     )
 
 
@@ -133,13 +164,15 @@ def place_pos(column: str) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << _POS_BITS) - 1)).cast("int")
 
 
-def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+def _discovered(level: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
     """Targets on the stored pages of a level, each with the place of its first discovery."""
     taken = level.where(F.col("status") == "stored").select(
-        "project", "base_netloc", "allowed", "depth", F.col("url").alias("src_url"), "queue_rank"
+        "project", "base_netloc", "allowed", "depth", "url", "queue_rank"
     )
     targets = (
-        taken.join(links, "src_url")
+        taken.join(pages.select("url", "links"), "url")
+        .select("project", "base_netloc", "allowed", "depth", "queue_rank", F.explode("links").alias("link"))
+        .select("project", "base_netloc", "allowed", "depth", "queue_rank", "link.*")
         .where(_same_domain())
         .withColumn("wanted", _relevant())
     )
@@ -150,41 +183,36 @@ def _discovered(level: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     ).agg(F.min(place("queue_rank", "pos")).alias("_first"))
 
 
-def _next_level(levels: list[DataFrame], links: DataFrame, fetched: DataFrame, depth: int,
-                span: int) -> DataFrame:
+def _next_level(level: DataFrame, queued: DataFrame, pages: DataFrame, depth: int, span: int) -> DataFrame:
     """New URLs found on the stored pages of the last level, with their places in the queue."""
-    queued = reduce(DataFrame.unionByName, levels)
-    totals = queued.groupBy("project").agg(
-        F.count(F.lit(1)).alias("_queued"),
-        F.count_if(F.col("status") == "stored").alias("_stored"),
-    )
+    # Every project that goes on has rows in the last level, and its places run on from there.
+    totals = level.groupBy("project").agg(
+        (F.max("queue_rank") + 1).alias("_queued"), (F.max("page_rank") + 1).alias("_stored"))
     new = stage(
-        _discovered(levels[-1], links, depth)
+        _discovered(level, pages, depth)
         .join(queued.select("project", "url"), ["project", "url"], "left_anti")
+        .join(pages.select("url", "page_key"), "url", "left")
         .select(
-            "project", "base_netloc", "allowed", "url", "wanted",
+            "project", "base_netloc", "allowed", "url", "wanted", "page_key",
             (F.col("depth") + 1).alias("depth"),
             place_parent("_first").alias("_parent"), place_pos("_first").alias("_pos"),
         ),
         f"new_{depth + 1}",
     )
-    # The size of ``new`` is known by now: if small, it is sent to the page list, not shuffled with it.
-    hits = fetched.join(new.select("url"), "url", "left_semi")
-    checked = new.join(hits, "url", "left")
-    storable = F.col("wanted") & F.col("fetched").isNotNull()
+    storable = F.col("wanted") & F.col("page_key").isNotNull()
     numbered = running_totals(
-        checked, ["project"], ["_parent", "_pos"],
+        new, ["project"], ["_parent", "_pos"],
         {"_place": F.lit(1), "_pages": storable.cast("int")}, span,
     )
     return numbered.join(totals, "project").select(
-        "project", "base_netloc", "allowed", "url", "wanted", "depth", "fetched",
+        "project", "base_netloc", "allowed", "url", "wanted", "depth", "page_key",
         (F.col("_queued") + F.col("_place")).alias("queue_rank"),
         (F.col("_stored") + F.col("_pages")).alias("page_rank"),
     )
 
 
 def _summary(walk: Crawl) -> DataFrame:
-    queue, links = walk.queue, walk.links
+    queue, pages = walk.queue, walk.links
     visited = F.col("status") != "not_visited"
     per_queue = queue.groupBy("project").agg(
         F.count_if(F.col("status") == "stored").alias("pages_scraped"),
@@ -196,40 +224,46 @@ def _summary(walk: Crawl) -> DataFrame:
     deepest = -1 if walk.max_depth is None else walk.max_depth
     last = queue.where(F.col("depth") == deepest)
     beyond = (
-        _discovered(last, links, deepest)
+        _discovered(last, pages, deepest)
         .join(queue.select("project", "url"), ["project", "url"], "left_anti")
         .groupBy("project")
         .agg(F.count(F.lit(1)).alias("_beyond"))
     )
 
-    stored = queue.where(F.col("status") == "stored").select(
-        "project", "base_netloc", "allowed", "depth",
-        F.col("url").alias("src_url"), F.col("queue_rank").alias("src_rank"),
-    )
-    seen_links = stored.join(links, "src_url").withColumn(
-        "_refused", _same_domain() & ~_relevant() & (F.col("depth") > 0)
-    )
+    # Counted within the row of a page; only refused targets of the page's own domain become rows.
+    def own(link):
+        return (link["dst_netloc"] == "") | (link["dst_netloc"] == F.col("base_netloc"))
+
+    def relevant(link):
+        host = F.lower(link["dst_netloc"])
+        return link["page_like"] & ((host == F.col("allowed")) | (host == F.concat(F.lit("www."), F.col("allowed"))))
+
+    refused = F.when(F.col("depth") > 0, F.filter("links", lambda x: own(x) & ~relevant(x))["dst_url"]).otherwise(
+        F.array().cast("array<string>"))
+    seen = stage(
+        queue.where(F.col("status") == "stored").join(pages.select("url", "links"), "url").select(
+            "project", "url", F.col("queue_rank").alias("src_rank"), F.size("links").alias("_links"),
+            F.size(F.filter("links", lambda x: ~own(x))).alias("_foreign"), refused.alias("_refused")),
+        "seen")
     # Only base pages queue unwanted URLs, so this side holds one page of links per project. A link that
     # stands on every page of a site is one key; salting spreads it, the small side is repeated.
     unwanted = queue.where(
         visited & (~F.col("wanted") | (F.col("depth") == 0))
     ).select("project", F.col("url").alias("dst_url"), F.col("queue_rank").alias("dst_rank"), all_salts())
     already = (
-        seen_links.where("_refused").withColumn("_salt", salt_of("src_url"))
+        seen.select("project", "src_rank", salt_of("url").alias("_salt"), F.explode("_refused").alias("dst_url"))
         .join(unwanted, ["project", "dst_url", "_salt"])
         .where(F.col("dst_rank") <= F.col("src_rank"))
         .groupBy("project")
         .agg(F.count(F.lit(1)).alias("_already"))
     )
-    per_link = seen_links.groupBy("project").agg(
-        F.count(F.lit(1)).alias("_found"),
-        F.count_if(~_same_domain() | F.col("_refused")).alias("_refusable"),
-    )
+    per_page = seen.groupBy("project").agg(
+        F.sum("_links").alias("_found"), F.sum(F.col("_foreign") + F.size("_refused")).alias("_refusable"))
 
     joined = (
         walk.projects.select("project")
         .join(per_queue, "project", "left")
-        .join(per_link, "project", "left")
+        .join(per_page, "project", "left")
         .join(beyond, "project", "left")
         .join(already, "project", "left")
         .na.fill(0)

@@ -31,6 +31,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     return resolved.select("src_url", "pos", urls.normalize(F.col("link_url")).alias("dst_url"))
 
 
+def version_links(pages: DataFrame) -> DataFrame:
+    """``(src_url, page_key, pos, dst_url)`` of ``pages(url, html, page_key)``; a page has a row with NULL ``pos``, links or not."""
+    found = pages.select(
+        F.col("url").alias("src_url"), "page_key",
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), hrefs(F.col("html")))).alias("pos", "href"),
+    )
+    resolved = resolve_links(found).where(F.col("href").isNull() | ~urls.is_malformed(F.col("link_url")))
+    return resolved.select(
+        "src_url", "page_key", F.when(F.col("href").isNotNull(), F.col("pos") - 1).alias("pos"),
+        urls.normalize(F.col("link_url")).alias("dst_url"))
+
+
 def link_graph(projects: DataFrame, links: DataFrame) -> DataFrame:
     """Same-domain edges of every project: ``projects(project, base_url)`` and page links.
 

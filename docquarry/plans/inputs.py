@@ -9,7 +9,7 @@ from docquarry.functions import urls
 from docquarry.functions.html import visible_text
 from docquarry.operators.chunks import number_chunks, prepare_pages, to_records
 from docquarry.operators.embedding import Provider, embed
-from docquarry.session import scratch_path, spread, stage
+from docquarry.session import scratch_path, spread, stage, stage_keyed
 from docquarry.sources.pages import scan_pages
 from docquarry.sources.store import CollectionStore
 
@@ -106,7 +106,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat("html", F.lit("<nav>"), "links", foreign, F.lit("</nav>")),
         ).alias("html"),
     )
-    return stage(site, "site")
+    return spread(stage(site, "site"))
 
 
 def site_projects(site: DataFrame) -> DataFrame:
@@ -128,7 +128,8 @@ def document_pages(spark: SparkSession, sf_dir: str, by_source: bool = True) ->
 
 
 def numbered_documents(spark: SparkSession, sf_dir: str, by_source: bool = True) -> DataFrame:
-    return number_chunks(stage(document_pages(spark, sf_dir, by_source), "prepared"))
+    prepared = stage_keyed(document_pages(spark, sf_dir, by_source), "prepared", "project", "page_rank")
+    return number_chunks(prepared, keys=("project", "page_rank"))
 
 
 def document_store(spark: SparkSession, sf_dir: str) -> CollectionStore:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/docquarry/{uuid.uuid4().hex}/{name}"
 
 
-_scopes: list[list[str]] = []
+_scopes: list[list[Callable[[], object]]] = []
+
+
+def _at_end(undo: Callable[[], object], keep: bool) -> None:
+    owner = len(_scopes) - (2 if keep else 1)
+    if owner >= 0:
+        _scopes[owner].append(undo)
 
 
 @contextmanager
@@ -67,8 +74,8 @@ def scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            delete_path(spark, path)
+        for undo in _scopes.pop():
+            undo()
 
 
 def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -77,12 +84,68 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     Unlike a checkpointed RDD the result keeps column pruning, filter pushdown and a
     size estimate, and it survives the loss of any executor.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    owner = len(_scopes) - (2 if keep else 1)
-    if owner >= 0:
-        _scopes[owner].append(path.rsplit("/", 1)[0])
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _at_end(lambda: delete_path(spark, path.rsplit("/", 1)[0]), keep)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class KeyedTable:
+    """A table in the shared folder, hashed by ``keys`` into as many buckets as a shuffle has partitions.
+
+    A join or aggregation on ``keys`` shuffles the other side only, however often the table is used. It
+    may grow by appends; a scan shows what it held when the scan was made.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, *keys: str):
+        self.spark, self.keys = spark, keys
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"docquarry_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, name)
+        _at_end(self.drop, False)
+
+    def append(self, df: DataFrame, placed: bool = False) -> DataFrame:
+        """Add rows, and scan the whole table. ``placed`` rows lie where ``place`` puts them."""
+        (df if placed else self.place(df)).write.format("parquet").mode("append").option("path", self.path).bucketBy(
+            self.parts, *self.keys).saveAsTable(self.table)
+        return self.scan()
+
+    def place(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.parts, *self.keys)
+
+    def scan(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+        delete_path(self.spark, self.path.rsplit("/", 1)[0])
+
+
+def stage_keyed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``stage`` as a ``KeyedTable``."""
+    return KeyedTable(df.sparkSession, name, *keys).append(df)
+
+
+BITS_PER_KEY = 16
+MOST_WORDS = 1 << 20
+
+
+def maybe_in(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``columns`` may be those of a row of ``keys``; all that are, and few others.
+
+    Ahead of an exact join it keeps rows with large columns out of the shuffle. What is broadcast is a
+    table of ``MOST_WORDS`` words of 64 bits at most; with more keys than that has room for, more
+    rows pass. Rows with a null among ``columns`` are dropped.
+    """
+    place = F.xxhash64(*columns)
+    n = max(keys.count(), 1)
+    words = min(MOST_WORDS, 1 << max(0, math.ceil(math.log2(n * BITS_PER_KEY / 64))))
+    word, bit = F.pmod(place, F.lit(words)).cast("int"), F.shiftrightunsigned(place, 58).cast("int")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    found = df.where(" and ".join(f"`{c}` is not null" for c in columns)).withColumns({"_word": word, "_bit": bit}).join(
+        F.broadcast(bits), "_word")
+    return found.where(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1).select(df.columns)
 
 
 def spread(scan: DataFrame) -> DataFrame:
