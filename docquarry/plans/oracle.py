@@ -497,6 +497,7 @@ ORACLE = {
       SELECT id, {distance('embedding', 'list_resize(NULL::DOUBLE[], 64, 0.125)')} AS distance
       FROM records ORDER BY distance, id LIMIT 20""".replace(
         "list_resize(NULL::DOUBLE[], 64, 0.125)", "[0.125 FOR x IN range(64)]")),
+    "knn_cells": "SELECT count(*) AS queries, TRUE AS recall_reached FROM embeddings",
     "knn_batch": _with("ranked AS (SELECT q.vec_id AS query_id, c.vec_id::VARCHAR AS id, "
       f"{distance('c.embedding', 'q.embedding')} AS distance FROM embeddings q, embeddings c)",
       select="""SELECT query_id, rank, id, distance FROM (

@@ -9,7 +9,7 @@ from docquarry.functions import urls
 from docquarry.functions.html import visible_text
 from docquarry.functions.text import chunk_text, clean_text
 from docquarry.functions.vectors import HASH_DIMENSION
-from docquarry.operators import chunks, crawl, embedding, knn, links, registry
+from docquarry.operators import cells, chunks, crawl, embedding, knn, links, registry
 from docquarry.operators.embedding import Provider
 from docquarry.plans import inputs
 from docquarry.plans.jobs import index_and_search as run_index_and_search
@@ -450,6 +450,19 @@ def knn_batch(spark, sf_dir):
     return knn.knn_batch(queries, everything).select("query_id", "rank", "id", "distance")
 
 
+def knn_cells(spark, sf_dir):
+    """Recall of the approximate search, all vectors as queries, against the exact one."""
+    everything = inputs.vector_records(spark, sf_dir).withColumn("collection_name", F.lit("all"))
+    queries = everything.select(
+        F.col("id").cast("bigint").alias("query_id"), "collection_name",
+        F.col("embedding").alias("vector"), F.lit(5).alias("top_k"),
+    )
+    path = scratch_path(spark, "cells")
+    cells.write_cells(everything, path, cells=32)
+    found = cells.recall(cells.search_cells(queries, path, probes=24), knn.knn_batch(queries, everything))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def _answers(spark, sf_dir, top_k=5):
     queries = inputs.text_queries(spark, sf_dir, top_k)
     ready = knn.dispatch(queries, Provider(), HASH_DIMENSION)
@@ -605,6 +618,7 @@ QUERIES = {
     "collection_add": collection_add,
     "knn": knn_one,
     "knn_batch": knn_batch,
+    "knn_cells": knn_cells,
     "knn_projection": knn_projection,
     "collection_delete": collection_delete,
     "collection_clear": collection_clear,
