@@ -55,10 +55,20 @@ def hashed_vector(word_list: Column, dimension: int = HASH_DIMENSION) -> Column:
     """
 
     def counts(buckets):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dimension - 1)),
-            lambda b: F.size(buckets) - F.size(F.array_remove(buckets, b)),
-        )
+        """Sorted once; the length of each run of equal buckets is the count of its bucket."""
+        def by_bucket(run, ends):
+            lengths = F.transform(ends, lambda end, k: end - F.coalesce(F.get(ends, k - 1), F.lit(-1)))
+            return F.map_from_arrays(F.transform(ends, lambda end: F.get(run, end)), lengths)
+
+        def histogram(run):
+            places = F.sequence(F.lit(0), F.size(run) - 1)
+            ends = F.filter(places, lambda i: F.coalesce(F.get(run, i) != F.get(run, i + 1), F.lit(True)))
+            found = let(ends, lambda e: by_bucket(run, e))
+            return let(found, lambda n: F.transform(
+                F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.coalesce(F.try_element_at(n, b), F.lit(0))))
+
+        return F.when(F.size(buckets) > 0, let(F.sort_array(buckets), histogram)).when(
+            buckets.isNotNull(), F.array_repeat(F.lit(0), dimension))
 
     def scale(histogram):
         squares = F.transform(histogram, lambda n: n.cast("bigint") * n.cast("bigint"))

@@ -54,6 +54,17 @@ def provider_info(df: DataFrame, provider: Provider) -> DataFrame:
     )
 
 
+def described(choice: Column | None, providers: Provider | dict[str, Provider]) -> dict[str, Column]:
+    """``provider_name``, ``provider_model`` and ``provider_batch_size`` of the provider of a row: the only one, or that named by ``choice``."""
+    if isinstance(providers, Provider):
+        return {f"provider_{key}": F.lit(value) for key, value in providers.info().items()}
+    found = {}
+    for key in ("name", "model", "batch_size"):
+        pairs = [F.lit(part) for name, p in providers.items() for part in (name, p.info()[key])]
+        found[f"provider_{key}"] = F.try_element_at(F.create_map(*pairs), choice)
+    return found
+
+
 def require_text_column(df: DataFrame, column: str) -> None:
     found = df.schema[column].dataType
     if not isinstance(found, T.StringType):
@@ -77,10 +88,9 @@ def embed(df: DataFrame, provider: Provider, column: str = "document",
     return given.mapInArrow(_batched(provider, column, out), schema)
 
 
-def _batched(provider: Provider, column: str, out: str):
-    """Task-side loop: calls of exactly ``batch_size`` texts, the last of a task smaller."""
-    function, size = provider.function, provider.batch_size
-    retries, backoff, sleep = provider.max_retries, provider.backoff_seconds, provider.sleep
+def _caller(provider: Provider):
+    """Task-side call of a provider's function, tried again after growing delays; its answer is checked."""
+    function, retries, backoff, sleep = provider.function, provider.max_retries, provider.backoff_seconds, provider.sleep
 
     def call(texts):
         for attempt in range(retries + 1):
@@ -97,40 +107,129 @@ def _batched(provider: Provider, column: str, out: str):
             raise RuntimeError("vectors of different lengths")
         return [list(v) for v in vectors]
 
+    return call
+
+
+def _batched(provider: Provider, column: str, out: str):
+    """Task-side loop: calls of exactly ``batch_size`` texts, the last of a task smaller."""
+    return _batched_by({None: provider}, None, column, out)
+
+
+def _batched_by(providers: dict, choice: str | None, column: str, out: str):
+    """``_batched`` for several providers: each gets full calls of the rows that name it in ``choice``."""
+    calls = {name: _caller(p) for name, p in providers.items()}
+    sizes = {name: p.batch_size for name, p in providers.items()}
+
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def finish(table):
-            vectors = pa.array(call(table.column(column).to_pylist()), pa.list_(pa.float32()))
+        def finish(name, table):
+            vectors = pa.array(calls[name](table.column(column).to_pylist()), pa.list_(pa.float32()))
             return table.append_column(out, vectors).combine_chunks().to_batches()
 
-        waiting = None
+        waiting: dict = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            while waiting.num_rows >= size:
-                yield from finish(waiting.slice(0, size))
-                waiting = waiting.slice(size)
-        if waiting is not None and waiting.num_rows:
-            yield from finish(waiting)
+            for name in calls:
+                own = table if choice is None else table.filter(pc.equal(table.column(choice), name))
+                if not own.num_rows:
+                    continue
+                held = pa.concat_tables([waiting[name], own]) if name in waiting else own
+                while held.num_rows >= sizes[name]:
+                    yield from finish(name, held.slice(0, sizes[name]))
+                    held = held.slice(sizes[name])
+                waiting[name] = held
+        for name, held in waiting.items():
+            if held.num_rows:
+                yield from finish(name, held)
 
     return run
 
 
 def embed_by_provider(df: DataFrame, providers: dict[str, Provider], choice: str,
                       column: str = "document", out: str = "embedding") -> DataFrame:
-    """Embed each row with the provider named in its ``choice`` column.
+    """Embed each row with the provider named in its ``choice`` column; rows without text are left out.
 
-    A row whose provider is not given fails the job rather than vanish.
+    All functions are called in one pass of the rows, so that what comes before is computed once for them; providers
+    without a function share another, in which no Python runs. A row whose provider is not given fails the job rather
+    than vanish.
     """
+    require_text_column(df, column)
     known = F.col(choice).isin(list(providers))
     unknown = F.raise_error(F.concat(F.lit("no such provider: "), F.coalesce(choice, F.lit("NULL"))))
-    checked = df.withColumn(choice, F.when(known, F.col(choice)).otherwise(unknown.cast("string")))
-    branches = [
-        embed(checked.where(F.col(choice) == name), provider, column, out)
-        for name, provider in providers.items()
-    ]
-    return reduce(DataFrame.unionByName, branches)
+    checked = df.withColumn(choice, F.when(known, F.col(choice)).otherwise(unknown.cast("string"))).where(
+        input_error(F.col(column)).isNull())
+    called = {name: p for name, p in providers.items() if p.function is not None}
+    plain = {name: p for name, p in providers.items() if p.function is None}
+    parts = []
+    if plain:
+        vector = F.lit(None).cast("array<float>")
+        for name, provider in plain.items():
+            vector = F.when(F.col(choice) == name, hashed_vector(raw_words(F.col(column)), provider.dimension)).otherwise(vector)
+        own = checked.where(F.col(choice).isin(list(plain))) if called else checked
+        parts.append(own.withColumn(out, vector))
+    if called:
+        own = checked.where(F.col(choice).isin(list(called))) if plain else checked
+        schema = T.StructType([*own.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+        parts.append(own.mapInArrow(_batched_by(called, choice, column, out), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def embed_in_order(numbered: DataFrame, group: list[str], number: Column, provider: Provider,
+                   column: str = "document", out: str = "embedding") -> DataFrame:
+    """``embed`` whose calls are the same however tasks fall: ``batch_size`` consecutive texts of a group, by ``number``.
+
+    ``number`` counts the rows of a group from 0 without gaps; rows without text are refused, since they would leave
+    some. Adds ``batch_no`` and, as really sent, ``batch_pos`` and ``batch_texts``: the place of a text in its call and how many
+    texts that had. The texts of a call travel to one task; without need for the same calls, ``embed`` moves none.
+    """
+    require_text_column(numbered, column)
+    if provider.function is None:
+        raise ValueError("a provider without a function makes no calls")
+    filled = F.coalesce(F.col(column), F.raise_error(F.lit("a text is NULL")).cast("string"))
+    keyed = numbered.withColumns({column: filled, "_number": number}).withColumn(
+        "batch_no", F.floor(F.col("_number") / provider.batch_size))
+    keys = [*group, "batch_no"]
+    dealt = keyed.repartition(*keys).sortWithinPartitions(*keys, "_number")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("batch_pos", T.IntegerType()),
+                           T.StructField("batch_texts", T.IntegerType()),
+                           T.StructField(out, T.ArrayType(T.FloatType()))])
+    return dealt.mapInArrow(_in_order(provider, keys, column, out), schema).drop("_number")
+
+
+def _in_order(provider: Provider, keys: list[str], column: str, out: str):
+    """Task-side loop over rows sorted by call: one call as soon as the next one begins."""
+    call = _caller(provider)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def finish(tables):
+            table = pa.concat_tables(tables).combine_chunks()
+            count = table.num_rows
+            vectors = call(table.column(column).to_pylist())
+            table = table.append_column("batch_pos", pa.array(range(count), pa.int32()))
+            table = table.append_column("batch_texts", pa.array([count] * count, pa.int32()))
+            return table.append_column(out, pa.array(vectors, pa.list_(pa.float32()))).combine_chunks().to_batches()
+
+        waiting, open_key = [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = list(zip(*(table.column(k).to_pylist() for k in keys)))
+            start = 0
+            for end in range(1, len(names) + 1):
+                if end < len(names) and names[end] == names[start]:
+                    continue
+                if waiting and names[start] != open_key:
+                    yield from finish(waiting)
+                    waiting = []
+                waiting.append(table.slice(start, end - start))
+                open_key, start = names[start], end
+        if waiting:
+            yield from finish(waiting)
+
+    return run
 
 
 def batch_plan(numbered: DataFrame, group: list[str], number: Column,

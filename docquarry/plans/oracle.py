@@ -468,6 +468,10 @@ ORACLE = {
       "split AS (SELECT k // 1000000 AS doc_id, (k % 1000000)::INTEGER AS chunk_pos, embedding"
       " FROM vectors)", select=numbers("split", "doc_id, chunk_pos")),
     "embed_batches": _batches(128),
+    "embed_batch_calls": _with(*DOCUMENT_CHUNKS, select="""
+      SELECT project, n AS number, n // 32 AS batch_no, (n % 32)::INTEGER AS batch_pos,
+             least(32, count(*) OVER (PARTITION BY project) - n // 32 * 32)::INTEGER AS batch_texts
+      FROM numbered"""),
     "embed_batch_size": SIZES,
     "embed_retry": SIZES,
     "embed_validate": """
@@ -482,6 +486,13 @@ ORACLE = {
       SELECT collection_name, count(*) AS record_count, 'hashed' AS provider_name,
              'hashed-words' AS provider_model, 128 AS provider_batch_size
       FROM records GROUP BY collection_name"""),
+    "provider_mismatch": """
+      WITH asked AS (
+        SELECT item_id, item_id % 10 AS label, (SELECT count(*) FROM embeddings e WHERE e.label = item_id % 10) AS n FROM benchmark
+      ), judged AS (
+        SELECT *, CASE WHEN n = 0 THEN 'unknown_collection' WHEN label % 2 = 1 THEN 'provider_mismatch' END AS error FROM asked
+      )
+      SELECT item_id AS query_id, error, CASE WHEN error IS NULL THEN least(n, 2) ELSE 0 END AS results FROM judged""",
     "embed_queries": _with(TEXTS, *vector_ctes("texts", "query_id", "text", "vectors"),
       select=numbers("vectors", "query_id")),
     "embed_input_check": """SELECT doc_id,

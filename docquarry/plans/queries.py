@@ -16,7 +16,6 @@ from docquarry.plans.jobs import index_and_search as run_index_and_search
 from docquarry.plans.jobs import index_documentation as run_index
 from docquarry.plans.jobs import search_docs as run_search
 from docquarry.session import scratch_path
-from docquarry.sources import store as stores
 from docquarry.sources.projects import find_projects, read_projects
 from docquarry.sources.projects import write_projects as save_projects
 from docquarry.sources.store import CollectionStore
@@ -286,13 +285,29 @@ def embed_texts(spark, sf_dir):
     return _numbers(vectors, "doc_id", "chunk_pos")
 
 
-def _batches(spark, sf_dir, size):
+def _calls(spark, sf_dir, size):
+    """Chunks of all documents with the vector of a function that tells the place of a text in its call, and the call's size."""
+    def places(texts):
+        return [[float(place), float(len(texts))] for place in range(len(texts))]
+
+    provider = Provider("places", "position-size", 2, batch_size=size, function=places)
     numbered = inputs.numbered_documents(spark, sf_dir)
-    return embedding.batch_plan(numbered, ["project"], F.col("id").cast("bigint"), size)
+    return embedding.embed_in_order(numbered, ["project"], F.col("id").cast("bigint"), provider)
 
 
 def embed_batches(spark, sf_dir):
-    return _batches(spark, sf_dir, embedding.BATCH_SIZE)
+    """The calls as sent; a text that was sent in another call than its number says would change them."""
+    number = F.col("id").cast("bigint")
+    return _calls(spark, sf_dir, embedding.BATCH_SIZE).groupBy("project", "batch_no").agg(
+        F.max(F.col("embedding")[1]).cast("bigint").alias("texts"),
+        F.min(number).alias("first_text"), F.max(number).alias("last_text"))
+
+
+def embed_batch_calls(spark, sf_dir):
+    """Place and size of the call of every text, with calls of 32."""
+    return _calls(spark, sf_dir, 32).select(
+        "project", F.col("id").cast("bigint").alias("number"), "batch_no",
+        F.col("embedding")[0].cast("int").alias("batch_pos"), F.col("embedding")[1].cast("int").alias("batch_texts"))
 
 
 def _sizes_provider(**options) -> Provider:
@@ -344,7 +359,26 @@ def embed_validate(spark, sf_dir):
 
 
 def provider_info(spark, sf_dir):
-    return embedding.provider_info(_vector_store(spark, sf_dir).counts(), Provider())
+    store = _new_store(spark)
+    records = inputs.vector_records(spark, sf_dir)
+    names = records.select("collection_name").distinct()
+    store.write(records, embedding.provider_info(names, Provider()))
+    return store.contracts().drop("shortest", "longest")
+
+
+def provider_mismatch(spark, sf_dir):
+    """Texts asked of collections of two providers with the built-in one; those of the other refuse them."""
+    store = _new_store(spark)
+    records = inputs.vector_records(spark, sf_dir).withColumn("label", F.regexp_extract("page_url", r"label(\d+)", 1).cast("int"))
+    chosen = records.select("collection_name", F.when(F.col("label") % 2 == 0, "hashed").otherwise("own").alias("choice")).distinct()
+    providers = {"hashed": Provider(), "own": _sizes_provider()}
+    made_with = [c.alias(name) for name, c in embedding.described(F.col("choice"), providers).items()]
+    store.write(records, chosen.select("collection_name", *made_with))
+    label = (F.col("query_id") % 10).cast("string")
+    queries = inputs.text_queries(spark, sf_dir, 2).withColumn(
+        "collection_name", urls.collection_name(F.concat(F.lit("https://label"), label, F.lit(".example.com"))))
+    found = run_search(queries, store.scan_for(queries), contracts=store.contracts())
+    return found.groupBy("query_id", "error").agg(F.count("id").alias("results"))
 
 
 def embed_queries(spark, sf_dir):
@@ -433,7 +467,7 @@ def collection_info(spark, sf_dir):
     projects = labels.unionByName(sources).distinct().select(
         "name", url.alias("url"), urls.collection_name(url).alias("collection_name")
     )
-    return stores.info(projects, _vector_store(spark, sf_dir).scan())
+    return _vector_store(spark, sf_dir).info(projects)
 
 
 def knn_one(spark, sf_dir):
@@ -551,7 +585,8 @@ def search_docs(spark, sf_dir):
         "query_id", inputs.corpus_name().alias("collection_name"),
         "query_text", "query_embedding", F.lit(5).alias("top_k"),
     )
-    found = run_search(queries, inputs.document_store(spark, sf_dir).scan())
+    store = inputs.document_store(spark, sf_dir)
+    found = run_search(queries, store.scan(), contracts=store.contracts())
     return found.select("query_id", "rank", "id", "score", "document", "error")
 
 
@@ -608,10 +643,12 @@ QUERIES = {
     "corpus_stats": corpus_stats,
     "embed_texts": embed_texts,
     "embed_batches": embed_batches,
+    "embed_batch_calls": embed_batch_calls,
     "embed_retry": embed_retry,
     "embed_validate": embed_validate,
     "embed_batch_size": embed_batch_size,
     "provider_info": provider_info,
+    "provider_mismatch": provider_mismatch,
     "embed_queries": embed_queries,
     "embed_input_check": embed_input_check,
     "attach_embeddings": attach_embeddings,

@@ -41,3 +41,15 @@ NEIGHBOURS = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("distance", T.DoubleType()),
 ])
+
+MANIFEST = T.StructType([
+    T.StructField("collection_name", T.StringType()),
+    T.StructField("write", T.StringType()),
+    T.StructField("of", T.LongType()),
+    T.StructField("records", T.LongType()),
+    T.StructField("shortest", T.IntegerType()),
+    T.StructField("longest", T.IntegerType()),
+    T.StructField("provider_name", T.StringType()),
+    T.StructField("provider_model", T.StringType()),
+    T.StructField("provider_batch_size", T.IntegerType()),
+])

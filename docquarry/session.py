@@ -188,3 +188,18 @@ def make_dir(spark: SparkSession, path: str) -> None:
 def _filesystem(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, hadoop_path = _filesystem(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; fails if there is something at ``target`` already."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    none[0] = hadoop.Options.Rename.NONE
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    hadoop.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration()).rename(old, new, none)
