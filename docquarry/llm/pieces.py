@@ -21,17 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import batch_of, rows_in
+from docquarry.llm.common import batch_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_UNIT = 48
-BLOCK_CHARS = 24_000_000
-MOST_BLOCKS = 4_096
+BLOCK_CHARS = 9_000_000
+HELD_UNITS = 300_000
+KNOWN_WORDS = 400_000
 _LETTER = r"A-Za-z\u00c0-\u1fff\u2070-\u2580\u2582-\U0010ffff"
 #: From fine to coarse; the first that no piece crosses is used.
 CUTS = (rf"{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}]+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"(?s).+")
@@ -73,6 +75,7 @@ def read_model(path: str = MODEL) -> Model:
                  m.trainer_spec.model_type == UNIGRAM, m.normalizer_spec.add_dummy_prefix)
 
 
+PACKED = "block bigint, units binary"
 _VITERBI = """
 aggregate(sequence(1, n), array(struct(0.0D as score, array(0) as cuts)), (done, j) ->
   concat(done, array(element_at(transform(array(array_max(transform(
@@ -89,7 +92,7 @@ transform(sequence(1, size(cuts) - 1), k -> coalesce(
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """``unit, blocks, ids`` for ``units(unit, blocks)``; a negative id ``-c - 1`` is a character without a piece.
+    """``block, units``: tables of ``unit, ids`` for ``units(unit, blocks)``; a negative id ``-c - 1`` is a character without a piece.
 
     Exploding keeps a unit's rows together and in order, and the join sends the piece table, which is as
     large as the model, so nothing is shuffled. ``blocks`` rides on a unit's first row.
@@ -106,28 +109,86 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     ).join(F.broadcast(table), "piece", "left").where("id is not null or (i = 1 and j = 1)").select(
         "unit", "blocks", "i", "j", F.coalesce("id", F.lit(-1)).alias("id"), "score")
     if not model.unigram:
-        return edges.mapInArrow(_merge_fold, "unit string, blocks array<bigint>, ids array<int>")
+        edges = edges.withColumn("unit", F.expr("if(i = 1 and j = 1, unit, null)"))
+        return edges.mapInArrow(lambda batches: _packed(_merge_fold(batches)), PACKED)
     grouped = edges.groupBy("unit").agg(F.flatten(F.collect_list("blocks")).alias("blocks"), F.collect_set(
         F.when(F.col("id") >= 0, F.struct((F.col("i") - 1).alias("a"), F.col("j").alias("b"), "score", "id"))).alias("edges"))
     unknown = min(model.scores, default=0.0) - 10.0
     fold = _VITERBI.replace("unknown", f"cast({unknown!r} as double)")
     return grouped.withColumn("n", F.char_length("unit")).withColumn("cuts", F.expr(fold)).select(
-        "unit", "blocks", F.expr(_IDS).alias("ids"))
+        "unit", "blocks", F.expr(_IDS).alias("ids")).mapInArrow(_packed, PACKED)
 
 
-def merged(unit: str, edges: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
-    """Path of a unit through its edges ``(start, end) -> (-score, id)``: the best edge over two neighbours, again and again."""
-    cuts = list(range(len(unit) + 1))
-    while len(cuts) > 2:
-        best, at = None, 0
-        for k in range(len(cuts) - 2):
-            edge = edges.get((cuts[k], cuts[k + 2]))
-            if edge is not None and (best is None or edge[0] < best):
-                best, at = edge[0], k + 1
-        if best is None:
-            break
-        del cuts[at]
-    return [edges[c][1] if c in edges else -ord(unit[c[0]]) - 1 for c in zip(cuts, cuts[1:])]
+class _Edges:
+    """Edges of many units by their places: units stand one after the other, each with a place more than it has characters."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, score: np.ndarray, ids: np.ndarray):
+        key = start * 64 + (end - start)
+        order = np.argsort(key)
+        self.key, self.cost, self.ids = key[order], -score[order], ids[order]
+
+    def find(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the edges are, and which there are."""
+        key = start * 64 + (end - start)
+        if not len(self.key):
+            return np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+    def costs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        at, there = self.find(start, end)
+        return np.where(there, self.cost[at], np.inf) if len(self.cost) else np.full(len(at), np.inf)
+
+
+def merged(units: list[str], edges: _Edges) -> tuple[np.ndarray, np.ndarray]:
+    """Paths of many units through their edges, as ids and the ends of the units' shares of them.
+
+    In every round each unit takes the best edge over two neighbours, the first of equal ones; a unit without any is done.
+    """
+    sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    ends = np.cumsum(sizes + 1) - 1
+    first = ends - sizes
+    places = int(ends[-1]) + 1
+    left, right = np.arange(places) - 1, np.arange(places) + 1
+    inner = np.ones(places, dtype=bool)
+    inner[first] = inner[ends] = False
+    kept = np.ones(places, dtype=bool)
+    cost = np.full(places, np.inf)
+    middle = np.flatnonzero(inner)
+    cost[middle] = edges.costs(left[middle], right[middle])
+    active = np.flatnonzero(sizes > 1)
+    while len(active):
+        # Places of the units that go on, each unit a run.
+        lengths = sizes[active] + 1
+        runs = np.cumsum(lengths) - lengths
+        own = np.repeat(first[active] - runs, lengths) + np.arange(int(lengths.sum()))
+        while True:
+            now = cost[own]
+            best = np.minimum.reduceat(now, runs)
+            go = np.isfinite(best)
+            if not go.any():
+                active = active[:0]
+                break
+            hits = np.flatnonzero(now == np.repeat(np.where(go, best, np.nan), lengths))
+            run = np.searchsorted(runs, hits, "right") - 1
+            at = own[hits[np.flatnonzero(np.diff(run, prepend=-1))]]
+            a, c = left[at], right[at]
+            kept[at], cost[at] = False, np.inf
+            right[a], left[c] = c, a
+            for near in (a[inner[a]], c[inner[c]]):
+                cost[near] = edges.costs(left[near], right[near])
+            if 2 * int(go.sum()) < len(active):
+                active = active[go]
+                break
+    kept[ends] = False
+    begins = np.flatnonzero(kept)
+    at, there = edges.find(begins, right[begins])
+    unit = np.searchsorted(ends, begins)
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    out = -codes[begins - unit] - 1 if len(codes) else np.zeros(0, dtype=np.int64)
+    if len(edges.ids):
+        out = np.where(there, edges.ids[at], out)
+    return out.astype(np.int32), np.cumsum(np.bincount(unit, minlength=len(units)))
 
 
 def _merge_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +198,14 @@ def _merge_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def folded(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         first = table.select(["unit", "blocks"]).take(pa.array(starts)).combine_chunks()
         units = first.column("unit").to_pylist()
-        rows = list(zip(zip((table.column("i").to_numpy() - 1).tolist(), table.column("j").to_pylist()),
-                        zip((-table.column("score").to_numpy()).tolist(), table.column("id").to_pylist())))
-        ids = []
-        for unit, start, end in zip(units, starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-            own = rows[start:end]
-            ids.append(merged(unit, dict(own if own[0][1][1] >= 0 else own[1:])))
-        return batch_of(schema, first.column("unit").chunk(0), first.column("blocks").chunk(0), ids)
+        i, j, ids = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "id"))
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        base = np.repeat(np.cumsum(sizes + 1) - sizes - 1, np.diff(np.append(starts, len(i))))
+        real = ids >= 0
+        edges = _Edges((base + i - 1)[real], (base + j)[real], table.column("score").to_numpy()[real], ids[real])
+        values, ends = merged(units, edges)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+        return batch_of(schema, first.column("unit").chunk(0), first.column("blocks").chunk(0), lists)
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -226,6 +288,12 @@ class Cutter:
             return [self.prefix + text.replace(" ", SPACE)]
         return [SPACE + w for w in text.split(" ")]
 
+    def units(self, words: set[str]) -> set[str]:
+        """Distinct units of the words; those that begin with a space and end without one are cut in one go."""
+        plain = [w for w in words if w[0] == SPACE and w[-1] != SPACE] if self.by_word else []
+        others = words.difference(plain)
+        return {u for w in ["".join(plain), *others] for u in self.find(w)}
+
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Runs of whole rows of about ``BLOCK_CHARS``, each with a name made from its texts."""
@@ -260,7 +328,7 @@ def _block_units(shared):
             for chunk in table.column("text").chunks:
                 for text in chunk.to_pylist():
                     words.update(cutter.words(text or ""))
-            units = sorted({u for w in words for u in cutter.find(w) if len(u) <= LONGEST_UNIT})
+            units = sorted(u for u in cutter.units(words) if len(u) <= LONGEST_UNIT)
             for start in range(0, len(units), 50_000):
                 some = units[start:start + 50_000]
                 yield batch_of(schema, np.full(len(some), block), some)
@@ -271,19 +339,14 @@ def _block_units(shared):
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``unit, blocks`` from sorted ``unit, block`` rows; a unit of very many blocks comes in several rows."""
     schema = pa.schema([("unit", pa.string()), ("blocks", pa.list_(pa.int64()))])
-    units, blocks, held = [], [], 0
-    for unit, block in rows_in(batches, "unit", "block"):
-        if units and units[-1] == unit and len(blocks[-1]) < MOST_BLOCKS:
-            blocks[-1].append(block)
-        else:
-            if held >= 50_000:
-                yield batch_of(schema, units, blocks)
-                units, blocks, held = [], [], 0
-            units.append(unit)
-            blocks.append([block])
-        held += 1
-    if units:
-        yield batch_of(schema, units, blocks)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit, block = batch.column("unit"), batch.column("block")
+        other = pc.not_equal(unit.slice(1), unit.slice(0, len(unit) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+        ends = np.append(starts, len(unit)).astype(np.int32)
+        yield batch_of(schema, unit.take(pa.array(starts)), pa.ListArray.from_arrays(pa.array(ends), block))
 
 
 def _compressed(table: pa.Table) -> bytes:
@@ -297,25 +360,28 @@ def _compressed(table: pa.Table) -> bytes:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Encoded units as compressed tables, one for each block and some hundred thousand occurrences."""
     schema = pa.schema([("block", pa.int64()), ("units", pa.binary())])
-    by_block: dict[int, tuple[list, list]] = {}
-    held = 0
+    waiting, held = [], 0
 
     def packed() -> pa.RecordBatch:
-        blobs = [_compressed(pa.table({"unit": pa.array(u, pa.string()), "ids": pa.array(i, pa.list_(pa.int32()))}))
-                 for u, i in by_block.values()]
-        return batch_of(schema, list(by_block), blobs)
-
-    for unit, blocks, ids in rows_in(batches, "unit", "blocks", "ids"):
-        for block in blocks:
-            units, all_ids = by_block.setdefault(block, ([], []))
-            units.append(unit)
-            all_ids.append(ids)
-        held += len(blocks)
-        if held >= 400_000:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        blocks = table.column("blocks").chunk(0)
+        row = np.repeat(np.arange(table.num_rows), pc.list_value_length(blocks).to_numpy(zero_copy_only=False))
+        block = blocks.flatten().to_numpy()
+        order = np.argsort(block, kind="stable")
+        names, starts = np.unique(block[order], return_index=True)
+        parts = np.split(row[order], starts[1:])
+        units = table.select(["unit", "ids"])
+        return batch_of(schema, names, [_compressed(units.take(pa.array(part))) for part in parts])
+
+    for batch in batches:
+        waiting.append(batch)
+        held += len(batch.column("blocks").flatten())
+        if held >= HELD_UNITS:
             yield packed()
-            by_block, held = {}, 0
-    if by_block:
+            waiting, held = [], 0
+    if held:
         yield packed()
+    pa.default_memory_pool().release_unused()
 
 
 def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +390,13 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, [block], [_compressed(table)])
 
 
+def _slices(blob: pa.Scalar) -> Iterator[pa.Table]:
+    """A compressed table, some rows at a time."""
+    table = pa.ipc.open_stream(blob.as_buffer()).read_all()
+    for start in range(0, table.num_rows, 256):
+        yield table.slice(start, 256)
+
+
 class _Encoder(dict):
     """Ids of words as bytes of 32-bit numbers, put together from the encoded units of a block."""
 
@@ -331,73 +404,102 @@ class _Encoder(dict):
         super().__init__()
         ids = units.combine_chunks().column("ids").chunk(0)
         self.model, self.cutter = model, cutter
-        values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-        self.data, self.offsets = values.tobytes(), (4 * offsets.astype(np.int64)).tolist()
-        self.odd = set((np.searchsorted(offsets, np.flatnonzero(values < 0), "right") - 1).tolist())
-        self.place = dict(zip(units.column("unit").to_pylist(), range(units.num_rows)))
+        values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
+        data, cuts = values.tobytes(), (4 * offsets).tolist()
+        names = units.column("unit").to_pylist()
+        self.units = dict(zip(names, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for at in np.unique(np.searchsorted(offsets, np.flatnonzero(values < 0), "right") - 1).tolist():
+            own = values[offsets[at]:offsets[at + 1]].tolist()
+            self.units[names[at]] = np.array(
+                [x for i in own for x in (model.fallback(chr(-i - 1)) if i < 0 else [i])], dtype=np.int32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        value = b"".join(map(self.unit, self.cutter.find(word)))
+        known = self.units
+        value = b"".join([known[u] if u in known else self.unit(u) for u in self.cutter.find(word)])
         if len(word) <= LONGEST_UNIT:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
             self[word] = value
         return value
 
     def unit(self, unit: str) -> bytes:
-        at = self.place.get(unit)
-        if at is None:
-            if len(unit) <= LONGEST_UNIT:
-                raise ValueError("a block changed between two scans of the documents")
-            long = viterbi_long if self.model.unigram else merge_long
-            return np.array(long(unit, self.model), dtype=np.int32).tobytes()
-        own = self.data[self.offsets[at]:self.offsets[at + 1]]
-        if at in self.odd:
-            ids = np.frombuffer(own, dtype=np.int32).tolist()
-            own = np.array([x for i in ids for x in (self.model.fallback(chr(-i - 1)) if i < 0 else [i])],
-                           dtype=np.int32).tobytes()
-        return own
-
-
-def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All rows and columns of ``docs(text, ...)`` with ``n_tokens`` and ``token_ids``.
+        if len(unit) <= LONGEST_UNIT:
+            raise ValueError("a block changed between two scans of the documents")
+        long = viterbi_long if self.model.unigram else merge_long
+        return np.array(long(unit, self.model), dtype=np.int32).tobytes()
+
+
+class _Decoder:
+    """Texts that lists of ids stand for, by the bytes of their pieces."""
+
+    def __init__(self, model: Model):
+        back = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                if k == NORMAL else b"" for p, k in zip(model.pieces, model.kinds)]
+        self.prefix = model.prefix
+        self.data = np.frombuffer(b"".join(back), dtype=np.uint8)
+        self.sizes = np.fromiter(map(len, back), dtype=np.int64, count=len(back))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def texts(self, lists: pa.ListArray) -> list[str | None]:
+        ids = lists.flatten().to_numpy()
+        own = self.sizes[ids]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.data[np.repeat(self.begins[ids] - ends + own, own) + np.arange(total)].tobytes()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        out = []
+        for known, a, b in zip(lists.is_valid().to_pylist(), cuts, cuts[1:]):
+            # A space mark may also have been put together from bytes.
+            text = data[a:b].decode("utf-8", "replace").replace(SPACE, " ") if known else None
+            out.append(text[1:] if text and self.prefix and text[0] == " " else text)
+        return out
+
+
+def encode(docs: DataFrame, model: Model | None = None, decoded: bool = False) -> DataFrame:
+    """All rows and columns of ``docs(text, ...)`` with ``n_tokens`` and ``token_ids``, and as told ``decoded``.
 
     The ids are those of the model's own encoder, a space put ahead of the text if the model says so.
     Null and empty texts have no tokens; a character without a piece becomes its bytes, or the
     unknown piece where the model has none for bytes. Repeated rows are all kept; columns named like the new
     ones are replaced; an empty table gives no rows. Units longer than ``LONGEST_UNIT`` characters are folded by the same rule
-    outside the lattice, since a fold over arrays costs the square of a unit's length.
+    outside the lattice, since a fold over arrays costs the square of a unit's length. ``decoded`` is what ``decode`` makes of
+    the ids, without another pass of the rows.
 
     ``docs`` is scanned twice, so its rows must come in the same order each time, as from a scan of files; a change
     ends the job with an error.
     """
     model = model or read_model()
-    own = docs.drop("n_tokens", "token_ids")
+    own = docs.drop("n_tokens", "token_ids", *["decoded"] * decoded)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = own.select("text").mapInArrow(_block_units(shared), "block bigint, unit string")
     sorted_units = held.repartition("unit").sortWithinPartitions("unit")
     holders = sorted_units.mapInArrow(_holders, "unit string, blocks array<bigint>")
-    units = encode_units(holders, model).mapInArrow(_packed, "block bigint, units binary")
+    units = encode_units(holders, model)
     texts = own.mapInArrow(_block_texts, "block bigint, rows binary")
     schema = own.withColumns({"n_tokens": F.lit(0).cast("bigint"),
-                              "token_ids": F.expr("cast(array() as array<int>)")}).schema
+                              "token_ids": F.expr("cast(array() as array<int>)"),
+                              **({"decoded": F.lit("").cast("string")} if decoded else {})}).schema
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         cutter = Cutter(shared.value)
         known = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in right.column("units")]
         empty = pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
         encoder = _Encoder(shared.value, cutter, pa.concat_tables([empty, *known]))
+        back = _Decoder(shared.value) if decoded else None
         tables = []
-        for blob in left.column("rows"):
-            table = pa.ipc.open_stream(blob.as_buffer()).read_all()
+        for table in (part for blob in left.column("rows") for part in _slices(blob)):
             ids, ends = [], [0]
             for text in table.column("text").to_pylist():
                 ids.append(b"".join(map(encoder.__getitem__, cutter.words(text or ""))))
                 ends.append(ends[-1] + len(ids[-1]) // 4)
             flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-            table = table.append_column("n_tokens", pa.array(np.diff(ends).astype(np.int64)))
-            tables.append(table.append_column("token_ids", pa.ListArray.from_arrays(
-                pa.array(np.array(ends, dtype=np.int32)), pa.array(flat, pa.int32()))))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(flat, pa.int32()))
+            table = table.append_column("n_tokens", pa.array(np.diff(ends).astype(np.int64))).append_column("token_ids", lists)
+            tables.append(table.append_column("decoded", pa.array(back.texts(lists), pa.string())) if back else table)
         if not tables:
             raise ValueError("a block changed between two scans of the documents")
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(tables)
 
     return texts.groupBy("block").cogroup(units.groupBy("block")).applyInArrow(task, schema)
@@ -414,22 +516,11 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
     own = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        back = np.array([
-            bytes([int(p[1:-1], 16)]) if k == BYTE else p.encode("utf-8", "surrogatepass") if k == NORMAL else b""
-            for p, k in zip(m.pieces, m.kinds)], dtype=object)
+        back = _Decoder(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = []
-                for ids in part.column("token_ids"):
-                    if not ids.is_valid:
-                        texts.append(None)
-                        continue
-                    data = b"".join(back[ids.values.to_numpy()].tolist())
-                    text = data.decode("utf-8", "replace").replace(SPACE, " ")
-                    texts.append(text[1:] if m.prefix and text[:1] == " " else text)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back.texts(part.column("token_ids")), pa.string())],
                                                  names=[*part.schema.names, "decoded"])
 
     return own.mapInArrow(run, own.withColumn("decoded", F.lit("").cast("string")).schema)

@@ -37,7 +37,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents, and whether they decode to the text again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs)).select(
+    return pieces.encode(docs, decoded=True).select(
         "doc_id", "n_tokens", "token_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 

@@ -324,6 +324,9 @@ def test_pieces_equal_the_library(docs):
         assert r.n_tokens == len(r.token_ids)
         assert r.decoded == (r.text or "").replace("▁", " ")
     assert pieces.encode(docs([])).count() == 0
+    at_once = pieces.encode(docs(TEXTS), decoded=True)
+    assert at_once.columns == pieces.decode(encoded).columns
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, got))
 
 
 def test_pieces_by_viterbi(docs):
