@@ -47,7 +47,7 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text read back from them."""
-    return pieces.decode(pieces.encode(docs.select(COLUMNS)))
+    return pieces.encode(docs.select(COLUMNS), decoded=True)
 
 
 STAGES = [
