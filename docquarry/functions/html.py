@@ -23,23 +23,44 @@ ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
 ]
 
-# Comments and elements without visible text; one cut off by the end of the page runs to the end.
-_UNSEEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<noscript\b.*?(?:</noscript\s*>|\z)"
-    r"|<template\b.*?(?:</template\s*>|\z)"
-)
-_HEAD = r"(?is)<head\b.*?</head\s*>"
-_BLOCKS = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
-_TAGS = r"<[^>]*>"
-
-# An ``a`` tag up to its href: earlier attributes may hold quoted ``>``.
-_HREF = (
-    r"(?i)<a(?:\s+[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*?"
-    r"\s+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+# Elements whose content is no markup or is not displayed.
+UNSEEN_TAGS = ["script", "style", "noscript", "template", "title", "textarea", "iframe"]
+
+# Markup is read from left to right, one token at a time, as a browser's tokeniser does: what looks like a tag inside a
+# comment, a script or a quoted attribute belongs to that token. Every repetition is possessive, so that a page of
+# any length needs neither backtracking nor a deep stack. The parts below begin behind the "<" that they share.
+_END_OF_NAME = r"(?=[\s/>])"
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)"
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
+_ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
+
+# A comment or an element without visible text; one cut off by the end of the page runs to the end.
+_SKIPPED = "|".join(
+    [r"!--(?:-?>|.*?(?:--!?>|\z))"]
+    + [rf"{tag}{_END_OF_NAME}{_ATTRIBUTES}>.*?(?:</{tag}{_END_OF_NAME}[^>]*+>|\z)" for tag in UNSEEN_TAGS]
 )
+_HEAD = rf"head{_END_OF_NAME}{_ATTRIBUTES}>(?:[^<]++|<(?:{_SKIPPED})|(?!</head{_END_OF_NAME})<)*+</head\s*+>"
+_DECLARATION = r"[!?][^>]*+>|/(?![a-z])[^>]*+>"
+_TAG = rf"/?[a-z][^\s/>]*+{_ATTRIBUTES}>"
+
+# Tokens of a page: what is not displayed, tags, and the text between them.
+_TOKEN = rf"(?is)[^<]++|<(?:{_SKIPPED}|{_HEAD}|{_DECLARATION}|{_TAG})|<"
+_NO_TEXT = r"(?is)^<(?:!--|(?:" + "|".join(["head", *UNSEEN_TAGS]) + rf"){_END_OF_NAME})"
+_BLOCK = r"(?i)^</?(?:" + "|".join(BLOCK_TAGS) + rf"){_END_OF_NAME}"
+_MARKUP = r"(?is)^(?:</?[a-z].*|<[!?].*|</.*)>\z"
+
+# The same walk for the first ``href`` of every element of one kind, quotes included: a group holds it, and is empty for all
+# else. Tags without attributes have nothing to skip.
+_HREF_NAME = r"href(?=[\s=/>])"
+
+
+def _href_of(tag: str) -> str:
+    before = rf"(?:[\s/]++|(?!{_HREF_NAME}){_ATTRIBUTE})*+"
+    own = rf"{tag}(?=[\s/]){before}href\s*+=\s*+({_VALUE}){_ATTRIBUTES}>"
+    return rf"(?is)<(?:{own}|{_SKIPPED}|[a-z][^\s/>]*+[\s/]{_ATTRIBUTES}>)"
+
+
+_ANCHOR, _BASE = _href_of("a"), _href_of("base")
 
 
 # All named characters of HTML 4, with those above as they are.
@@ -76,21 +97,36 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
+def _addresses(html: Column, pattern: str) -> Column:
+    """Non-empty ``href`` values that ``pattern`` finds, decoded; of an element's repeated attributes the first counts."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda raw: raw != "")
+    values = F.transform(found, lambda raw: decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", "")))
+    return F.filter(values, lambda value: F.trim(value) != "")
+
+
 def hrefs(html: Column) -> Column:
     """Non-empty ``href`` values of all ``a`` elements, in document order."""
-    found = F.regexp_extract_all(F.regexp_replace(html, _UNSEEN, " "), F.lit(_HREF), F.lit(1))
-    values = F.transform(
-        found, lambda raw: decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
-    )
-    return F.filter(values, lambda value: F.trim(value) != "")
+    return _addresses(html, _ANCHOR)
+
+
+def base_href(html: Column) -> Column:
+    """``href`` of the first ``base`` element that has one, NULL if none has; few pages are scanned for it."""
+    return F.when(html.rlike(r"(?i)<base[\s/]"), F.get(_addresses(html, _BASE), F.lit(0)))
 
 
 def visible_text(html: Column) -> Column:
     """Text of the page body with runs of whitespace reduced to one space.
 
-    Rendering is approximated: block elements separate words, other tags vanish, styles
-    are not evaluated.
+    Rendering is approximated: block elements, comments and elements without text separate words, other tags vanish, styles
+    are not evaluated. A tag that the end of the page cuts off is text.
     """
-    seen = F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), _HEAD, " ")
-    flat = F.regexp_replace(F.regexp_replace(seen, _BLOCKS, " "), _TAGS, "")
-    return clean_text(decode_entities(flat))
+    def seen(token):
+        return (
+            F.when(~token.startswith("<"), decode_entities(token))
+            .when(token.rlike(_NO_TEXT) | token.rlike(_BLOCK), F.lit(" "))
+            .when(token.rlike(_MARKUP), F.lit(""))
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    return clean_text(F.array_join(F.transform(tokens, seen), ""))

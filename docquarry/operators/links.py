@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import let, urls
-from docquarry.functions.html import hrefs
+from docquarry.functions.html import base_href, hrefs
 from docquarry.session import all_salts, salt_of
 
 AUDIT_LINKS = 50
 AUDIT_EXAMPLES = 10
 
 
+def base_of(page: Column, html: Column) -> Column:
+    """The address that links of a page are relative to: that of its ``base`` element, if any, else its own."""
+    return let(base_href(html), lambda base: F.when(base.isNull(), page).otherwise(urls.resolve(base, page)))
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """``pages(url, html)`` to ``(src_url, pos, href)``, in document order."""
+    """``pages(url, html)`` to ``(src_url, base_url, pos, href)``, in document order; links are relative to ``base_url``."""
     return pages.select(
-        F.col("url").alias("src_url"), F.posexplode(hrefs(F.col("html"))).alias("pos", "href")
-    )
+        F.col("url").alias("src_url"), base_of(F.col("url"), F.col("html")).alias("base_url"),
+        F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
-    """Add ``link_url``, the absolute form of each href."""
-    return links.withColumn("link_url", urls.resolve(F.col("href"), F.col("src_url")))
+    """Replace ``base_url`` by ``link_url``, the absolute form of each href."""
+    return links.withColumn("link_url", urls.resolve(F.col("href"), F.col("base_url"))).drop("base_url")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def version_links(pages: DataFrame) -> DataFrame:
     """``(src_url, page_key, pos, dst_url)`` of ``pages(url, html, page_key)``; a page has a row with NULL ``pos``, links or not."""
     found = pages.select(
-        F.col("url").alias("src_url"), "page_key",
+        F.col("url").alias("src_url"), "page_key", base_of(F.col("url"), F.col("html")).alias("base_url"),
         F.posexplode(F.concat(F.array(F.lit(None).cast("string")), hrefs(F.col("html")))).alias("pos", "href"),
     )
     resolved = resolve_links(found).where(F.col("href").isNull() | ~urls.is_malformed(F.col("link_url")))
@@ -67,10 +72,8 @@ def link_audit(pages: DataFrame) -> DataFrame:
     found = pages.select(
         "url",
         let(
-            F.col("url"),
-            lambda page: F.transform(
-                hrefs(F.col("html")), lambda href: urls.resolve(href, page)
-            ),
+            base_of(F.col("url"), F.col("html")),
+            lambda base: F.transform(hrefs(F.col("html")), lambda href: urls.resolve(href, base)),
         ).alias("links"),
     ).withColumn("host", urls.netloc(F.col("url")))
     split = found.select(

@@ -6,9 +6,15 @@ and joins over whole tables and share nothing with the Spark code but the fixed
 
 from __future__ import annotations
 
-from docquarry.functions.html import BLOCK_TAGS, ENTITIES
 from docquarry.functions.urls import ASSET_EXTENSIONS, BLOCKED_KEYWORDS
 
+# Tags that separate words, and named characters of the given pages (the ampersand comes last).
+BLOCKS = (
+    "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|"
+    "ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+)
+NAMED = [("middot", "·"), ("copy", "©"), ("quot", '"'), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("amp", "&")]
+
 DIMENSION = 64
 CHUNK = 500
 NO_LIMIT = 1 << 40
@@ -92,8 +98,8 @@ def lint(u):
 
 
 def entities(x):
-    for name, character in ENTITIES:
-        x = f"replace({x}, {_quote(name)}, {_quote(character)})"
+    for name, character in NAMED:
+        x = f"replace({x}, '&{name};', {_quote(character)})"
     return x
 
 
@@ -134,7 +140,7 @@ def visible(html):
     )
     x = f"regexp_replace({html}, '(?is){unseen}', ' ', 'g')"
     x = rf"regexp_replace({x}, '(?is)<head\b.*?</head\s*>', ' ', 'g')"
-    x = rf"regexp_replace({x}, '(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?(?:{BLOCKS})\b[^>]*>', ' ', 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     return clean(entities(x))
 

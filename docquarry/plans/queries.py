@@ -142,7 +142,7 @@ def collection_name(spark, sf_dir):
 
 
 def extract_links(spark, sf_dir):
-    return links.extract_links(inputs.pages(spark, sf_dir))
+    return links.extract_links(inputs.pages(spark, sf_dir)).drop("base_url")
 
 
 def resolve_links(spark, sf_dir):
