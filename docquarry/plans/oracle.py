@@ -478,6 +478,11 @@ ORACLE = {
       SELECT project, n AS number, n // 32 AS batch_no, (n % 32)::INTEGER AS batch_pos,
              least(32, count(*) OVER (PARTITION BY project) - n // 32 * 32)::INTEGER AS batch_texts
       FROM numbered"""),
+    "embed_cached": _with(*DOCUMENT_CHUNKS, select="""
+      SELECT page_rank AS doc_id, chunk_pos::INTEGER AS chunk_pos, length(document)::INTEGER AS characters,
+             CASE WHEN max(CASE WHEN page_rank IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) OVER (PARTITION BY document) = 1
+                  THEN 1 ELSE 2 END AS made_in
+      FROM chunks"""),
     "embed_batch_size": SIZES,
     "embed_retry": SIZES,
     "embed_validate": """

@@ -15,10 +15,11 @@ from docquarry.plans import inputs
 from docquarry.plans.jobs import index_and_search as run_index_and_search
 from docquarry.plans.jobs import index_documentation as run_index
 from docquarry.plans.jobs import search_docs as run_search
-from docquarry.session import scratch_path
+from docquarry.session import scratch_path, stage
 from docquarry.sources.projects import find_projects, read_projects
 from docquarry.sources.projects import write_projects as save_projects
 from docquarry.sources.store import CollectionStore
+from docquarry.sources.vectors import VectorCache
 
 
 def _numbers(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
@@ -325,6 +326,19 @@ def embed_batch_size(spark, sf_dir):
     return _numbers(vectors, "doc_id", "chunk_pos")
 
 
+def embed_cached(spark, sf_dir):
+    """Chunks of labelled documents are embedded first, those of all documents in a second run: which run made the vector a chunk gets."""
+    def run(number):
+        return Provider("runs", "run-characters", 2, function=lambda texts: [[float(number), float(len(t))] for t in texts])
+
+    every = stage(_document_chunks(spark, sf_dir), "chunks")
+    labelled = inputs.table(spark, sf_dir, "labels").select("doc_id")
+    cache = VectorCache(spark, scratch_path(spark, "vectors"))
+    cache.embed(every.join(labelled, "doc_id", "left_semi"), run(1))
+    return cache.embed(every, run(2)).select(
+        "doc_id", "chunk_pos", F.col("embedding")[0].cast("int").alias("made_in"), F.col("embedding")[1].cast("int").alias("characters"))
+
+
 def embed_retry(spark, sf_dir):
     steady = _sizes_provider().function
 
@@ -644,6 +658,7 @@ QUERIES = {
     "embed_texts": embed_texts,
     "embed_batches": embed_batches,
     "embed_batch_calls": embed_batch_calls,
+    "embed_cached": embed_cached,
     "embed_retry": embed_retry,
     "embed_validate": embed_validate,
     "embed_batch_size": embed_batch_size,

@@ -42,6 +42,11 @@ NEIGHBOURS = T.StructType([
     T.StructField("distance", T.DoubleType()),
 ])
 
+VECTORS = T.StructType([
+    T.StructField("content_key", T.BinaryType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])
+
 MANIFEST = T.StructType([
     T.StructField("collection_name", T.StringType()),
     T.StructField("write", T.StringType()),
