@@ -15,7 +15,7 @@ from docquarry.plans import inputs
 from docquarry.plans.jobs import index_and_search as run_index_and_search
 from docquarry.plans.jobs import index_documentation as run_index
 from docquarry.plans.jobs import search_docs as run_search
-from docquarry.session import scratch_path, stage
+from docquarry.session import maybe_in, scratch_path, stage
 from docquarry.sources.projects import find_projects, read_projects
 from docquarry.sources.projects import write_projects as save_projects
 from docquarry.sources.store import CollectionStore
@@ -334,7 +334,7 @@ def embed_cached(spark, sf_dir):
     every = stage(_document_chunks(spark, sf_dir), "chunks")
     labelled = inputs.table(spark, sf_dir, "labels").select("doc_id")
     cache = VectorCache(spark, scratch_path(spark, "vectors"))
-    cache.embed(every.join(labelled, "doc_id", "left_semi"), run(1))
+    cache.embed(maybe_in(every, ["doc_id"], labelled).join(labelled, "doc_id", "left_semi"), run(1))
     return cache.embed(every, run(2)).select(
         "doc_id", "chunk_pos", F.col("embedding")[0].cast("int").alias("made_in"), F.col("embedding")[1].cast("int").alias("characters"))
 

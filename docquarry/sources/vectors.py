@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.embedding import Provider, embed, embed_by_provider, input_error, require_text_column
 from docquarry.schemas import VECTORS
-from docquarry.session import list_names, maybe_in, rename_new, stage
+from docquarry.session import list_names, maybe_in, rename_new, stage, stage_keyed
 
 KEY = "content_key"
 # A key with more than one row in so many is joined by broadcast: fewer keys than this can be that frequent.
@@ -76,31 +76,32 @@ class VectorCache:
 
     def _looked_up(self, df: DataFrame, provider: Provider | dict[str, Provider], choice: str | None,
                    column: str, out: str) -> DataFrame:
-        """Rows with the vectors of their keys. Text moves only for keys that are new, and once for the rows' own join."""
+        """Rows with the vectors of their keys. A text moves once, to a table hashed by key; that of a frequent key not at all."""
         require_text_column(df, column)
         if KEY in df.columns:
             raise ValueError(f"the column name {KEY} is taken")
         given = df.drop(out).where(input_error(F.col(column)).isNull())
         keyed = given.withColumn(KEY, content_key(F.col(column), provider, choice))
         counts = stage(keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows")), "contents")
+        total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+        frequent = counts.where(F.col("_rows") * FREQUENT > total).select(KEY)
+        hot = keyed.join(F.broadcast(frequent), KEY, "left_semi")
+        rest = stage_keyed(keyed.join(F.broadcast(frequent), KEY, "left_anti"), "texts", KEY)
         version = self._version()
         missing = stage(counts.select(KEY).join(self._upto(version).select(KEY), KEY, "left_anti"), "missing")
         if not missing.isEmpty():
-            self._add(keyed, missing, provider, choice, column, version)
+            # Copies of a frequent text are reduced before they move.
+            few = F.broadcast(frequent.join(missing, KEY, "left_semi"))
+            wanted = [KEY, column] + ([choice] if choice else [])
+            once = rest.select(*wanted).join(missing, KEY, "left_semi").dropDuplicates([KEY]).unionByName(
+                hot.select(*wanted).join(few, KEY, "left_semi").dropDuplicates([KEY]))
+            self._add(once, provider, choice, column, version)
         vectors = maybe_in(self.scan(), [KEY], counts).withColumnRenamed("embedding", out)
-        total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-        frequent = counts.where(F.col("_rows") * FREQUENT > total).select(KEY)
-        few = vectors.join(F.broadcast(frequent), KEY, "left_semi")
-        found = keyed.join(F.broadcast(few), KEY)
-        others = keyed.join(F.broadcast(frequent), KEY, "left_anti").join(vectors, KEY, "left")
-        return found.unionByName(others).select(*[c for c in df.columns if c != out], out)
+        found = hot.join(F.broadcast(vectors.join(F.broadcast(frequent), KEY, "left_semi")), KEY, "left")
+        return found.unionByName(rest.join(vectors, KEY, "left")).select(*[c for c in df.columns if c != out], out)
 
-    def _add(self, keyed: DataFrame, missing: DataFrame, provider: Provider | dict[str, Provider], choice: str | None,
-             column: str, version: int) -> None:
+    def _add(self, once: DataFrame, provider: Provider | dict[str, Provider], choice: str | None, column: str, version: int) -> None:
         """Embed one text of every missing key and commit the vectors."""
-        wanted = [KEY, column] + ([choice] if choice else [])
-        # Copies are reduced before they move; what the filter lets through without need goes after that.
-        once = maybe_in(keyed, [KEY], missing).select(*wanted).dropDuplicates([KEY]).join(missing, KEY, "left_semi")
         made = (embed(once, provider, column, "embedding") if isinstance(provider, Provider)
                 else embed_by_provider(once, provider, choice, column, "embedding"))
         made = made.select(VECTORS.names)
