@@ -12,7 +12,6 @@ from docquarry.session import list_names, rename_new
 from docquarry.sources import vectors
 from docquarry.sources.store import CollectionStore
 from docquarry.sources.vectors import VectorCache
-from tests.plans import no_broadcast, shuffled_columns
 
 
 def recorder(folder, name="own", model="m", factor=1.0):
@@ -147,13 +146,3 @@ def test_second_index_run_embeds_changed_chunks_only(spark, tmp_path, log):
         assert calls(log) == sent
         assert {r.document: r.embedding for r in store.scan().collect()} == {
             t: [float(len(t)), 1.0] for t in ("start x", text)}
-
-
-def test_a_text_moves_once(spark, tmp_path, log, monkeypatch):
-    """The look-up joins rows that lie hashed by key: no exchange below the join holds a text."""
-    monkeypatch.setattr(vectors, "FREQUENT", 4)
-    with no_broadcast(spark):
-        found = VectorCache(spark, str(tmp_path / "c")).embed(frame(spark, ["hot"] * 60 + [f"t{n}" for n in range(40)]), recorder(log))
-        moved = [columns for columns in shuffled_columns(found) if "content_key" in columns]
-        assert moved and not any("document" in columns for columns in moved)
-        assert found.count() == 100
