@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,35 @@ def test_odd_indexes(spark, tmp_path):
         cells.write_cells(some.union(spark.createDataFrame([("a", "9", "d", [1.0], {})], RECORD)), path)
     with pytest.raises(ValueError, match="metrics"):
         cells.write_cells(some, path, metric="ip")
+
+
+def test_work_of_a_task_is_bounded(spark, monkeypatch):
+    """Few bytes but much work are cut into tasks too, with a partition for each."""
+    rng = random.Random(7)
+    records, queries = stored(spark, rng, hot=600), asked(spark, rng, hot=200)
+    whole = answers(knn.knn_batch(queries, records))
+    monkeypatch.setattr(knn, "CELL_WORK", 200 * 600 * 8 // 40)
+    found = knn.knn_batch(queries, records, block_bytes=1 << 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = {int(n) for n in re.findall(r"hashpartitioning\(collection_name#\d+, length#\d+, block#\d+L?, part#\d+L?, (\d+)\)", plan)}
+    assert len(dealt) == 1 and dealt.pop() >= 40
+    assert answers(found) == whole
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+@pytest.mark.parametrize("block_bytes", [knn.QUERY_BLOCK_BYTES, 1_000])
+def test_copies_sizes_and_close_calls(spark, metric, block_bytes):
+    """Many copies of one vector, numbers beyond single precision, and distances that single precision cannot tell apart."""
+    rng = random.Random(8)
+    base = [rng.gauss(0, 1) for _ in range(8)]
+    rows = [("a", f"c{i:04}", base) for i in range(3000)] + [("a", f"n{i:04}", [x + i * 1e-7 for x in base]) for i in range(60)]
+    rows += [("b", f"b{i:03}", [rng.gauss(0, 1) * 1e20 for _ in range(8)]) for i in range(90)]
+    rows += [("c", f"s{i:03}", [rng.gauss(0, 1) * 1e-22 for _ in range(8)]) for i in range(90)]
+    records = spark.createDataFrame(rows, "collection_name string, id string, embedding array<double>").repartition(3)
+    wanted = [(n, name, next(v for c, _, v in rows[::-1] if c == name), 7) for n, name in enumerate("abc")]
+    wanted += [(9, "a", base, 4), (10, "b", [0.0] * 8, 5)]
+    queries = spark.createDataFrame(wanted, QUERY.replace("float", "double"))
+    found = answers(knn.knn_batch(queries, records, metric, block_bytes if block_bytes > 1_000 else 200))
+    for query, name, vector, k in wanted:
+        one = [(r.id, r.distance) for r in knn.knn(records.where(F.col("collection_name") == name), vector, k, metric).collect()]
+        assert [(i, d) for q, _, _, i, d in found if q == query] == one
