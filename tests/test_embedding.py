@@ -7,7 +7,7 @@ from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import functions as F
 
 from docquarry.operators.embedding import (
-    Provider, _batched, embed, embed_by_provider, require_valid, validate_embeddings,
+    Provider, _batched, embed, embed_by_provider, hashed_words, require_valid, validate_embeddings,
 )
 
 
@@ -28,6 +28,20 @@ def test_hashed_vectors(spark):
             i: model(t, dimension) for i, t in enumerate(texts)}
 
 
+def test_hashed_words_equal_the_columns(spark):
+    """Found per distinct word in Arrow batches, vectors are those of the column functions for any text."""
+    from docquarry.functions.text import raw_words
+    from docquarry.functions.vectors import hashed_vector
+
+    odd = ["", None, " \t", "a\u2003b\x1cc\u200bd", "x\x85y\u3000z", "ü 😀 ü", "w " * 900, "a\x00b \x00"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").union(spark.sql("select cast(x'61FF6220E282' as string)"))
+    both = df.select(hashed_words("t", 9).alias("a"), hashed_vector(raw_words(F.col("t")), 9).alias("b"))
+    rows = both.collect()
+    assert len(rows) == 9 and all(r.a == r.b for r in rows)
+    plan = embed(df, Provider(), "t")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
+
+
 def batches_of(sizes):
     import pyarrow as pa
 
