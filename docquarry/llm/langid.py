@@ -30,6 +30,8 @@ PART_BITS = 8
 MODEL_ENTRIES = 6_000_000
 MOST_LANGUAGES = 64
 FLUSH_WORDS = 300_000
+COUNTED_WORDS = 50_000
+COUNTED_RUNS = 500_000
 SURE_CHARS = 200
 REJECT_SPREADS = 8.0
 LEAST_SPREAD = 0.1
@@ -63,25 +65,39 @@ def _runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of all words by language; words are held up to ``COUNTED_WORDS``, runs to about ``COUNTED_RUNS``, of all languages together."""
     schema = pa.schema([("lang", pa.string()), ("run", pa.int64()), ("n", pa.int64())])
     held: dict[str, Counter] = {}
-
-    def flush(lang: str, words: Counter) -> pa.RecordBatch:
-        runs, owner = _runs(list(words))
-        number = np.fromiter(words.values(), dtype=np.int64, count=len(words))[owner]
-        run, at = np.unique(runs, return_inverse=True)
-        total = np.bincount(at, weights=number, minlength=len(run)).astype(np.int64)
-        return batch_of(schema, [lang] * len(run), run.view(np.int64), total)
-
-    for lang, text in rows_in(batches, "lang", "text"):
-        words = held.setdefault(lang, Counter())
-        words.update(pieces_of(text))
-        if len(words) >= FLUSH_WORDS:
-            yield flush(lang, words)
-            words.clear()
-    for lang, words in held.items():
-        if words:
-            yield flush(lang, words)
+    counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def count() -> None:
+        for lang, words in held.items():
+            runs, owner = _runs(list(words))
+            number = np.fromiter(words.values(), dtype=np.int64, count=len(words))[owner]
+            if lang in counted:
+                runs, number = np.concatenate([counted[lang][0], runs]), np.concatenate([counted[lang][1], number])
+            order = np.argsort(runs)
+            runs = runs[order]
+            starts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+            counted[lang] = runs[starts], np.add.reduceat(number[order], starts)
+        held.clear()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, (run, total) in counted.items():
+            yield batch_of(schema, [lang] * len(run), run.view(np.int64), total)
+        counted.clear()
+
+    for rows in by_size(rows_in(batches, "lang", "text"), lambda r: len(r[1]), 50_000):
+        for lang, text in rows:
+            words = pieces_of(text)
+            if words:
+                held.setdefault(lang, Counter()).update(words)
+        if sum(map(len, held.values())) >= COUNTED_WORDS:
+            count()
+            if sum(len(run) for run, _ in counted.values()) >= COUNTED_RUNS:
+                yield from flush()
+    count()
+    yield from flush()
 
 
 def train(labelled: DataFrame) -> DataFrame:

@@ -358,3 +358,29 @@ def test_rows_by_id(docs, spark):
     groups = spark.createDataFrame([(1, 5, 1), (2, 5, 2), (2, 5, 2), (3, 5, 1), (None, 5, 1)],
                                    "doc_id bigint, n_shingles bigint, component_id bigint")
     assert sorted(map(str, (r.doc_id for r in rows.one_per_group(table, groups).collect()))) == ["1", "2", "None"]
+
+
+def test_runs_are_counted_in_bounded_memory(monkeypatch):
+    """Words and runs that are held are bounded for all languages together, and every count is there in the end."""
+    import pyarrow as pa
+
+    from docquarry.llm import langid
+
+    texts = [(f"l{i % 7}", " ".join(f"{chr(97 + i % 7)}{i}x{j}" for j in range(300))) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in texts], "text": [text for _, text in texts]})
+
+    def totals():
+        found = {}
+        for out in langid._count(iter([batch])):
+            for lang, run, n in zip(*(out.column(c).to_pylist() for c in range(3))):
+                found[lang, run] = found.get((lang, run), 0) + n
+        return found
+
+    sizes, runs = [], langid._runs
+    monkeypatch.setattr(langid, "_runs", lambda words: sizes.append(len(words)) or runs(words))
+    whole = totals()
+    assert sum(sizes) == 60 * 300
+    monkeypatch.setattr(langid, "COUNTED_WORDS", 1_000)
+    monkeypatch.setattr(langid, "COUNTED_RUNS", 500)
+    sizes.clear()
+    assert totals() == whole and max(sizes) < 20_000 and len(sizes) > 7
