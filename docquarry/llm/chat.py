@@ -2,9 +2,9 @@
 
 An example is the formatted text of all turns up to and including one assistant turn, and
 only that reply is trainable. Examples of one conversation are prefixes of one another, so
-an example is stored as the part it adds: its full text is the parts of the conversation up
-to its own, put together. That keeps the output linear in the input, also for conversations
-of any number of turns; ``render`` writes the full texts.
+an example can be kept as the part it adds, which is linear in the input also for conversations
+of any number of turns. ``full_examples`` makes every example with all that precedes its reply;
+``render`` does so from parts in any order.
 
 Template: ``[INST] text [/INST]`` for a user, ``text </s>`` for an assistant,
 ``[ROLE] name [TEXT] text [/TEXT]`` for any other role, each followed by a line feed. Inside
@@ -36,6 +36,11 @@ _EXAMPLES = pa.schema([
     ("part", pa.string()), ("prefix_chars", pa.int64()), ("loss_start", pa.int64()),
     ("loss_end", pa.int64()),
 ])
+_FULL = pa.schema([
+    ("conv_id", pa.int64()), ("example", pa.int64()), ("target_turn", pa.int64()),
+    ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()),
+])
+FULL_EXAMPLES = "conv_id bigint, example bigint, target_turn bigint, text string, loss_start bigint, loss_end bigint"
 EXAMPLES = ("conv_id bigint, example bigint, target_turn bigint, part string, "
             "prefix_chars bigint, loss_start bigint, loss_end bigint")
 
@@ -139,6 +144,29 @@ def render(examples: DataFrame) -> DataFrame:
     ).select("conv_id", "example", "target_turn", "text", "loss_start", "loss_end")
 
 
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, out_chars, text = [], 0, ""
+    for conv, example, target, part, start, end in rows_in(
+            batches, "conv_id", "example", "target_turn", "part", "loss_start", "loss_end"):
+        text = part if example == 0 else text + part
+        out.append((conv, example, target, text, start, end))
+        out_chars += len(text)
+        if out_chars > 4_000_000 or len(out) >= 5_000:
+            yield batch_of(_FULL, *zip(*out))
+            out, out_chars = [], 0
+    if out:
+        yield batch_of(_FULL, *zip(*out))
+
+
+def full_examples(examples: DataFrame) -> DataFrame:
+    """Every example of ``prefix_examples`` with its whole text: ``(conv_id, example, target_turn, text, loss_start, loss_end)``.
+
+    Also the one without a target. Reads the rows in the order in which ``prefix_examples`` makes them, and holds one text at a
+    time; the rows of a conversation take the square of its turns.
+    """
+    return examples.mapInArrow(_full, FULL_EXAMPLES)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import sha256
 
@@ -147,41 +175,42 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
         ("n_examples", pa.int64()),
     ])
-    none = object()
-    current, out, state = none, [], None
-    for conv, example, part, prefix, start, end in rows_in(
-            batches, "conv_id", "example", "part", "prefix_chars", "loss_start", "loss_end"):
+    out, current, last, state = [], None, "", None
+
+    def close() -> None:
+        turns, n_turns = sha256(), 0
+        for role, text in parse_turns(last):
+            n_turns += 1
+            turns.update(f"{role}\n{text}\n".encode())
+        out.append((current, n_turns, turns.hexdigest(), state[0], state[1].hexdigest(), len(last), state[2]))
+
+    for conv, example, text, start, end in rows_in(batches, "conv_id", "example", "text", "loss_start", "loss_end"):
         if state is None or example == 0:
             if state is not None:
-                out.append(_closed(current, state))
-            current, state = conv, [0, sha256(), 0, sha256(), 0, 0]
-        for role, text in parse_turns(part):
-            state[0] += 1
-            state[1].update(f"{role}\n{text}\n".encode())
+                close()
+            current, last, state = conv, "", [0, sha256(), 0]
+        if not text.startswith(last):
+            raise ValueError(f"example {example} does not continue the one before")
+        last = text
         if start is not None:
-            reply = unescape(part[start - prefix:end - prefix])
-            state[2] += len(reply)
-            state[3].update(reply.encode())
-            state[5] += 1
-        state[4] += len(part)
+            reply = unescape(text[start:end])
+            state[0] += len(reply)
+            state[1].update(reply.encode())
+            state[2] += 1
         if len(out) >= 5_000:
             yield batch_of(schema, *zip(*out))
-            out = []
+            out.clear()
     if state is not None:
-        out.append(_closed(current, state))
+        close()
     if out:
         yield batch_of(schema, *zip(*out))
 
 
-def _closed(conv, state) -> tuple:
-    return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
-
-
 def conversation_digests(examples: DataFrame) -> DataFrame:
-    """What the output of ``prefix_examples`` holds, read back by the template alone.
+    """What the ``full_examples`` of the output of ``prefix_examples`` hold, read back by the template alone.
 
-    Reads the rows in the order in which ``prefix_examples`` makes them.
+    Replies are read from the whole text of their example, turns from the last example of a conversation, which all others begin.
     """
-    return examples.mapInArrow(
+    return full_examples(examples).mapInArrow(
         _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint, n_examples bigint")

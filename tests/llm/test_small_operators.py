@@ -158,3 +158,19 @@ def test_quality_priors_equal_a_plain_model(spark):
         n, g = counts[r.site, r.path]
         k = strength(by_site[r.site])
         assert math.isclose(r.path_rate, (g + k * site_rate[r.site]) / (n + k))
+
+
+def test_digests_are_read_from_whole_examples(spark):
+    """Every example of a conversation comes with all turns ahead of its reply, the last rows without a target too."""
+    rows = [(c, t, "assistant" if t % 3 == 1 else "user", f"{CONTROL} {c} {t}") for c in range(4) for t in range(8)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    examples = chat.prefix_examples(turns)
+    full = {(r.conv_id, r.example): r for r in chat.full_examples(examples).collect()}
+    rendered = {(r.conv_id, r.example): r for r in chat.render(examples).collect()}
+    assert len(full) == 4 * 3 and rendered == {k: r for k, r in full.items() if r.target_turn is not None}
+    for (conv, n), r in full.items():
+        assert list(chat.parse_turns(r.text)) == [(role, text) for c, t, role, text in rows if c == conv and t <= 3 * n + 1]
+    plan = chat.conversation_digests(examples)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("Exchange") == 1
+    changed = examples.where("example <> 1 or conv_id <> 2")
+    assert {r.conv_id: r.n_turns for r in chat.conversation_digests(changed).collect()}[2] == 5
