@@ -29,7 +29,9 @@ CHAR_BITS = 15
 PART_BITS = 8
 MODEL_ENTRIES = 6_000_000
 MOST_LANGUAGES = 64
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 150_000
+SCORED_WORDS = 20_000
+SCORED_CHARS = 200_000
 COUNTED_WORDS = 50_000
 COUNTED_RUNS = 500_000
 SURE_CHARS = 200
@@ -119,9 +121,10 @@ def train(labelled: DataFrame) -> DataFrame:
         now = tables[order].withColumn("context", context)
         discount = now.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).select(
             "lang", F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("d"))
-        contexts = now.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types")).join(
+        # Staged, so that the join below and the model rows do not each count all contexts anew.
+        contexts = stage(now.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types")).join(
             F.broadcast(discount), "lang").withColumn("d", F.least(F.lit(0.95), F.greatest(F.lit(0.05), "d"))).select(
-            "lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("w"))
+            "lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("w")), "contexts")
         joined = now.join(contexts, ["lang", "context"])
         own = (F.col("c") - F.col("d")) / F.col("total")
         if below is None:
@@ -232,7 +235,7 @@ class Models:
 
 
 class _Scorer:
-    """Scores of words, remembered up to a bounded number of words."""
+    """Scores of words, made for ``SCORED_WORDS`` at a time and remembered up to a bounded number of words."""
 
     def __init__(self, models: Models):
         self.models, self.place = models, {}
@@ -245,7 +248,8 @@ class _Scorer:
         new = [w for w in dict.fromkeys(w for words in docs for w in words) if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.table = np.concatenate([self.table, self.models.scores(new)])
+            parts = [self.models.scores(new[i:i + SCORED_WORDS]) for i in range(0, len(new), SCORED_WORDS)]
+            self.table = np.concatenate([self.table, *parts])
         for words in docs:
             at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
             yield self.table[at].sum(axis=0, dtype=np.float64), sum(map(len, words)) + len(words)
@@ -276,7 +280,7 @@ def cross_entropies(docs: DataFrame, labelled: DataFrame, *also: str) -> DataFra
             models = shared.value
             place = [languages.index(name) for name in models.languages]
             scorer = _Scorer(models)
-            for rows in by_size(rows_in(batches, *names), lambda r: len(r[1] or "") + 100, 1_000_000):
+            for rows in by_size(rows_in(batches, *names), lambda r: len(r[1] or "") + 100, SCORED_CHARS):
                 out = []
                 for row, (own, n) in zip(rows, scorer.of([pieces_of(r[1] or "") for r in rows])):
                     doc_id, text, *more = row[:2 + len(also)]

@@ -384,3 +384,26 @@ def test_runs_are_counted_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(langid, "COUNTED_RUNS", 500)
     sizes.clear()
     assert totals() == whole and max(sizes) < 20_000 and len(sizes) > 7
+
+
+def test_words_are_scored_some_at_a_time(monkeypatch):
+    """However many words are new, the arrays made for their scores are bounded; scores do not change."""
+    import numpy as np
+
+    from docquarry.llm import langid
+
+    class Lengths:
+        languages, sizes = ["a", "b"], []
+
+        def scores(self, words):
+            self.sizes.append(len(words))
+            return np.array([[-len(w), -2.0 * len(w)] for w in words], dtype=np.float32)
+
+    docs = [[f"{'x' * (i % 5)}{i}-{j}" for j in range(50)] for i in range(40)]
+    monkeypatch.setattr(langid, "SCORED_WORDS", 300, raising=False)
+    models = Lengths()
+    found = list(langid._Scorer(models).of(docs))
+    assert max(models.sizes) <= 300 and sum(models.sizes) == 40 * 50
+    for words, (sums, n) in zip(docs, found):
+        chars = sum(map(len, words))
+        assert sums.tolist() == [-chars, -2.0 * chars] and n == chars + len(words)
