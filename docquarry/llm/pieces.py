@@ -31,7 +31,7 @@ from docquarry.llm.common import batch_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_UNIT = 48
-BLOCK_CHARS = 9_000_000
+BLOCK_CHARS = 13_000_000
 HELD_UNITS = 300_000
 KNOWN_WORDS = 400_000
 _LETTER = r"A-Za-z\u00c0-\u1fff\u2070-\u2580\u2582-\U0010ffff"
@@ -281,18 +281,18 @@ class Cutter:
         self.prefix = SPACE if model.prefix else ""
 
     def words(self, text: str) -> list[str]:
-        """Strings that are encoded one by one; a word gets the space ahead of it."""
+        """Strings that are encoded one by one: words without the space ahead of them, or a whole text with its marks."""
         if not text:
             return []
         if not self.by_word or SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
             return [self.prefix + text.replace(" ", SPACE)]
-        return [SPACE + w for w in text.split(" ")]
+        return text.split(" ")
 
     def units(self, words: set[str]) -> set[str]:
-        """Distinct units of the words; those that begin with a space and end without one are cut in one go."""
-        plain = [w for w in words if w[0] == SPACE and w[-1] != SPACE] if self.by_word else []
+        """Distinct units of the words; those without marks of their own are cut in one go."""
+        plain = [w for w in words if w[0] != SPACE] if self.by_word else []
         others = words.difference(plain)
-        return {u for w in ["".join(plain), *others] for u in self.find(w)}
+        return {u for w in ["".join([SPACE + w for w in plain]), *others] for u in self.find(w)}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -415,7 +415,10 @@ class _Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         known = self.units
-        value = b"".join([known[u] if u in known else self.unit(u) for u in self.cutter.find(word)])
+        whole = SPACE + word if self.cutter.by_word and word[0] != SPACE else word
+        value = known.get(whole)
+        if value is None:
+            value = b"".join([known[u] if u in known else self.unit(u) for u in self.cutter.find(whole)])
         if len(word) <= LONGEST_UNIT:
             if len(self) >= KNOWN_WORDS:
                 self.clear()
@@ -436,18 +439,14 @@ class _Decoder:
         back = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
                 if k == NORMAL else b"" for p, k in zip(model.pieces, model.kinds)]
         self.prefix = model.prefix
-        self.data = np.frombuffer(b"".join(back), dtype=np.uint8)
-        self.sizes = np.fromiter(map(len, back), dtype=np.int64, count=len(back))
-        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = pa.array(back, pa.large_binary())
 
     def texts(self, lists: pa.ListArray) -> list[str | None]:
-        ids = lists.flatten().to_numpy()
-        own = self.sizes[ids]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        data = self.data[np.repeat(self.begins[ids] - ends + own, own) + np.arange(total)].tobytes()
+        found = self.data.take(lists.flatten())
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset:found.offset + len(found) + 1]
+        data = found.buffers()[2].to_pybytes() if len(found) and found.buffers()[2] else b""
         counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        cuts = ends[np.append(0, np.cumsum(counts))].tolist()
         out = []
         for known, a, b in zip(lists.is_valid().to_pylist(), cuts, cuts[1:]):
             # A space mark may also have been put together from bytes.

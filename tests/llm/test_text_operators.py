@@ -407,3 +407,27 @@ def test_words_are_scored_some_at_a_time(monkeypatch):
     for words, (sums, n) in zip(docs, found):
         chars = sum(map(len, words))
         assert sums.tolist() == [-chars, -2.0 * chars] and n == chars + len(words)
+
+
+def test_words_that_are_units_are_not_cut_again():
+    """A word that stands in the block's units as a whole takes its ids at once; ids and texts are the same as by cutting."""
+    import pyarrow as pa
+
+    from docquarry.llm import pieces
+
+    model = pieces.read_model()
+    cutter = pieces.Cutter(model)
+    text = "plain words, and words of  two spaces é▁x"
+    words = cutter.words("plain words and more") + cutter.words(text)
+    units = sorted(cutter.units(set(words)))
+    ids = [pieces.merge_long(u, model) for u in units]
+    cut = []
+    cutter.find, find = lambda word: cut.append(word) or find(word), cutter.find
+    encoder = pieces._Encoder(model, cutter, pa.table({"unit": units, "ids": pa.array(ids, pa.list_(pa.int32()))}))
+    plain = b"".join(map(encoder.__getitem__, cutter.words("plain words and more")))
+    assert cut == []
+    whole = b"".join(map(encoder.__getitem__, cutter.words(text)))
+    assert len(cut) == 1
+    lists = pa.array([memoryview(plain).cast("i").tolist(), None, [], memoryview(whole).cast("i").tolist()], pa.list_(pa.int32()))
+    assert lists[0].as_py() == pieces.merge_long("▁plain▁words▁and▁more", model)
+    assert pieces._Decoder(model).texts(lists) == ["plain words and more", None, "", text.replace("▁", " ")]
