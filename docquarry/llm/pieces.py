@@ -357,6 +357,29 @@ def _compressed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _units_packed(units: pa.Table) -> bytes:
+    """Encoded units as one compressed row; sizes take less room than the offsets of strings and lists."""
+    unit, ids = (units.column(c).combine_chunks() for c in ("unit", "ids"))
+
+    def row(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    return _compressed(pa.table({
+        "units": pa.array(["".join(unit.to_pylist())], pa.string()), "sizes": row(pc.utf8_length(unit).cast(pa.uint16())),
+        "counts": row(pc.list_value_length(ids).cast(pa.uint16())), "ids": row(ids.flatten())}))
+
+
+def _units_of(blob: pa.Scalar) -> pa.Table:
+    """``unit, ids`` of a row of ``_units_packed``."""
+    row = pa.ipc.open_stream(blob.as_buffer()).read_all()
+    text = row.column("units")[0].as_py()
+    sizes, counts, ids = (row.column(c).combine_chunks().flatten() for c in ("sizes", "counts", "ids"))
+    ends = np.cumsum(sizes.to_numpy(), dtype=np.int64).tolist()
+    offsets = np.append(0, np.cumsum(counts.to_numpy(), dtype=np.int64)).astype(np.int32)
+    return pa.table({"unit": pa.array([text[a:b] for a, b in zip([0, *ends], ends)], pa.string()),
+                     "ids": pa.ListArray.from_arrays(pa.array(offsets), ids)})
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Encoded units as compressed tables, one for each block and some hundred thousand occurrences."""
     schema = pa.schema([("block", pa.int64()), ("units", pa.binary())])
@@ -371,7 +394,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, starts = np.unique(block[order], return_index=True)
         parts = np.split(row[order], starts[1:])
         units = table.select(["unit", "ids"])
-        return batch_of(schema, names, [_compressed(units.take(pa.array(part))) for part in parts])
+        return batch_of(schema, names, [_units_packed(units.take(pa.array(part))) for part in parts])
 
     for batch in batches:
         waiting.append(batch)
@@ -482,7 +505,7 @@ def encode(docs: DataFrame, model: Model | None = None, decoded: bool = False) -
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         cutter = Cutter(shared.value)
-        known = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in right.column("units")]
+        known = [_units_of(blob) for blob in right.column("units")]
         empty = pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
         encoder = _Encoder(shared.value, cutter, pa.concat_tables([empty, *known]))
         back = _Decoder(shared.value) if decoded else None

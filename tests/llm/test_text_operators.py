@@ -431,3 +431,17 @@ def test_words_that_are_units_are_not_cut_again():
     lists = pa.array([memoryview(plain).cast("i").tolist(), None, [], memoryview(whole).cast("i").tolist()], pa.list_(pa.int32()))
     assert lists[0].as_py() == pieces.merge_long("▁plain▁words▁and▁more", model)
     assert pieces._Decoder(model).texts(lists) == ["plain words and more", None, "", text.replace("▁", " ")]
+
+
+def test_packed_units_take_less_room_than_columns():
+    import pyarrow as pa
+
+    from docquarry.llm import pieces
+
+    units = [f"▁é{i * 7919 % 100_003}x" for i in range(3_000)] + ["\n", "𝒳", "▁"]
+    ids = [[i % 32_000, -i - 1, i % 7][: 1 + i % 3] for i in range(len(units))]
+    table = pa.table({"unit": units, "ids": pa.array(ids, pa.list_(pa.int32()))}).slice(1)
+    packed = pieces._units_packed(table)
+    back = pieces._units_of(pa.scalar(packed))
+    assert back.column("unit").to_pylist() == units[1:] and back.column("ids").to_pylist() == ids[1:]
+    assert len(packed) < 0.9 * len(pieces._compressed(table))
