@@ -291,8 +291,10 @@ class Cutter:
     def units(self, words: set[str]) -> set[str]:
         """Distinct units of the words; those without marks of their own are cut in one go."""
         plain = [w for w in words if w[0] != SPACE] if self.by_word else []
-        others = words.difference(plain)
-        return {u for w in ["".join([SPACE + w for w in plain]), *others] for u in self.find(w)}
+        found = {u for w in words.difference(plain) for u in self.find(w)}
+        for start in range(0, len(plain), 20_000):
+            found.update(self.find("".join([SPACE + w for w in plain[start:start + 20_000]])))
+        return found
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -332,6 +334,8 @@ def _block_units(shared):
             for start in range(0, len(units), 50_000):
                 some = units[start:start + 50_000]
                 yield batch_of(schema, np.full(len(some), block), some)
+            del table, words, units
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -411,6 +415,8 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
     for block, table in _blocks(batches):
         yield batch_of(schema, [block], [_compressed(table)])
+        del table
+    pa.default_memory_pool().release_unused()
 
 
 def _slices(blob: pa.Scalar) -> Iterator[pa.Table]:
@@ -423,18 +429,23 @@ def _slices(blob: pa.Scalar) -> Iterator[pa.Table]:
 class _Encoder(dict):
     """Ids of words as bytes of 32-bit numbers, put together from the encoded units of a block."""
 
-    def __init__(self, model: Model, cutter: Cutter, units: pa.Table):
+    def __init__(self, model: Model, cutter: Cutter, units: pa.Table | None = None):
         super().__init__()
+        self.model, self.cutter, self.units = model, cutter, {}
+        if units is not None:
+            self.add(units)
+
+    def add(self, units: pa.Table) -> None:
+        """Encoded units, ``unit, ids``, that words may be made of."""
         ids = units.combine_chunks().column("ids").chunk(0)
-        self.model, self.cutter = model, cutter
         values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
         data, cuts = values.tobytes(), (4 * offsets).tolist()
         names = units.column("unit").to_pylist()
-        self.units = dict(zip(names, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        self.units.update(zip(names, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
         for at in np.unique(np.searchsorted(offsets, np.flatnonzero(values < 0), "right") - 1).tolist():
             own = values[offsets[at]:offsets[at + 1]].tolist()
             self.units[names[at]] = np.array(
-                [x for i in own for x in (model.fallback(chr(-i - 1)) if i < 0 else [i])], dtype=np.int32).tobytes()
+                [x for i in own for x in (self.model.fallback(chr(-i - 1)) if i < 0 else [i])], dtype=np.int32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         known = self.units
@@ -503,28 +514,51 @@ def encode(docs: DataFrame, model: Model | None = None, decoded: bool = False) -
                               "token_ids": F.expr("cast(array() as array<int>)"),
                               **({"decoded": F.lit("").cast("string")} if decoded else {})}).schema
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+    both = texts.selectExpr("block", "cast(null as binary) as units", "rows").unionByName(
+        units.selectExpr("block", "units", "cast(null as binary) as rows"))
+    # The units of a block come ahead of its texts.
+    return both.repartition("block").sortWithinPartitions("block", F.col("units").isNull()).mapInArrow(
+        _encoded(shared, decoded), schema)
+
+
+def _encoded(shared, decoded: bool):
+    """Texts with their ids from rows of ``block, units, rows`` in order, some rows at a time."""
+    def made(encoder: _Encoder, back: _Decoder | None, table: pa.Table) -> list[pa.RecordBatch]:
+        ids, ends = [], [0]
+        for text in table.column("text").to_pylist():
+            ids.append(b"".join(map(encoder.__getitem__, encoder.cutter.words(text or ""))))
+            ends.append(ends[-1] + len(ids[-1]) // 4)
+        flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(flat, pa.int32()))
+        table = table.append_column("n_tokens", pa.array(np.diff(ends).astype(np.int64))).append_column("token_ids", lists)
+        if back:
+            table = table.append_column("decoded", pa.array(back.texts(lists), pa.string()))
+        return table.to_batches()
+
+    def checked(met: bool) -> None:
+        if not met:
+            raise ValueError("a block changed between two scans of the documents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(shared.value)
-        known = [_units_of(blob) for blob in right.column("units")]
-        empty = pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-        encoder = _Encoder(shared.value, cutter, pa.concat_tables([empty, *known]))
         back = _Decoder(shared.value) if decoded else None
-        tables = []
-        for table in (part for blob in left.column("rows") for part in _slices(blob)):
-            ids, ends = [], [0]
-            for text in table.column("text").to_pylist():
-                ids.append(b"".join(map(encoder.__getitem__, cutter.words(text or ""))))
-                ends.append(ends[-1] + len(ids[-1]) // 4)
-            flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(flat, pa.int32()))
-            table = table.append_column("n_tokens", pa.array(np.diff(ends).astype(np.int64))).append_column("token_ids", lists)
-            tables.append(table.append_column("decoded", pa.array(back.texts(lists), pa.string())) if back else table)
-        if not tables:
-            raise ValueError("a block changed between two scans of the documents")
+        encoder, now, met, table = None, None, True, None
+        for batch in batches:
+            for block, units, rows in zip(*(batch.column(c) for c in ("block", "units", "rows"))):
+                if encoder is None or block != now:
+                    checked(met)
+                    encoder, now, met = _Encoder(shared.value, cutter), block, False
+                if units.is_valid:
+                    encoder.add(_units_of(units))
+                    continue
+                met = True
+                for table in _slices(rows):
+                    yield from made(encoder, back, table)
+        checked(met)
+        encoder = back = batch = units = rows = table = None
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(tables)
 
-    return texts.groupBy("block").cogroup(units.groupBy("block")).applyInArrow(task, schema)
+    return run
 
 
 def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:

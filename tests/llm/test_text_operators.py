@@ -445,3 +445,36 @@ def test_packed_units_take_less_room_than_columns():
     back = pieces._units_of(pa.scalar(packed))
     assert back.column("unit").to_pylist() == units[1:] and back.column("ids").to_pylist() == ids[1:]
     assert len(packed) < 0.9 * len(pieces._compressed(table))
+
+
+def test_blocks_are_encoded_some_rows_at_a_time():
+    """A block's texts leave in parts, also if its units and texts lie in several batches; a block without its texts is an error."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    model = pieces.read_model()
+    shared, cutter = SimpleNamespace(value=model), pieces.Cutter(model)
+    texts = {1: [f"one text of number {i} é" for i in range(1_000)] + [None], 2: ["other words", ""]}
+    rows = []
+    for block, own in texts.items():
+        units = sorted(cutter.units({w for t in own for w in cutter.words(t or "")}))
+        for some in (units[::2], units[1::2]):
+            ids = pa.array([pieces.merge_long(u, model) for u in some], pa.list_(pa.int32()))
+            rows.append((block, pieces._units_packed(pa.table({"unit": some, "ids": ids})), None))
+        table = pa.table({"doc_id": list(range(len(own))), "text": pa.array(own, pa.string())})
+        rows.append((block, None, pieces._compressed(table)))
+    schema = pa.schema([("block", pa.int64()), ("units", pa.binary()), ("rows", pa.binary())])
+
+    def batches(rows, size):
+        return iter([pieces.batch_of(schema, *zip(*rows[i:i + size])) for i in range(0, len(rows), size)])
+
+    for size in (2, 10):
+        out = list(pieces._encoded(shared, True)(batches(rows, size)))
+        assert max(b.num_rows for b in out) <= 256
+        got = [r for b in out for r in b.to_pylist()]
+        assert [r["decoded"] for r in got] == [t or "" for own in texts.values() for t in own]
+        assert got[5]["token_ids"] == pieces.merge_long("▁one▁text▁of▁number▁5▁é", model) and got[-1]["n_tokens"] == 0
+    for missing in (2, 5):
+        with pytest.raises(ValueError, match="block changed"):
+            list(pieces._encoded(shared, True)(batches(rows[:missing] + rows[missing + 1:], 10)))
