@@ -5,7 +5,8 @@ rarest first. Two similar sets have at least ``o`` elements in common, and of th
 lie among the first ``n - o + l`` of either, for any ``l``. Each document chooses its own ``l`` by the
 estimated cost of its candidates: a longer prefix asks more of a partner. A pair is a candidate
 if it shares the smaller of both documents' ``l`` (more for large sets) within the prefixes of that length, and is
-verified if it then shares as much as the whole prefixes of both must.
+verified if it then shares as much as the whole prefixes of both must. Pairs whose signatures, the parities of
+the sets' elements by bucket, differ in more places than similar sets have elements apart are never made.
 
 Equal sets are one set. Groups of similar sets are first linked to a few pivots, so that
 a group of any size costs rows in proportion to its size; then every pair of sets that are
@@ -39,6 +40,7 @@ BUCKETS = 32
 PIVOT_ROUNDS = 1
 PROBE = 100
 SEEN_SETS = 500_000
+SIGNATURE = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,22 +70,37 @@ def set_id(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """``SIGNATURE`` numbers of 64 bits, one bit per bucket: whether it holds an odd number of elements.
+
+    Elements that two sets have in common leave no difference, so that the bits in which two signatures differ are
+    at most as many as the elements that only one of the sets has.
+    """
+    size = 64 * SIGNATURE
+    odd = np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SUMMARY = "doc_id bigint, text_key bigint, n bigint, sid bigint, token bigint, df bigint, bits array<bigint>"
+
+
 def _summary(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()),
-                        ("sid", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+                        ("sid", pa.int64()), ("token", pa.int64()), ("df", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch | None:
         token, df = np.unique(np.concatenate(sets), return_counts=True)
         token, df = token[df >= 4], df[df >= 4]
         none = pa.nulls(len(token), pa.int64())
-        return batch_of(schema, none, none, none, none, token.view(np.int64), df.astype(np.int64))
+        return batch_of(schema, none, none, none, none, token.view(np.int64), df.astype(np.int64),
+                        pa.nulls(len(token), pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, out, seen, sets, held = Shingler(words), [], set(), [], 0
         for doc_id, key, text in rows_in(batches, "doc_id", "text_key", "text"):
             s = shingler.set_of(text)
             sid = set_id(s) if len(s) else None
-            out.append((doc_id, key, len(s), sid, None, None))
+            out.append((doc_id, key, len(s), sid, None, None, signature(s) if len(s) else None))
             if len(out) >= 8_192:
                 yield batch_of(schema, *zip(*out))
                 out = []
@@ -228,7 +245,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     narrow = texts(docs).withColumn("text_key", F.xxhash64("text"))
     summary = stage(narrow.mapInArrow(
-        _summary(words), "doc_id bigint, text_key bigint, n bigint, sid bigint, token bigint, df bigint"), "summary")
+        _summary(words), SUMMARY), "summary")
     members = summary.where("n is not null").select("doc_id", "n", "sid")
     links = _links(spark, narrow.select("text_key", "text"), summary, words, percent)
     label = components(links)
@@ -287,27 +304,40 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
         found = verified(best)
         links = found if links is None else links.union(found)
         open_rows = _still_open(open_rows, found)
-    # Of two similar sets, ``level`` elements in common lie among the first ``n - o + level`` of either,
-    # for every level up to the one that the whole prefixes allow.
+    signs = summary.where("sid is not null").select("sid", "bits").dropDuplicates(["sid"])
+    met = _met(open_rows.drop("hub").join(signs, "sid"), percent)
+    likely = met.groupBy("a", "b", "component", "component2").agg(
+        F.count("*").alias("common"), F.first("level").alias("level"), F.first("least").alias("least"),
+    ).where("common >= level").drop("common", "level")
+    whole = stage(shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "prefixes")
+    rest = likely.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("xs")), "a").join(
+        whole.select(F.col("sid").alias("b"), F.col("tokens").alias("ys")), "b").where(
+        F.size(F.array_intersect("xs", "ys")) >= F.col("least")).select("a", "b", "component", "component2")
+    return stage(links.union(verified(rest)).select("a", "b"), "links")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, component, b, component2, level, least`` for each prefix element that two sets share, if they may be similar.
+
+    Of two similar sets, ``level`` elements in common lie among the first ``n - o + level`` of either,
+    for every level up to the one that the whole prefixes allow; and their signatures differ in as many bits
+    as ``n + n2 - 2 o`` at most.
+    """
+    rows = rows.select("token", "sid", "n", "level", "place", "component",
+                       *[F.col("bits")[i].alias(f"bits{i}") for i in range(SIGNATURE)])
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     least = _least_shared(x("n"), x("level"), y("n"), y("level"), percent)
     level = F.least(least, F.greatest(
         F.least(x("level"), y("level")), F.ceil(F.least(x("n"), y("n")) / F.lit(PROBE))))
     o = _least_common(x("n"), y("n"), percent)
-    met = open_rows.alias("x").join(open_rows.alias("y"), [
+    apart = sum((F.bit_count(x(f"bits{i}").bitwiseXOR(y(f"bits{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    return rows.alias("x").join(rows.alias("y"), [
         x("token") == y("token"), x("sid") < y("sid"), x("component") != y("component"),
         x("place") < x("n") - o + level, y("place") < y("n") - o + level,
         100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")),
+        apart <= x("n") + y("n") - 2 * o,
     ]).select(x("sid").alias("a"), x("component").alias("component"), y("sid").alias("b"),
               y("component").alias("component2"), level.alias("level"), least.alias("least"))
-    likely = met.groupBy("a", "b", "component", "component2").agg(
-        F.count("*").alias("common"), F.first("level").alias("level"), F.first("least").alias("least"),
-    ).where("common >= level").drop("common", "level")
-    whole = stage(shared.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "prefixes")
-    rest = likely.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("xs")), "a").join(
-        whole.select(F.col("sid").alias("b"), F.col("tokens").alias("ys")), "b").where(
-        F.size(F.array_intersect("xs", "ys")) >= F.col("least")).select("a", "b", "component", "component2")
-    return stage(links.union(verified(rest)).select("a", "b"), "links")
 
 
 def _still_open(rows: DataFrame, links: DataFrame) -> DataFrame:

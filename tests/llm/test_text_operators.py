@@ -478,3 +478,28 @@ def test_blocks_are_encoded_some_rows_at_a_time():
     for missing in (2, 5):
         with pytest.raises(ValueError, match="block changed"):
             list(pieces._encoded(shared, True)(batches(rows[:missing] + rows[missing + 1:], 10)))
+
+
+def test_sets_that_share_a_passage_only_are_not_paired(docs, spark, monkeypatch):
+    """Texts that consist mostly of one passage make no rows of the last join unless they may be similar; no link is lost."""
+    rng = np.random.default_rng(11)
+    passage = words(160, rng)
+    table = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(34)])) for i in range(60)]
+    near = words(160, rng)
+    table += [(100 + i, " ".join(changed(near, *rng.integers(0, 160, 2)))) for i in range(6)]
+    rows, met = [], jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda open_rows, percent: rows.append(met(open_rows, percent)) or rows[-1])
+    monkeypatch.setattr(jaccard, "stage", lambda df, *a, **k: df.localCheckpoint())
+    got = {r.doc_id: r.component_id for r in jaccard._groups(docs(table), jaccard.WORDS, jaccard.PERCENT).collect()}
+    assert got == {i: c for i, _, c in brute_groups(table)}
+    assert rows[0].count() < 60
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(12)
+    for n in (1, 7, 300, 3_000):
+        for common in {0, n // 2, n - 1}:
+            both = np.unique(rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64))
+            x, y = both[:n], both[len(both) - n:]
+            apart = np.bitwise_xor(jaccard.signature(x), jaccard.signature(y)).view(np.uint64)
+            assert sum(int(v).bit_count() for v in apart) <= len(set(x.tolist()) ^ set(y.tolist()))
