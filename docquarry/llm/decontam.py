@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import CACHED_WORDS, batch_of, by_size, mix, rows_in, texts, weights
+from docquarry.llm.common import CACHED_WORDS, batch_of, by_size, mix, rows_in, texts, tidy, weights
 
 MASKS = ("11101011", "1101100111", "110010110011", "1011010011011", "1101000010111", "1111000100011")
 LEAST_WORDS = 13
@@ -190,7 +190,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     results = [
-        texts(docs).mapInArrow(task(_shared(block)), "doc_id bigint, item_id bigint, overlap_words int, "
+        texts(docs).mapInArrow(tidy(task(_shared(block))), "doc_id bigint, item_id bigint, overlap_words int, "
                                "same_words int, start_word int")
         for block in blocks(benchmark)
     ]
@@ -215,5 +215,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     out = docs
     for block in blocks(benchmark):
-        out = out.mapInArrow(task(_shared(block)), docs.schema)
+        out = out.mapInArrow(tidy(task(_shared(block))), docs.schema)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.bitmap import Bitmap
-from docquarry.llm.common import WordHashes, batch_of, mix, rows_in, texts, weights
+from docquarry.llm.common import WordHashes, batch_of, mix, rows_in, texts, tidy, weights
 from docquarry.llm.components import components
 from docquarry.session import scope, stage
 
@@ -245,7 +245,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     narrow = texts(docs).withColumn("text_key", F.xxhash64("text"))
     summary = stage(narrow.mapInArrow(
-        _summary(words), SUMMARY), "summary")
+        tidy(_summary(words)), SUMMARY), "summary")
     members = summary.where("n is not null").select("doc_id", "n", "sid")
     links = _links(spark, narrow.select("text_key", "text"), summary, words, percent)
     label = components(links)
@@ -266,7 +266,7 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], counts[order]))
     rows = narrow.select("text").mapInArrow(
-        _prefixes(words, percent, frequent), "token bigint, sid bigint, n int, level smallint, place int")
+        tidy(_prefixes(words, percent, frequent)), "token bigint, sid bigint, n int, level smallint, place int")
     by_token = Window.partitionBy("token")
     shared = stage(rows.withColumns({
         "low": F.min("sid").over(by_token), "high": F.max("sid").over(by_token),
@@ -278,12 +278,12 @@ def _links(spark: SparkSession, narrow: DataFrame, summary: DataFrame, words: in
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         wanted = spark.sparkContext.broadcast(Bitmap(bearer.join(sids, "sid").select("text_key")))
         name = f"docquarry_sets_{uuid.uuid4().hex}"
-        narrow.mapInArrow(_sets(words, wanted), "sid bigint, shingles binary").dropDuplicates(["sid"]).write.bucketBy(
+        narrow.mapInArrow(tidy(_sets(words, wanted)), "sid bigint, shingles binary").dropDuplicates(["sid"]).write.bucketBy(
             BUCKETS, "sid").sortBy("sid").format("parquet").saveAsTable(name)
         sets = spark.table(name)
         one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xs")), "a")
         two = one.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("ys")), "b")
-        found = stage(two.mapInArrow(_verify(percent), "a bigint, b bigint, component bigint, component2 bigint"), "links")
+        found = stage(two.mapInArrow(tidy(_verify(percent)), "a bigint, b bigint, component bigint, component2 bigint"), "links")
         spark.sql(f"drop table {name}")
         return found
 

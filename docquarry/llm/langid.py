@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import batch_of, by_size, mix, rows_in
+from docquarry.llm.common import batch_of, by_size, mix, rows_in, tidy
 from docquarry.session import scope, stage
 
 ORDER = 4
@@ -109,7 +109,7 @@ def train(labelled: DataFrame) -> DataFrame:
     that a context of ``k - 1`` characters gives to the next lower order. Rows with a null are left out.
     """
     counts = stage(labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(
-        _count, "lang string, run bigint, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("c")), "runs")
+        tidy(_count), "lang string, run bigint, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("c")), "runs")
     tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
         lower = F.col("run").bitwiseAND((1 << CHAR_BITS * order) - 1)
@@ -297,13 +297,13 @@ def cross_entropies(docs: DataFrame, labelled: DataFrame, *also: str) -> DataFra
                     share = 1.0 / np.exp((entropy[best] - entropy) * min(n, SURE_CHARS)).sum()
                     out.append((doc_id, languages[best], float(share), float(entropy[best]), n, *more))
                 yield batch_of(schema if last else passed, *zip(*out))
-        return run
+        return tidy(run)
 
     narrow_schema = [("doc_id", pa.int64()), ("text", pa.string()), *((c, pa.string()) for c in also)]
     strings = "".join(f", {c} string" for c in also)
     with scope(spark):
         model = stage(train(labelled).mapInArrow(
-            _with_part, "lang string, kind int, run bigint, value double, part int"), "model")
+            tidy(_with_part), "lang string, kind int, run bigint, value double, part int"), "model")
         todo = passes(model) or [{}]
         languages = sorted(set().union(*todo))
         held = narrow

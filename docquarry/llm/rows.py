@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.bitmap import Bitmap
-
-
-def _select(shared, held: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = part.column("doc_id").cast(pa.int64())
-                known = ids.is_valid().to_numpy(zero_copy_only=False)
-                mask = known & shared.value.holds(np.ascontiguousarray(ids.fill_null(0).to_numpy()))
-                mask = mask == held
-                if mask.any():
-                    yield part.filter(pa.array(mask))
-    return run
-
-
-def split_by_id(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``doc_id`` may be in ``ids(doc_id)``, and rows whose id surely is not, null among them."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bitmap(ids.select(F.col("doc_id").cast("bigint").alias("doc_id"))))
-    return docs.mapInArrow(_select(shared, True), docs.schema), docs.mapInArrow(_select(shared, False), docs.schema)
+from docquarry.session import split_by
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is null or not in ``ids(doc_id)``; all columns are kept."""
-    maybe, others = split_by_id(docs, ids)
+    maybe, others = split_by(docs, "doc_id", ids)
     return others.union(maybe.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns))
 
 
@@ -47,7 +23,7 @@ def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     fate = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
         F.count("*").alias("rows"), F.max((F.col("component_id") != F.col("doc_id")).cast("int")).alias("__drop"))
     fate = fate.where("__drop = 1 or rows > 1").select("doc_id", "__drop")
-    maybe, others = split_by_id(docs, fate)
+    maybe, others = split_by(docs, "doc_id", fate)
     known = maybe.join(fate, "doc_id", "left")
     kept = known.where("__drop is null").select(docs.columns).union(
         known.where("__drop = 0").select(docs.columns).dropDuplicates(["doc_id"]))

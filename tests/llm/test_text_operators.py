@@ -6,8 +6,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.llm import anchors, components, decontam, jaccard, langid, pieces, repeats, rows
+from docquarry.llm import anchors, common, components, decontam, jaccard, langid, pieces, repeats, rows
 
 RNG = np.random.default_rng(5)
 VOCABULARY = [f"{a}{b}{c}" for a in "bdkmt" for b in ("a", "eu", "ó") for c in ("n", "st", "ll", "")]
@@ -503,3 +504,34 @@ def test_signatures_differ_in_no_more_bits_than_sets_in_elements():
             x, y = both[:n], both[len(both) - n:]
             apart = np.bitwise_xor(jaccard.signature(x), jaccard.signature(y)).view(np.uint64)
             assert sum(int(v).bit_count() for v in apart) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_rows_are_told_by_id_without_python(docs, spark):
+    """Texts do not go through Python to be dropped by id; brute force, and columns named like those used inside."""
+    table = docs([(i if i % 7 else None, f"text {i}", i) for i in range(-500, 500)] + [(5, "again", 1)], ", __word int").withColumn("_word", F.lit(1))
+    gone = [i for i in range(-700, 700, 3)] + [None]
+    left = rows.without_ids(table, spark.createDataFrame([(i,) for i in gone], "doc_id bigint"))
+    assert "MapInArrow" not in left._jdf.queryExecution().executedPlan().toString() and left.columns == table.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in table.collect() if r.doc_id is None or r.doc_id not in gone)
+    none = spark.createDataFrame([], "doc_id bigint")
+    assert rows.without_ids(table, none).count() == 1001 and rows.without_ids(table.limit(0), none).count() == 0
+
+
+def test_tasks_give_memory_back_at_their_end(monkeypatch):
+    """What a task held is free when its memory is given back, and its batches are all there."""
+    import weakref
+
+    held, given = [], []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(held[0]() is None))
+
+    def run(batches):
+        large = np.zeros(1_000)
+        held.append(weakref.ref(large))
+        for batch in batches:
+            yield batch + large[0]
+
+    task = common.tidy(run)(iter([1, 2, 3]))
+    assert next(task) == 1 and given == []
+    assert list(task) == [2, 3] and given == [True]
+    monkeypatch.undo()
+    common.give_back()
