@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import batch_of
+from docquarry.llm.common import Batches, batch_of, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,6 +34,8 @@ LONGEST_UNIT = 48
 BLOCK_CHARS = 13_000_000
 HELD_UNITS = 300_000
 KNOWN_WORDS = 400_000
+#: Leading characters of a substring that tell how long a piece beginning with them can be.
+HEAD = 3
 _LETTER = r"A-Za-z\u00c0-\u1fff\u2070-\u2580\u2582-\U0010ffff"
 #: From fine to coarse; the first that no piece crosses is used.
 CUTS = (rf"{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}]+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"(?s).+")
@@ -76,6 +78,11 @@ def read_model(path: str = MODEL) -> Model:
 
 
 PACKED = "block bigint, units binary"
+#: Id + 1 (24 bits), length (6 bits) and whether the unit begins; above them the code + 1 of a character that is no piece.
+_EDGE = """
+cast((id + 1) | shiftleft(n, 24) | if(i = 1 and n = 1, 1073741824, 0) as bigint)
+  | shiftleft(if(id = -1 and part <> '', cast(ascii(part) + 1 as bigint), 0L), 32) as edge
+"""
 _VITERBI = """
 aggregate(sequence(1, n), array(struct(0.0D as score, array(0) as cuts)), (done, j) ->
   concat(done, array(element_at(transform(array(array_max(transform(
@@ -91,32 +98,60 @@ transform(sequence(1, size(cuts) - 1), k -> coalesce(
 """
 
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """``block, units``: tables of ``unit, ids`` for ``units(unit, blocks)``; a negative id ``-c - 1`` is a character without a piece.
+def _join_key(names: Collection[str]) -> Callable[[Column], Column]:
+    """A column by which strings are joined to ``names``: their hash, a long, or where two of ``names`` share it they themselves."""
+    hashes = {xxhash.xxh64_intdigest(name.encode(), 42) for name in names}
+    return F.xxhash64 if len(hashes) == len(names) else lambda c: c
+
+
+def _edges(units: DataFrame, model: Model) -> DataFrame:
+    """``unit, blocks, i, n, part, id, score``: the substrings of ``units(unit, blocks)`` that are pieces, and every single character.
 
-    Exploding keeps a unit's rows together and in order, and the join sends the piece table, which is as
-    large as the model, so nothing is shuffled. ``blocks`` rides on a unit's first row.
+    ``part`` has ``n`` characters from the ``i``-th on; a character that is no piece has -1 for ``id``. Only lengths of pieces
+    that begin with the same ``HEAD`` characters are exploded, the shorter ones always. A substring meets pieces by a hash, then
+    as it is. A unit's rows follow one another by ``i`` and ``n``; where it has more blocks than characters, empty ones follow.
     """
     spark = units.sparkSession
+    lengths: dict[str, set[int]] = {}
+    for piece in model.ids:
+        if len(piece) >= HEAD:
+            lengths.setdefault(piece[:HEAD], set(range(1, HEAD))).add(len(piece))
+    of_head, of_piece = _join_key(lengths), _join_key(model.ids)
+    heads = spark.createDataFrame([(h, sorted(n)) for h, n in lengths.items()], "head string, lengths array<int>").select(
+        of_head(F.col("head")).alias("head"), "lengths")
     table = spark.createDataFrame(
-        [(p, i, float(model.scores[i])) for p, i in model.ids.items()], "piece string, id int, score double")
-    spans = units.select("unit", "blocks", F.explode(F.expr("sequence(1, char_length(unit))")).alias("i")).select(
-        "unit", "blocks", "i",
-        F.explode(F.expr(f"sequence(i, least(char_length(unit), i + {model.longest - 1}))")).alias("j"))
-    edges = spans.select(
-        "unit", F.expr("if(i = 1 and j = 1, blocks, null)").alias("blocks"), "i", "j",
-        F.expr("substring(unit, i, j - i + 1)").alias("piece"),
-    ).join(F.broadcast(table), "piece", "left").where("id is not null or (i = 1 and j = 1)").select(
-        "unit", "blocks", "i", "j", F.coalesce("id", F.lit(-1)).alias("id"), "score")
+        [(p, i, float(model.scores[i])) for p, i in model.ids.items()], "piece string, id int, score double").select(
+        of_piece(F.col("piece")).alias("key"), "piece", "id", "score")
+    starts = units.select("unit", "blocks", F.explode(F.expr("sequence(1, greatest(char_length(unit), size(blocks)))")).alias("i"))
+    spans = starts.join(F.broadcast(heads), of_head(F.expr(f"substring(unit, i, {HEAD})")) == F.col("head"), "left").select(
+        "unit", "blocks", "i", F.explode(F.coalesce("lengths", F.array(*map(F.lit, range(1, HEAD))))).alias("n")
+    ).where("n = 1 or i + n - 1 <= char_length(unit)")
+    found = spans.select("unit", "blocks", "i", "n", F.expr("substring(unit, i, n)").alias("part")).join(
+        F.broadcast(table), of_piece(F.col("part")) == F.col("key"), "left")
+    return found.withColumn("id", F.expr("if(piece = part, id, null)")).where("n = 1 or id is not null").select(
+        "unit", "blocks", "i", "n", "part", F.coalesce("id", F.lit(-1)).alias("id"), "score")
+
+
+def encode_units(units: DataFrame, model: Model) -> DataFrame:
+    """``block, units``: tables of ``unit, ids`` for ``units(unit, blocks)``; a negative id ``-c - 1`` is a character without a piece.
+
+    Exploding keeps a unit's rows together and in order, and the joins send tables as large as the model, so
+    nothing is shuffled. To the merge fold an edge goes as one number, and each of a unit's blocks along with a single
+    character, since what rows of strings and lists cost on the way to Python is more than the join.
+    """
+    edges = _edges(units, model)
     if not model.unigram:
-        edges = edges.withColumn("unit", F.expr("if(i = 1 and j = 1, unit, null)"))
-        return edges.mapInArrow(lambda batches: _packed(_merge_fold(batches)), PACKED)
+        fold = _merge_fold(model)
+        return edges.selectExpr(_EDGE, "if(n = 1, get(blocks, i - 1), null) as block").mapInArrow(
+            tidy(lambda batches: _packed(fold(batches))), PACKED)
+    edges = edges.where("i <= char_length(unit)").select(
+        "unit", F.expr("if(i = 1 and n = 1, blocks, null)").alias("blocks"), "i", F.expr("i + n - 1").alias("j"), "id", "score")
     grouped = edges.groupBy("unit").agg(F.flatten(F.collect_list("blocks")).alias("blocks"), F.collect_set(
         F.when(F.col("id") >= 0, F.struct((F.col("i") - 1).alias("a"), F.col("j").alias("b"), "score", "id"))).alias("edges"))
     unknown = min(model.scores, default=0.0) - 10.0
     fold = _VITERBI.replace("unknown", f"cast({unknown!r} as double)")
     return grouped.withColumn("n", F.char_length("unit")).withColumn("cuts", F.expr(fold)).select(
-        "unit", "blocks", F.expr(_IDS).alias("ids")).mapInArrow(_packed, PACKED)
+        "unit", "blocks", F.expr(_IDS).alias("ids")).mapInArrow(tidy(_packed), PACKED)
 
 
 class _Edges:
@@ -191,32 +226,50 @@ def merged(units: list[str], edges: _Edges) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.int32), np.cumsum(np.bincount(unit, minlength=len(units)))
 
 
-def _merge_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_fold(model: Model) -> Batches:
+    """``unit, blocks, ids`` from rows of ``edge, block``."""
     schema = pa.schema([("unit", pa.string()), ("blocks", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
-    waiting: pa.Table | None = None
-
-    def folded(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        first = table.select(["unit", "blocks"]).take(pa.array(starts)).combine_chunks()
-        units = first.column("unit").to_pylist()
-        i, j, ids = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "id"))
-        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        base = np.repeat(np.cumsum(sizes + 1) - sizes - 1, np.diff(np.append(starts, len(i))))
+    scores = np.array(model.scores, dtype=np.float64)
+    # Of ids of single characters; the others are never asked for.
+    codes = np.zeros(len(model.pieces), dtype=np.int64)
+    for piece, i in model.ids.items():
+        codes[i] = ord(piece[0])
+
+    def folded(edge: np.ndarray, block: pa.Array) -> pa.RecordBatch:
+        first = edge >> 30 & 1 == 1
+        starts = np.flatnonzero(first)
+        ids, size, code = (edge & (1 << 24) - 1) - 1, edge >> 24 & 63, edge >> 32
+        char = (size == 1) & ((ids >= 0) | (code > 0))
+        own = np.where(ids[char] >= 0, codes[ids[char]], code[char] - 1)
+        text = own.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        ends = np.cumsum(np.add.reduceat(char, starts, dtype=np.int64)).tolist()
+        units = [text[a:b] for a, b in zip([0, *ends], ends)]
+        # Characters stand one after the other, each unit with a place more than it has of them.
+        place = np.cumsum(char) - 1 + np.cumsum(first) - 1
         real = ids >= 0
-        edges = _Edges((base + i - 1)[real], (base + j)[real], table.column("score").to_numpy()[real], ids[real])
-        values, ends = merged(units, edges)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
-        return batch_of(schema, first.column("unit").chunk(0), first.column("blocks").chunk(0), lists)
+        values, cuts = merged(units, _Edges(place[real], (place + size)[real], scores[ids[real]], ids[real]))
+        held = np.add.reduceat(block.is_valid().to_numpy(zero_copy_only=False), starts, dtype=np.int64)
+        blocks, lists = (
+            pa.ListArray.from_arrays(pa.array(np.append(0, n).astype(np.int32)), x)
+            for n, x in ((np.cumsum(held), block.drop_null()), (cuts, pa.array(values))))
+        return batch_of(schema, units, blocks, lists)
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if waiting is not None:
-            table = pa.concat_tables([waiting, table]).combine_chunks()
-        starts = np.flatnonzero((table.column("i").to_numpy() == 1) & (table.column("j").to_numpy() == 1))
-        if len(starts) > 1:
-            yield folded(table.slice(0, starts[-1]), starts[:-1])
-        waiting = table.slice(starts[-1])
-    if waiting is not None and waiting.num_rows:
-        yield folded(waiting, np.zeros(1, dtype=np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if waiting is not None:
+                table = pa.concat_tables([waiting, table])
+            edge = table.column("edge").to_numpy()
+            starts = np.flatnonzero(edge >> 30 & 1)
+            if len(starts) > 1:
+                yield folded(edge[:starts[-1]], table.column("block").slice(0, starts[-1]).combine_chunks())
+                table = table.slice(starts[-1])
+            waiting = table.combine_chunks()
+        if waiting is not None and waiting.num_rows:
+            yield folded(waiting.column("edge").to_numpy(), waiting.column("block").combine_chunks())
+
+    return run
 
 
 def merge_long(unit: str, model: Model) -> list[int]:
@@ -335,7 +388,6 @@ def _block_units(shared):
                 some = units[start:start + 50_000]
                 yield batch_of(schema, np.full(len(some), block), some)
             del table, words, units
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -408,7 +460,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, held = [], 0
     if held:
         yield packed()
-    pa.default_memory_pool().release_unused()
 
 
 def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +467,6 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, table in _blocks(batches):
         yield batch_of(schema, [block], [_compressed(table)])
         del table
-    pa.default_memory_pool().release_unused()
 
 
 def _slices(blob: pa.Scalar) -> Iterator[pa.Table]:
@@ -427,38 +477,54 @@ def _slices(blob: pa.Scalar) -> Iterator[pa.Table]:
 
 
 class _Encoder(dict):
-    """Ids of words as bytes of 32-bit numbers, put together from the encoded units of a block."""
+    """Ids of words as bytes of 32-bit numbers, put together from the encoded units of a block.
+
+    A unit that is a word behind one space mark stands here under that word, every other in ``units``; up to
+    ``KNOWN_WORDS`` words of several units (``made``) are remembered.
+    """
 
     def __init__(self, model: Model, cutter: Cutter, units: pa.Table | None = None):
         super().__init__()
-        self.model, self.cutter, self.units = model, cutter, {}
+        self.model, self.cutter, self.units, self.made = model, cutter, {}, []
         if units is not None:
             self.add(units)
 
+    def bare(self, unit: str) -> bool:
+        """Whether a unit is a word behind one space mark."""
+        return self.cutter.by_word and unit[0] == SPACE and len(unit) > 1 and unit[1] != SPACE
+
     def add(self, units: pa.Table) -> None:
         """Encoded units, ``unit, ids``, that words may be made of."""
         ids = units.combine_chunks().column("ids").chunk(0)
         values, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
         data, cuts = values.tobytes(), (4 * offsets).tolist()
-        names = units.column("unit").to_pylist()
-        self.units.update(zip(names, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        encoded = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         for at in np.unique(np.searchsorted(offsets, np.flatnonzero(values < 0), "right") - 1).tolist():
             own = values[offsets[at]:offsets[at + 1]].tolist()
-            self.units[names[at]] = np.array(
+            encoded[at] = np.array(
                 [x for i in own for x in (self.model.fallback(chr(-i - 1)) if i < 0 else [i])], dtype=np.int32).tobytes()
+        for unit, value in zip(units.column("unit").to_pylist(), encoded):
+            if self.bare(unit):
+                self[unit[1:]] = value
+            else:
+                self.units[unit] = value
 
     def __missing__(self, word: str) -> bytes:
-        known = self.units
         whole = SPACE + word if self.cutter.by_word and word[0] != SPACE else word
-        value = known.get(whole)
-        if value is None:
-            value = b"".join([known[u] if u in known else self.unit(u) for u in self.cutter.find(whole)])
+        value = b"".join(map(self.of, self.cutter.find(whole)))
         if len(word) <= LONGEST_UNIT:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
+            if len(self.made) >= KNOWN_WORDS:
+                for old in self.made:
+                    del self[old]
+                self.made = []
+            self.made.append(word)
             self[word] = value
         return value
 
+    def of(self, unit: str) -> bytes:
+        value = self.get(unit[1:]) if self.bare(unit) else self.units.get(unit)
+        return self.unit(unit) if value is None else value
+
     def unit(self, unit: str) -> bytes:
         if len(unit) <= LONGEST_UNIT:
             raise ValueError("a block changed between two scans of the documents")
@@ -505,11 +571,11 @@ def encode(docs: DataFrame, model: Model | None = None, decoded: bool = False) -
     model = model or read_model()
     own = docs.drop("n_tokens", "token_ids", *["decoded"] * decoded)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = own.select("text").mapInArrow(_block_units(shared), "block bigint, unit string")
+    held = own.select("text").mapInArrow(tidy(_block_units(shared)), "block bigint, unit string")
     sorted_units = held.repartition("unit").sortWithinPartitions("unit")
-    holders = sorted_units.mapInArrow(_holders, "unit string, blocks array<bigint>")
+    holders = sorted_units.mapInArrow(tidy(_holders), "unit string, blocks array<bigint>")
     units = encode_units(holders, model)
-    texts = own.mapInArrow(_block_texts, "block bigint, rows binary")
+    texts = own.mapInArrow(tidy(_block_texts), "block bigint, rows binary")
     schema = own.withColumns({"n_tokens": F.lit(0).cast("bigint"),
                               "token_ids": F.expr("cast(array() as array<int>)"),
                               **({"decoded": F.lit("").cast("string")} if decoded else {})}).schema
@@ -518,7 +584,7 @@ def encode(docs: DataFrame, model: Model | None = None, decoded: bool = False) -
         units.selectExpr("block", "units", "cast(null as binary) as rows"))
     # The units of a block come ahead of its texts.
     return both.repartition("block").sortWithinPartitions("block", F.col("units").isNull()).mapInArrow(
-        _encoded(shared, decoded), schema)
+        tidy(_encoded(shared, decoded)), schema)
 
 
 def _encoded(shared, decoded: bool):
@@ -542,7 +608,7 @@ def _encoded(shared, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(shared.value)
         back = _Decoder(shared.value) if decoded else None
-        encoder, now, met, table = None, None, True, None
+        encoder, now, met = None, None, True
         for batch in batches:
             for block, units, rows in zip(*(batch.column(c) for c in ("block", "units", "rows"))):
                 if encoder is None or block != now:
@@ -555,8 +621,6 @@ def _encoded(shared, decoded: bool):
                 for table in _slices(rows):
                     yield from made(encoder, back, table)
         checked(met)
-        encoder = back = batch = units = rows = table = None
-        pa.default_memory_pool().release_unused()
 
     return run
 

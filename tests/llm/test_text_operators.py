@@ -535,3 +535,68 @@ def test_tasks_give_memory_back_at_their_end(monkeypatch):
     assert list(task) == [2, 3] and given == [True]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_substrings_are_exploded_by_the_lengths_of_pieces(spark):
+    """Every piece in a unit and every character, in order, and few others on the way; empty rows for blocks beyond the characters."""
+    model = pieces.read_model()
+    units = [("▁internationally", [7]), ("▁a\x00漢\U0001f600", [1]), ("x", [4, 5, 6]), ("▁", [2, 3]), ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", [9])]
+    got = collections.defaultdict(list)
+    for r in pieces._edges(spark.createDataFrame(units, "unit string, blocks array<bigint>").coalesce(1), model).collect():
+        got[r.unit].append((r.i, r.n, r.part, r.id, r.score))
+    for unit, blocks in units:
+        expected = []
+        for i in range(max(len(unit), len(blocks))):
+            for n in range(1, max(2, min(model.longest, len(unit) - i) + 1)):
+                part = unit[i:i + n]
+                if n == 1 or part in model.ids:
+                    at = model.ids.get(part)
+                    expected.append((i + 1, n, part, -1 if at is None else at, None if at is None else model.scores[at]))
+        assert got[unit] == expected
+    names = ["▁the", "é漢", ""]
+    hashes = [r.h % (1 << 64) for r in spark.createDataFrame([(n,) for n in names], "n string").select(F.xxhash64("n").alias("h")).collect()]
+    assert hashes == [pieces.xxhash.xxh64_intdigest(n.encode(), 42) for n in names] and pieces._join_key(names) is F.xxhash64
+
+
+def test_names_that_share_a_hash_are_joined_as_they_are(spark, monkeypatch):
+    model = pieces.read_model()
+    units = spark.createDataFrame([("▁internationally", [7])], "unit string, blocks array<bigint>")
+    plain = pieces._edges(units, model).collect()
+    monkeypatch.setattr(pieces.xxhash, "xxh64_intdigest", lambda data, seed: 0)
+    assert pieces._edges(units, model).collect() == plain
+
+
+def test_edges_are_folded_from_numbers(spark):
+    """Edges come as two columns of numbers, in batches cut anywhere; units with more blocks than characters keep them all."""
+    model = pieces.read_model()
+    units = [(u, list(range(n))) for u, n in (
+        ("▁internationally", 2), ("x", 5), ("▁a\x00漢\U0001f600é", 1), ("▁", 3), ("#$%&", 4), ("a" * 48, 1), ("y", 1))]
+    seen = []
+    fold = pieces._merge_fold(model)
+    table = spark.createDataFrame(units, "unit string, blocks array<bigint>").coalesce(1)
+    numbers = pieces._edges(table, model).selectExpr(pieces._EDGE, "if(n = 1, get(blocks, i - 1), null) as block")
+    assert [f.dataType.simpleString() for f in numbers.schema] == ["bigint", "bigint"]
+    whole = numbers.toArrow()
+    for size in (1, 7, 10_000):
+        out = [r for b in fold(iter(whole.combine_chunks().to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [(r["unit"], r["blocks"]) for r in out] == units
+        for r in out:
+            ids = [x for i in r["ids"] for x in (model.fallback(chr(-i - 1)) if i < 0 else [i])]
+            assert ids == pieces.merge_long(r["unit"], model)
+
+
+def test_words_of_several_units_are_forgotten_but_units_stay(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 2)
+    model = pieces.read_model()
+    cutter = pieces.Cutter(model)
+    text = "one, two, three, one two three ab12 one, ▁x"
+    units = sorted(cutter.units(set(cutter.words(text[:-3]) + cutter.words(text))))
+    encoder = pieces._Encoder(model, cutter, pa.table({
+        "unit": units, "ids": pa.array([pieces.merge_long(u, model) for u in units], pa.list_(pa.int32()))}))
+    for part in (text[:-3], text, text[:-3]):
+        ids = memoryview(b"".join(map(encoder.__getitem__, cutter.words(part)))).cast("i").tolist()
+        assert ids == pieces.merge_long("▁" + part.replace(" ", "▁"), model)
+        assert len(encoder.made) <= 2
+    assert not any(u[1:] in encoder.units for u in units if encoder.bare(u) and u[1:] not in units)
